@@ -1,0 +1 @@
+"""Empty on purpose: the covered feature set is batch only (see README)."""
