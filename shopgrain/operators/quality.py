@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..config import DEFAULT, Config
 from ..functions.expr import any_of, count_if, money_sum, one_row, safe_divide, to_rows
-from ..functions.ranks import quantiles, value_ranks
+from ..functions.ranks import quantiles_of_ranks, value_ranks
 
 CHECK_COLUMNS = ["check_name", "status", "severity", "observed", "detail"]
 
@@ -394,29 +394,37 @@ def missingness_profile(df: DataFrame) -> DataFrame:
     return out.withColumn("missing_pct", safe_divide(F.col("missing") * 100.0, F.col("rows"), 0.0))
 
 
-def imputation_plan(profile: DataFrame, types: dict[str, str], mechanisms: DataFrame | None = None,
-                    critical: tuple[str, ...] = ("customer_id", "order_id", "total_amount", "order_date"),
+def imputation_plan(profile: DataFrame, numeric: set[str], mechanisms: DataFrame | None = None,
                     cfg: Config = DEFAULT) -> DataFrame:
-    """Fill strategy and impact per column. ``types``: column -> 'numeric' or 'categorical'."""
+    """Fill strategy per column with missing values, by share, mechanism and type."""
     c, q = F.col, cfg.quality
-    kinds = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])
-    df = profile.where("missing > 0").withColumn("kind", kinds[c("column_name")])
+    df = profile.where("missing > 0").withColumn("is_numeric", c("column_name").isin(*numeric) if numeric else F.lit(False))
     if mechanisms is not None:
         df = df.join(mechanisms.select("column_name", "mechanism"), "column_name", "left")
     else:
         df = df.withColumn("mechanism", F.lit(None).cast("string"))
     mech = F.coalesce(c("mechanism"), F.lit("UNKNOWN"))
-    numeric = c("kind") == "numeric"
+    few = c("missing_pct") < q.missing_low_pct
     strategy = (
-        F.when(c("missing_pct") > q.missing_critical_pct, "drop_column")
-        .when(c("missing_pct") < q.missing_low_pct, F.when(numeric, "median").otherwise("mode"))
-        .when(mech == "MCAR", F.when(numeric, "median").otherwise("mode"))
-        .when(mech == "MAR", F.when(numeric, "group_median").otherwise("group_mode"))
-        .otherwise("flag_and_fill")
+        F.when(c("missing_pct") > q.missing_critical_pct, "DROP_COLUMN")
+        .when(few & (mech == "MCAR"), F.when(c("is_numeric"), "MEDIAN_IMPUTATION").otherwise("MODE_IMPUTATION"))
+        .when(few, "PREDICTIVE_IMPUTATION")
+        .when(mech == "MCAR", "MULTIPLE_IMPUTATION")
+        .when(mech == "MAR", "PREDICTIVE_IMPUTATION")
+        .otherwise("INDICATOR_VARIABLE")
     )
-    is_key = c("column_name").isin(*critical)
-    impact = F.when(is_key | (c("missing_pct") > 20), "HIGH").when(c("missing_pct") > 5, "MEDIUM").otherwise("LOW")
-    return df.withColumn("strategy", strategy).withColumn("impact", impact)
+    return df.withColumn("strategy", strategy)
+
+
+def missing_impact(df: DataFrame, critical: tuple[str, ...] = ("customer_id", "order_id", "total_amount")) -> DataFrame:
+    """One row: critical columns with nulls, share of rows touched, priority label."""
+    crit = [x for x in critical if x in df.columns]
+    hit = sum((F.max(F.col(x).isNull().cast("int")) for x in crit), F.lit(0))
+    rows = count_if(any_of([F.col(x).isNull() for x in df.columns]))
+    out = df.agg(hit.alias("critical_columns_affected"), (safe_divide(rows * 100.0, F.count(F.lit(1)), 0.0)).alias("potential_data_loss_pct"))
+    pct = F.col("potential_data_loss_pct")
+    label = F.when(F.col("critical_columns_affected") > 0, "CRITICAL").when(pct > 20, "HIGH").when(pct > 5, "MEDIUM").otherwise("LOW")
+    return out.withColumn("priority", label)
 
 
 def iqr_outliers(df: DataFrame, columns, cfg: Config = DEFAULT) -> DataFrame:
@@ -427,8 +435,6 @@ def iqr_outliers(df: DataFrame, columns, cfg: Config = DEFAULT) -> DataFrame:
     cols = list(columns)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column_name", "value")
     ranks = value_ranks(long, "value", by=["column_name"])
-    from ..functions.ranks import quantiles_of_ranks
-
     q = quantiles_of_ranks(ranks, "value", {"q1": 0.25, "q3": 0.75}, by=["column_name"])
     k = cfg.quality.iqr_multiplier
     q = q.withColumn("lower", F.col("q1") - k * (F.col("q3") - F.col("q1"))).withColumn(

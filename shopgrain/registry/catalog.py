@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("customers",)
+SUBJECTS = ("customers", "sales", "quality")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
