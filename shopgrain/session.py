@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,15 +23,26 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "12g") ->
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is
-    absent (local tests) a folder of our own is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; only where none is set, a folder of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shopgrain-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Like ``checkpointed`` but as a Parquet table: later reads prune columns and push filters down.
+
+    For a table that several operators read, such as the customer features.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
