@@ -66,31 +66,33 @@ def cohort_cells(tx: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
     Unobserved cells before the cutoff are 0; cells at or after it are null. Offset 0 is 1.
     Months with no activity anywhere do not create a column, as in a pivot of observed offsets.
-    """
-    months = customer_months(tx)
-    sizes = months.groupBy("cohort_month").agg(F.count_distinct("customer_id").alias("cohort_size"))
-    seen = _before_cutoff(months, cfg).groupBy(*CELL).agg(
-        F.count("*").alias("active"), (F.sum("units").cast("double") / MONEY_SCALE).alias("revenue")
-    )
-    return grid_measures(seen, sizes, cfg)
 
-
-def grid_measures(seen: DataFrame, sizes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    Transactions are read once. The observed cells of a cohort are folded into one map row, and the
+    missing ones come from exploding the offsets against that map, so no grid is joined.
+    """
     cutoff = F.trunc(F.lit(cfg.cohort.incomplete_cutoff).cast("date"), "month")
-    # The grid is built from an array of offsets per cohort: no join of the two axes.
-    offsets = seen.agg(F.array_sort(F.array_union(F.array(F.lit(0)), F.collect_set("period_offset"))).alias("o")).scalar()
-    rows = seen.select("cohort_month").distinct().withColumn("period_offset", F.explode(offsets))
-    g = rows.join(seen, list(CELL), "left").join(sizes, "cohort_month", "left")
+    seen = customer_months(tx).groupBy(*CELL).agg(F.count("*").alias("n"), F.sum("units").alias("u"))
+    open_cell = F.add_months("cohort_month", F.col("period_offset")) < cutoff
+    entry = F.when(open_cell, F.struct("period_offset", F.struct("n", "u")))
+    per = seen.groupBy("cohort_month").agg(
+        F.sum(F.when(F.col("period_offset") == 0, F.col("n"))).alias("cohort_size"),
+        F.map_from_entries(F.collect_list(entry)).alias("m"),
+    ).where(F.size("m") > 0)
+    everything = Window.partitionBy(F.lit(1))  # one row per cohort month
+    offsets = F.array_union(F.array(F.lit(0)), F.flatten(F.collect_list(F.map_keys("m")).over(everything)))
+    g = per.withColumn("_o", offsets).select("cohort_month", "cohort_size", "m", F.explode("_o").alias("period_offset"))
+    hit = F.try_element_at("m", F.col("period_offset"))
     closed = F.add_months("cohort_month", F.col("period_offset")) >= cutoff
-    active = F.coalesce("active", F.lit(0))
-    rate = F.when(F.col("period_offset") == 0, 1.0).when(closed, None).otherwise(
-        F.least(F.greatest(F.try_divide(active.cast("double"), F.col("cohort_size")), F.lit(0.0)), F.lit(1.0))
+    active = F.coalesce(hit.getField("n"), F.lit(0))
+    units = F.when(~closed, F.coalesce(hit.getField("u"), F.lit(0)))
+    rate = F.when(F.col("period_offset") == 0, 1.0).when(~closed, F.least(active / F.col("cohort_size"), F.lit(1.0)))
+    g = g.select(*CELL, "cohort_size", active.alias("active"), rate.alias("retention"), units.alias("u"))
+    run = Window.partitionBy("cohort_month").orderBy("period_offset").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("u").over(run).cast("double") / MONEY_SCALE
+    ltv = F.when(F.col("u").isNotNull(), total / F.col("cohort_size"))
+    return g.withColumn("ltv", ltv).withColumn("revenue", F.col("u").cast("double") / MONEY_SCALE).select(
+        *CELL, "cohort_size", "active", "retention", "revenue", "ltv"
     )
-    revenue = F.when(~closed, F.coalesce("revenue", F.lit(0.0)))
-    g = g.select(*CELL, "cohort_size", active.alias("active"), rate.alias("retention"), revenue.alias("revenue"))
-    w = Window.partitionBy("cohort_month").orderBy("period_offset").rowsBetween(Window.unboundedPreceding, 0)
-    cum = F.sum(F.rint(F.col("revenue") * MONEY_SCALE).cast("decimal(38,0)")).over(w).cast("double") / MONEY_SCALE
-    return g.withColumn("ltv", F.when(F.col("revenue").isNotNull(), cum / F.col("cohort_size")))
 
 
 def aggregate_retention(cells: DataFrame) -> DataFrame:

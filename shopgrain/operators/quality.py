@@ -271,7 +271,7 @@ def fraud_output_checks(scored: DataFrame, cfg: Config = DEFAULT, score: str = "
         count_if((c(score) < 0) | (c(score) > 1) | c(score).isNull()).alias("range"),
         count_if(c("risk_tier").isNull()).alias("tiers"),
         (F.try_divide(count_if(top) * 100.0, F.count(F.lit(1)))).alias("top_pct"),
-        count_if(c("iso_anomaly") == 1).alias("iso"), count_if(c("lof_anomaly") == 1).alias("lof"),
+        count_if(c("iso_anomaly_flag") == 1).alias("iso"), count_if(c("lof_anomaly_flag") == 1).alias("lof"),
         count_if(top & c("primary_typology").isNull()).alias("typology"),
         count_if(c("rule_fraud_score").isNull()).alias("rules"),
     ).withColumn("_d", one_row(duplicate_keys(scored, "customer_id")))
