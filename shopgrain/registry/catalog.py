@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("customers", "sales", "quality", "segments", "cohorts", "fraud")
+SUBJECTS = ("customers", "sales", "quality", "segments", "cohorts", "fraud", "hypothesis")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
