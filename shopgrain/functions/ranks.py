@@ -30,21 +30,24 @@ def _boundaries(counts: DataFrame, value: str) -> list[float]:
     return sorted(set(cuts))
 
 
-def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+def value_ranks(
+    df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, sums: Sequence[str] = ()
+) -> DataFrame:
     """Distinct values of ``value`` with tie counts and ranks.
 
     Returns ``by..., value, n, before, total``: ``n`` rows hold the value, ``before`` rows hold a
     smaller one, ``total`` rows have any value (per group when ``by`` is given). Nulls are left
     out. The value column comes back as DOUBLE. ``weight`` names a count column of an input that
-    is already grouped.
+    is already grouped. For each column in ``sums`` the result also has its sum at the value, and
+    ``<column>_before`` and ``<column>_total``.
     """
-    by = list(by)
+    by, sums = list(by), list(sums)
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = checkpointed(
         df.where(F.col(value).isNotNull())
-        .select(*by, F.col(value).cast("double").alias(value), *([weight] if weight else []))
+        .select(*by, F.col(value).cast("double").alias(value), *([weight] if weight else []), *[c for c in sums if c != weight])
         .groupBy(*by, value)
-        .agg(n.cast("bigint").alias("n"))
+        .agg(n.cast("bigint").alias("n"), *[F.sum(c).alias(c) for c in sums])
     )
     cuts = _boundaries(counts, value)
     if cuts:
@@ -53,19 +56,19 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: str |
         ranged = ranged.withColumn("_range", F.col("_range").cast("int"))
     else:
         ranged = counts.withColumn("_range", F.lit(0))
-    totals = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_n"))
+    measures = {"n": ("before", "total"), **{c: (f"{c}_before", f"{c}_total") for c in sums}}
+    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
     across = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     totals = totals.select(
-        *by,
-        "_range",
-        F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(whole).alias("total"),
+        *by, "_range",
+        *[F.coalesce(F.sum(f"_sum_{m}").over(across), F.lit(0)).alias(f"_off_{m}") for m in measures],
+        *[F.sum(f"_sum_{m}").over(whole).alias(t) for m, (_, t) in measures.items()],
     )
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranged.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    ranked = ranged.withColumns({f"_in_{m}": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures})
     return ranked.join(totals, [*by, "_range"]).select(
-        *by, value, "n", (F.col("_offset") + F.col("_local")).alias("before"), "total"
+        *by, value, *[c for m, (b, t) in measures.items() for c in (F.col(m), (F.col(f"_off_{m}") + F.col(f"_in_{m}")).alias(b), F.col(t))]
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("customers", "sales", "quality", "segments", "cohorts", "fraud", "hypothesis")
+SUBJECTS = ("customers", "sales", "quality", "segments", "cohorts", "fraud", "hypothesis", "models")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
