@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.expr import (
-    MONEY_SCALE, count_if, ladder, money_units, month_start, months_between_int, one_row, safe_divide, to_rows,
+    MONEY_SCALE, count_if, ladder, money_sum, money_units, month_start, months_between_int, one_row, safe_divide, to_rows,
 )
-from ..functions.ranks import quantiles
 
 CELL = ("cohort_month", "period_offset")
 
@@ -130,8 +129,8 @@ def revenue_retention(cells: DataFrame) -> DataFrame:
 
 def aov_by_period(cells: DataFrame) -> DataFrame:
     return cells.groupBy("period_offset").agg(
-        safe_divide(F.sum("revenue"), F.sum("active")).alias("aov"),
-        F.sum("revenue").alias("revenue"), F.sum("active").alias("active"),
+        safe_divide(money_sum(F.col("revenue")), F.sum("active")).alias("aov"),
+        money_sum(F.col("revenue")).alias("revenue"), F.sum("active").alias("active"),
     ).where(F.col("active") > 0)
 
 

@@ -41,7 +41,7 @@ QUERIES = {
     "agg_retention": lambda s, d: rounded(op.aggregate_retention(_cells(s, d))),
     "dropout": lambda s, d: rounded(op.dropout_rates(op.aggregate_retention(_cells(s, d)))),
     "revenue_retention": lambda s, d: rounded(op.revenue_retention(_cells(s, d))),
-    "aov_by_period": lambda s, d: rounded(op.aov_by_period(_cells(s, d)), 4),
+    "aov_by_period": lambda s, d: rounded(op.aov_by_period(_cells(s, d)), 4, exact=("aov",)),
     "ltv_benchmarks": lambda s, d: rounded(op.ltv_benchmarks(_cells(s, d), CFG.cohort.benchmark_windows), 4),
     "ltv_projection": lambda s, d: op.ltv_projection(_cells(s, d), 75),
     "segment_retention": lambda s, d: op.segment_retention(_tx(s, d), _tiers(s, d), "loyalty_tier", CFG),
@@ -122,7 +122,7 @@ ORACLES = {
     "agg_retention": f"WITH {_G}{_AGG} SELECT period_offset, round(retention, 6) AS retention, cohorts, round(retention - lag(retention) OVER (ORDER BY period_offset), 6) AS delta FROM agg",
     "dropout": f"WITH {_G}{_AGG} SELECT period_offset, round(dropout_rate, 6) AS dropout_rate FROM drp WHERE dropout_rate IS NOT NULL",
     "revenue_retention": f"WITH {_G}{_AGG} SELECT period_offset, round(revenue_retention, 6) AS revenue_retention, cohorts FROM rev",
-    "aov_by_period": f"""WITH {_G} SELECT period_offset, round(sum(revenue) / sum(active), 4) AS aov,
+    "aov_by_period": f"""WITH {_G} SELECT period_offset, CAST(sum(ru) AS DOUBLE) / 10000 / sum(active) AS aov,
   round(sum(revenue), 4) AS revenue, CAST(sum(active) AS BIGINT) AS active FROM cells GROUP BY 1 HAVING sum(active) > 0""",
     "ltv_benchmarks": f"WITH {_G}{_AGG}, b AS (" + " UNION ALL ".join(_BENCH.format(w=w) for w in (1, 3, 6, 12)) + ") SELECT window_months, round(ltv, 4) AS ltv FROM b",
     "ltv_projection": f"""WITH {_G}, l AS (SELECT cohort_month, period_offset, ltv, row_number() OVER (PARTITION BY cohort_month ORDER BY period_offset DESC) AS b FROM cells WHERE ltv IS NOT NULL),

@@ -38,7 +38,9 @@ _RAW = TX + """, raw AS (SELECT order_id, customer_id, product_id,
   CASE WHEN p % 59 = 0 THEN -price ELSE price END AS price, discount, CASE WHEN p % 53 = 0 THEN NULL ELSE quantity END AS quantity,
   CASE WHEN p % 61 = 0 THEN NULL ELSE total_amount END AS total_amount, shipping_cost, profit_margin, customer_age, delivery_time_days, returned
   FROM (SELECT *, CAST(product_id AS BIGINT) AS p FROM tx)),
-dated AS (SELECT * FROM raw WHERE order_date IS NOT NULL)"""
+once AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY order_id
+  ORDER BY price, discount, quantity, total_amount, shipping_cost, profit_margin, returned) AS rn FROM raw) WHERE rn = 1),
+dated AS (SELECT * FROM once WHERE order_date IS NOT NULL)"""
 
 QUERIES = {
     "dedup_keep_first": lambda s, d: clean.dedup_keep_first(read_table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], _ORDER).select(

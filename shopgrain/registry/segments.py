@@ -34,7 +34,7 @@ QUERIES = {
     "segment_compare": lambda s, d: rounded(op.segment_comparison(
         transactions(s, d, ["customer_id", "total_amount"]), op.loyalty_tiers(_cust(s, d), CFG), "loyalty_tier"), 4),
     "segment_rfm_means": lambda s, d: rounded(op.segment_rfm_means(_seg(s, d), "rfm_segment"), 4),
-    "cluster_profiles": lambda s, d: rounded(_prof(s, d), 4),
+    "cluster_profiles": lambda s, d: rounded(_prof(s, d)),
     "segment_names": lambda s, d: op.segment_names(_prof(s, d), "rfm_segment").select("rfm_segment", "segment_name"),
     "segment_insight_flags": lambda s, d: rounded(op.segment_insight_flags(op.segment_names(_prof(s, d), "rfm_segment")), 4),
     "segment_actions": lambda s, d: rounded(op.segment_actions(op.segment_names(_prof(s, d), "rfm_segment")), 4),
@@ -110,7 +110,7 @@ SELECT rfm_segment, churn_risk, customers, round(customers * 100.0 / sum(custome
   round(sum(amt) / 10000.0 / count(*), 4) AS avg_order_value FROM tx LEFT JOIN tier USING (customer_id) GROUP BY 1""",
     "segment_rfm_means": f"""WITH {SEG} SELECT rfm_segment, count(*) AS customers, round(avg(recency_days), 4) AS avg_recency, round(avg(frequency), 4) AS avg_frequency,
   round(avg(monetary), 4) AS avg_monetary, round(avg(loyalty_score), 4) AS avg_loyalty FROM seg GROUP BY 1""",
-    "cluster_profiles": f"WITH {SEG}{_PROF} SELECT rfm_segment, customers, dominant_risk, " + ", ".join(f"round({c}, 4) AS {c}" for c in (
+    "cluster_profiles": f"WITH {SEG}{_PROF} SELECT rfm_segment, customers, dominant_risk, " + ", ".join(f"round({c}, 6) AS {c}" for c in (
         "avg_recency", "avg_frequency", "avg_monetary", "total_revenue", "avg_recency_score", "avg_frequency_score", "avg_monetary_score", "avg_loyalty", "avg_order_value",
         "avg_return_rate", "avg_discount_usage", "active_pct", "at_risk_pct", "inactive_pct", "churned_pct", "share_pct", "median_recency_days", "median_frequency", "median_monetary")) + " FROM prof",
     "segment_names": f"WITH {SEG}{_NAMED} SELECT rfm_segment, segment_name FROM named",

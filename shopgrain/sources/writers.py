@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..config import DEFAULT, Config
 from ..operators.cohorts import wide_matrix
@@ -17,18 +18,22 @@ class WriteCheckError(RuntimeError):
     """A table read back differs from what was written."""
 
 
-def write_verified(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def write_verified(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), expected_rows: int | None = None) -> DataFrame:
     """Snappy Parquet, read back and compared by row count and columns; returns the read table.
 
-    The written rows are counted by an observation during the write, not by a second run of the plan.
+    Without ``expected_rows`` the frame is kept on disk while it is written, so that counting it does
+    not run its plan a second time.
     """
-    from pyspark.sql import Observation
-
-    seen = Observation()
-    w = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", "snappy")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    kept = df if expected_rows is not None else df.persist(StorageLevel.DISK_ONLY)
+    try:
+        w = kept.write.mode("overwrite").option("compression", "snappy")
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+        rows = expected_rows if expected_rows is not None else kept.count()
+    finally:
+        if expected_rows is None:
+            kept.unpersist()
     back = df.sparkSession.read.parquet(path)
-    rows, found = seen.get["rows"], back.count()
+    found = back.count()
     if rows != found or set(back.columns) != set(df.columns):
         raise WriteCheckError(f"{path}: wrote {rows} rows {df.columns}, read {found} rows {back.columns}")
     return back.select(*df.columns)
