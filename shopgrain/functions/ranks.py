@@ -9,39 +9,31 @@ number is bounded by the number of boundaries.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import checkpointed
 
-MAX_RANGES = 4096
+MAX_RANGES = 1024
 ROWS_PER_RANGE = 50_000
 
 
 def _boundaries(counts: DataFrame, value: str) -> list[float]:
-    """Cut points that split the distinct values evenly; at most MAX_RANGES numbers reach the driver."""
-    n = counts.count()
-    ranges = min(MAX_RANGES, n // ROWS_PER_RANGE + 1)
-    if ranges < 2:
-        return []
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = counts.agg(F.percentile_approx(value, F.lit(probs), F.lit(10 * ranges))).first()[0]
-    return sorted(set(cuts))
+    """Cut points that split the distinct values evenly; at most MAX_RANGES numbers reach the driver.
 
+    The cuts only decide how work is spread. They become literals of the plan, so a retried task
+    sees the same ranges; the ranks are exact whatever the cuts are.
+    """
+    probs = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
+    n, grid = counts.agg(F.count(F.lit(1)), F.percentile_approx(value, F.lit(probs), F.lit(10 * MAX_RANGES))).first()
+    ranges = min(MAX_RANGES, n // ROWS_PER_RANGE + 1)
+    return sorted({grid[i * MAX_RANGES // ranges - 1] for i in range(1, ranges)})
 
-def value_ranks(
-    df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, sums: Sequence[str] = ()
-) -> DataFrame:
-    """Distinct values of ``value`` with tie counts and ranks.
 
-    Returns ``by..., value, n, before, total``: ``n`` rows hold the value, ``before`` rows hold a
-    smaller one, ``total`` rows have any value (per group when ``by`` is given). Nulls are left
-    out. The value column comes back as DOUBLE. ``weight`` names a count column of an input that
-    is already grouped. For each column in ``sums`` the result also has its sum at the value, and
-    ``<column>_before`` and ``<column>_total``.
-    """
-    by, sums = list(by), list(sums)
+def _ranged_counts(df: DataFrame, value: str, by: list[str], weight: str | None, sums: list[str]):
+    """Distinct values with counts and range number, and per range its totals and what lies before it."""
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = checkpointed(
         df.where(F.col(value).isNotNull())
@@ -56,22 +48,44 @@ def value_ranks(
         ranged = ranged.withColumn("_range", F.col("_range").cast("int"))
     else:
         ranged = counts.withColumn("_range", F.lit(0))
-    measures = {"n": ("before", "total"), **{c: (f"{c}_before", f"{c}_total") for c in sums}}
+    measures = ["n", *sums]
     totals = ranged.groupBy(*by, "_range").agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
     across = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     totals = totals.select(
-        *by, "_range",
+        *by, "_range", F.col("_sum_n"),
         *[F.coalesce(F.sum(f"_sum_{m}").over(across), F.lit(0)).alias(f"_off_{m}") for m in measures],
-        *[F.sum(f"_sum_{m}").over(whole).alias(t) for m, (_, t) in measures.items()],
+        *[F.sum(f"_sum_{m}").over(whole).alias("total" if m == "n" else f"{m}_total") for m in measures],
     )
+    return ranged, totals
+
+
+def _rank(ranged: DataFrame, totals: DataFrame, value: str, by: list[str], sums: list[str]) -> DataFrame:
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranged.withColumns({f"_in_{m}": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures})
-    return ranked.join(totals, [*by, "_range"]).select(
-        *by, value, *[c for m, (b, t) in measures.items() for c in (F.col(m), (F.col(f"_off_{m}") + F.col(f"_in_{m}")).alias(b), F.col(t))]
+    joined = ranged.join(totals, [*by, "_range"])
+    before = {m: F.col(f"_off_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in ["n", *sums]}
+    return joined.select(
+        *by, value, "n", before["n"].alias("before"), "total",
+        *[c for m in sums for c in (F.col(m), before[m].alias(f"{m}_before"), F.col(f"{m}_total"))],
     )
 
 
+def value_ranks(
+    df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, sums: Sequence[str] = ()
+) -> DataFrame:
+    """Distinct values of ``value`` with tie counts and ranks.
+
+    Returns ``by..., value, n, before, total``: ``n`` rows hold the value, ``before`` rows hold a
+    smaller one, ``total`` rows have any value (per group when ``by`` is given). Nulls are left
+    out. The value column comes back as DOUBLE. ``weight`` names a count column of an input that
+    is already grouped. For each column in ``sums`` the result also has its sum at the value, and
+    ``<column>_before`` and ``<column>_total``.
+    """
+    by, sums = list(by), list(sums)
+    ranged, totals = _ranged_counts(df, value, by, weight, sums)
+    return _rank(ranged, totals, value, by, sums)
+
+
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "avg_rank") -> DataFrame:
     """One row per distinct value with its average (mid) rank."""
     r = value_ranks(df, value, by)
@@ -81,8 +95,15 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str =
 def quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles; one row per group, one column per entry of ``probs``."""
-    return quantiles_of_ranks(value_ranks(df, value, by, weight), value, probs, by)
+    """Exact linear-interpolation quantiles; one row per group, one column per entry of ``probs``.
+
+    Only the ranges that hold an asked-for position are ranked; the others are known by their totals.
+    """
+    by = list(by)
+    ranged, totals = _ranged_counts(df, value, by, weight, [])
+    ends = [f((F.col("total") - 1) * F.lit(float(p))) for p in probs.values() for f in (F.floor, F.ceil)]
+    hit = reduce(lambda a, b: a | b, [(F.col("_off_n") <= e) & (e < F.col("_off_n") + F.col("_sum_n")) for e in ends])
+    return quantiles_of_ranks(_rank(ranged, totals.where(hit), value, by, []), value, probs, by)
 
 
 def quantiles_of_ranks(r: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..config import DEFAULT, Config
 from ..functions.expr import count_if, one_row
 from ..functions.ranks import quantiles
+from ..session import materialized
 
 CATEGORY_COLUMNS = ("category", "region", "payment_method", "customer_gender")
 NUMERIC_COLUMNS = (
@@ -82,20 +83,32 @@ def categorical_fill_values(df: DataFrame, columns, strategy: str = "mode", unkn
     )
 
 
+def columns_with_nulls(df: DataFrame, columns) -> list[str]:
+    """Names of the columns that hold a null: one aggregate, one row to the driver."""
+    cols = list(columns)
+    if not cols:
+        return []
+    row = df.agg(*[count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    return [c for c in cols if row[c]]
+
+
 def impute(df: DataFrame, numeric=NUMERIC_COLUMNS, categorical=CATEGORY_COLUMNS, cfg: Config = DEFAULT) -> DataFrame:
-    """Fill nulls from column statistics of the frame itself. Integer columns stay integer."""
+    """Fill nulls from column statistics of the frame itself. Integer columns stay integer.
+
+    Statistics are computed only for columns that have nulls.
+    """
     c = cfg.cleaning
-    nums = [x for x in numeric if x in df.columns]
-    cats = [x for x in categorical if x in df.columns]
+    holes = columns_with_nulls(df, [x for x in (*numeric, *categorical) if x in df.columns])
+    nums, cats = [x for x in numeric if x in holes], [x for x in categorical if x in holes]
+    source = df
     if nums:
-        df = df.withColumn("_num", one_row(numeric_fill_values(df, nums, c.numeric_imputation)))
+        df = df.withColumn("_num", one_row(numeric_fill_values(source, nums, c.numeric_imputation)))
     if cats:
-        source = df.drop("_num") if nums else df
         df = df.withColumn("_cat", one_row(categorical_fill_values(source, cats, c.categorical_imputation, c.unknown_value)))
     types = {f.name: f.dataType for f in df.schema.fields}
     fills = {x: F.coalesce(F.col(x), F.col(f"_num.{x}").cast(types[x])) for x in nums}
     fills |= {x: F.coalesce(F.col(x), F.col(f"_cat.{x}")) for x in cats}
-    return df.withColumns(fills).drop("_num", "_cat")
+    return df.withColumns(fills).drop("_num", "_cat") if fills else df
 
 
 def impute_stats(df: DataFrame, numeric=NUMERIC_COLUMNS, categorical=CATEGORY_COLUMNS) -> DataFrame:
@@ -146,11 +159,13 @@ def clean_transactions(df: DataFrame, cfg: Config = DEFAULT, order: list[str] |
     """Dedup, dates, categories, return flag, imputation, negative money, in that order.
 
     ``order`` decides which copy of an order id is the first one; default: all columns in order.
+    The deduplicated rows are written once to the shared folder, because the fill statistics and the
+    result both read them; the reads then see only the columns they need.
     """
     df = dedup_keep_first(df, "order_id", order or list(df.columns))
     df = parse_dates(df)
     df = normalize_categories(df, cfg=cfg)
-    df = decode_flag(df)
+    df = materialized(decode_flag(df))
     df = impute(df, cfg=cfg)
     return clip_negative_money(df, cfg.cleaning.auto_fix_negatives)
 

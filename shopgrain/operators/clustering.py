@@ -25,11 +25,17 @@ def best_kmeans(vectors: DataFrame, k: int, cfg: Config = DEFAULT, restarts: int
     """The fit with the lowest cost out of several seeded k-means|| starts."""
     s = cfg.segment
     first = s.seed if seed is None else seed
-    best = None
-    for i in range(s.restarts if restarts is None else restarts):
-        m = KMeans(k=k, maxIter=s.max_iter, seed=first + i, featuresCol="features", predictionCol="cluster").fit(vectors)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
+    best, cost = None, None
+    cached = vectors.is_cached
+    vectors = vectors if cached else vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for i in range(s.restarts if restarts is None else restarts):
+            m = KMeans(k=k, maxIter=s.max_iter, seed=first + i, featuresCol="features", predictionCol="cluster").fit(vectors)
+            if best is None or m.summary.trainingCost < cost:
+                best, cost = m, m.summary.trainingCost
+    finally:
+        if not cached:
+            vectors.unpersist()
     return best
 
 

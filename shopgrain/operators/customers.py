@@ -9,15 +9,12 @@ from ..functions.expr import (
     count_if, money_avg, money_sum, money_units, MONEY_SCALE, month_start, one_row, safe_divide, share,
 )
 from ..functions.ranks import quantiles, top_share
+from ..session import materialized
 
 def kept():
     return F.col("returned") == 0
 
 
-def as_of_date(tx: DataFrame) -> DataFrame:
-    return tx.agg(F.max("order_date").alias("as_of"))
-
-
 def customer_measures(tx: DataFrame) -> DataFrame:
     """Every per-customer aggregate in a single shuffle on customer_id.
 
@@ -47,10 +44,14 @@ def customer_measures(tx: DataFrame) -> DataFrame:
 
 
 def customer_features(tx: DataFrame, cfg: Config = DEFAULT, as_of: str | None = None) -> DataFrame:
-    """The 17-column customer table. ``as_of`` defaults to the latest order date of ``tx``."""
-    c = cfg.customer
-    ref = F.lit(as_of).cast("date") if as_of else as_of_date(tx).scalar()
-    m = customer_measures(tx)
+    """The 17-column customer table. ``as_of`` defaults to the latest order date of ``tx``.
+
+    The measures are written once to the shared folder. The reference date and the population maxima
+    of the loyalty score then come from that small table, and so does every later use of the result:
+    the transactions are read and shuffled a single time.
+    """
+    m = materialized(customer_measures(tx))
+    ref = F.lit(as_of).cast("date") if as_of else m.agg(F.max("last_order").alias("d")).scalar()
     has_kept = F.col("kept_orders") > 0
     base = m.select(
         "customer_id",
@@ -69,32 +70,24 @@ def customer_features(tx: DataFrame, cfg: Config = DEFAULT, as_of: str | None =
         F.coalesce("preferred_gender", F.lit("Unknown")).alias("preferred_gender"),
         F.coalesce("preferred_age", F.lit(-1)).alias("preferred_age"),
     )
-    return add_loyalty_and_churn(base, tx, cfg, ref)
-
-
-def _population_maxima(tx: DataFrame, ref) -> DataFrame:
-    """Maxima of recency, frequency and monetary from a scan of four columns."""
-    per = tx.where(kept()).groupBy("customer_id").agg(
-        F.max("order_date").alias("d"), F.count("*").alias("f"), money_sum(F.col("total_amount")).alias("m")
-    )
-    return per.agg(
-        F.max(F.datediff(ref, F.col("d"))).alias("r"), F.max("f").alias("f"), F.max("m").alias("m")
-    )
+    top = one_row(m.agg(
+        F.datediff(ref, F.min("last_kept")).alias("r"), F.max("kept_orders").alias("f"), F.max("kept_amount").alias("m")
+    ))
+    return loyalty_and_churn(base.withColumn("_top", top), cfg).drop("_top")
 
 
-def add_loyalty_and_churn(base: DataFrame, tx: DataFrame, cfg: Config, ref) -> DataFrame:
+def loyalty_and_churn(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Loyalty relative to the maxima in ``_top`` (r, f, m) and the churn flag."""
     c = cfg.customer
-    top = one_row(_population_maxima(tx, ref))
-    df = base.withColumn("_top", top)
     part = lambda x, t: safe_divide(F.col(x), F.col(f"_top.{t}"), 0.0)
     loyalty = (
         c.weight_recency * (1 - part("recency_days", "r"))
         + c.weight_frequency * part("frequency", "f")
         + c.weight_monetary * part("monetary", "m")
     )
+    late = F.col("recency_days").isNull() | (F.col("recency_days") > c.churn_days)
     return df.withColumn("loyalty_score", F.when(F.col("frequency").isNotNull(), loyalty)).withColumn(
-        "churn", F.when(F.col("recency_days").isNull() | (F.col("recency_days") > c.churn_days), 1).otherwise(0)
-    ).drop("_top")
+        "churn", F.when(late, 1).otherwise(0))
 
 
 def customer_modes(tx: DataFrame, column: str, name: str) -> DataFrame:

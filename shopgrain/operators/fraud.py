@@ -191,6 +191,11 @@ def risk_tier(score, cfg: Config = DEFAULT):
     return ladder((score >= f.tier_critical, "Critical"), (score >= f.tier_high, "High"), (score >= f.tier_medium, "Medium"), default="Low")
 
 
+def tier_order(tier):
+    """Sort key of the tiers in business order; totals come last."""
+    return F.array_position(F.array(*[F.lit(t) for t in ("Critical", "High", "Medium", "Low", "All")]), tier)
+
+
 def assign_risk_tiers(df: DataFrame, cfg: Config = DEFAULT, score: str = "composite_fraud_score") -> DataFrame:
     return df.withColumn("risk_tier", risk_tier(F.col(score), cfg))
 
@@ -265,7 +270,8 @@ def crosstab(df: DataFrame, rows: str, cols: str) -> DataFrame:
         F.when(F.col("_a") == 1, "All").otherwise(F.col(rows)).alias(rows), F.when(F.col("_b") == 1, "All").otherwise(F.col(cols)).alias(cols), "customers"
     )
     total = F.max(F.when(F.col(cols) == "All", F.col("customers"))).over(Window.partitionBy(rows))
-    return g.withColumn("row_pct", F.col("customers") * 100.0 / total)
+    g = g.withColumn("row_pct", F.col("customers") * 100.0 / total)
+    return g.orderBy(rows, tier_order(F.col(cols)), cols)
 
 
 def join_risk_labels(profile: DataFrame, segments: DataFrame, churn: DataFrame | None = None) -> DataFrame:

@@ -206,20 +206,31 @@ def levene(df: DataFrame, value: str, group: str, p_value: bool = True) -> DataF
     )
 
 
+def label_pairs(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every pair of label rows as structs ``a`` and ``b`` (a before b in column order).
+
+    For tables with one row per label: the rows are folded into one array and the pairs are taken
+    from it, so no join of the table with itself is planned.
+    """
+    every = rows.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("l"))
+    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(
+        F.slice("l", i + 2, F.greatest(F.size("l") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return every.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+
 def dunn(df: DataFrame, value: str, group: str, p_value: bool = True) -> DataFrame:
-    """Dunn's z for every pair of labels, Bonferroni-adjusted. The pairs are pairs of label rows."""
-    r = rank_sums(df, value, group).withColumn("mean_rank", F.col("rank_sum") / F.col("n"))
-    r = checkpointed(r)
-    a = r.select(F.col(group).alias("group_a"), F.col("n").alias("n_a"), F.col("mean_rank").alias("r_a"), "ties", "total_n")
-    b = r.select(F.col(group).alias("group_b"), F.col("n").alias("n_b"), F.col("mean_rank").alias("r_b"))
-    j = a.join(b, F.col("group_a") < F.col("group_b"))
-    n = F.col("total_n").cast("double")
-    var = (n * (n + 1) / 12 - F.col("ties") / (12 * (n - 1))) * (1 / F.col("n_a") + 1 / F.col("n_b"))
-    out = j.select("group_a", "group_b", (F.abs(F.col("r_a") - F.col("r_b")) / F.sqrt(var)).alias("z"))
-    if p_value:
-        k = r.agg(F.count(F.lit(1)).alias("k")).scalar()
-        out = out.withColumn("p_value", F.least(p_normal(F.col("z")) * (k * (k - 1) / 2), F.lit(1.0)))
-    return out
+    """Dunn's z for every pair of labels, Bonferroni-adjusted."""
+    r = rank_sums(df, value, group).withColumn("r", F.col("rank_sum") / F.col("n")).withColumnRenamed(group, "label")
+    j = label_pairs(r, ["label", "n", "r", "ties", "total_n"])
+    n = F.col("a.total_n").cast("double")
+    var = (n * (n + 1) / 12 - F.col("a.ties") / (12 * (n - 1))) * (1 / F.col("a.n") + 1 / F.col("b.n"))
+    out = j.select(F.col("a.label").alias("group_a"), F.col("b.label").alias("group_b"), (F.abs(F.col("a.r") - F.col("b.r")) / F.sqrt(var)).alias("z"))
+    return out.withColumn("p_value", _bonferroni(F.col("z"))) if p_value else out
+
+
+def _bonferroni(z):
+    """Two-sided normal tail times the number of rows (pairs) of the frame, at most 1."""
+    return F.least(p_normal(z) * F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))), F.lit(1.0))
 
 
 def chi_square(df: DataFrame, a: str, b: str, yates: bool = False, p_value: bool = True) -> DataFrame:
@@ -288,6 +299,38 @@ def distribution_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     })
 
 
+def distribution_insight_flags(profile: DataFrame) -> DataFrame:
+    """Rule rows (column_name, rule_id, fired, metric) on the profile of the four customer measures."""
+    c = F.col
+    right = (c("skew_direction") == "right")
+    heavy = right & c("skew_strength").isin("strong", "extreme")
+    ratio = lambda a: F.try_divide(c(a), F.when(c("median") > 0, c("median")))
+    rules = [
+        ("recency_days", "many_inactive", right & c("skew_strength").isin("moderate", "strong", "extreme"), c("skewness")),
+        ("recency_days", "mostly_recent", c("skew_direction") == "left", c("skewness")),
+        ("recency_days", "mean_above_median", ratio("mean") > 1.2, ratio("mean")),
+        ("recency_days", "mean_below_median", ratio("mean") < 0.8, ratio("mean")),
+        ("recency_days", "quarter_beyond_120_days", c("q75") > 120, c("q75")),
+        ("frequency", "moderate_concentration", c("skew_strength") == "moderate", c("skewness")),
+        ("frequency", "strong_concentration", (c("skew_strength") != "moderate") & heavy, c("skewness")),
+        ("frequency", "quarter_with_5_orders", c("q75") >= 5, c("q75")),
+        ("frequency", "quarter_with_3_orders", (c("q75") >= 3) & (c("q75") < 5), c("q75")),
+        ("frequency", "quarter_with_2_or_fewer", c("q25") <= 2, c("q25")),
+        ("monetary", "revenue_concentrated", heavy, c("skewness")),
+        ("monetary", "mean_over_3_medians", ratio("mean") > 3, ratio("mean")),
+        ("monetary", "top_decile_over_5_medians", ratio("q90") > 5, ratio("q90")),
+        ("monetary", "top_quarter_over_2_medians", ratio("q75") > 2, ratio("q75")),
+        ("loyalty_score", "strong_core", c("q75") >= 0.7, c("q75")),
+        ("loyalty_score", "weak_bottom", c("q25") <= 0.3, c("q25")),
+        ("loyalty_score", "weak_baseline", c("median") < 0.4, c("median")),
+        ("loyalty_score", "moderate_baseline", (c("median") >= 0.4) & (c("median") < 0.6), c("median")),
+        ("loyalty_score", "strong_baseline", c("median") >= 0.6, c("median")),
+        ("loyalty_score", "balanced", F.abs(c("skewness")) < 0.5, c("skewness")),
+    ]
+    items = [F.when(c("column_name") == col, F.struct(F.lit(rule).alias("rule_id"), F.coalesce(f, F.lit(False)).alias("fired"), m.cast("double").alias("metric"))) for col, rule, f, m in rules]
+    return profile.select("column_name", F.explode(F.array_compact(F.array(*items))).alias("r")).select("column_name", "r.*")
+
+
 def jarque_bera(df: DataFrame, columns: Sequence[str], p_value: bool = True) -> DataFrame:
     """Normality screen on all rows from skewness and excess kurtosis."""
     wide = df.agg(*[f for c in columns for f in (
@@ -315,17 +358,14 @@ def flag_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def two_proportion_pairs(rates: DataFrame, label: str, hits: str, n: str, alpha: float = 0.05, p_value: bool = True) -> DataFrame:
     """Two-proportion z-test for every pair of labels. ``rates`` has one row per label."""
-    a = rates.select(F.col(label).alias("label_a"), F.col(hits).alias("_ha"), F.col(n).alias("_na"))
-    b = rates.select(F.col(label).alias("label_b"), F.col(hits).alias("_hb"), F.col(n).alias("_nb"))
-    j = a.join(b, F.col("label_a") < F.col("label_b"))
-    pa, pb = F.col("_ha") / F.col("_na"), F.col("_hb") / F.col("_nb")
-    pool = (F.col("_ha") + F.col("_hb")) / (F.col("_na") + F.col("_nb"))
-    se = F.sqrt(pool * (1 - pool) * (1 / F.col("_na") + 1 / F.col("_nb")))
-    out = j.select("label_a", "label_b", (pa - pb).alias("difference"), safe_divide(pa - pb, se).alias("z"))
+    j = label_pairs(rates.select(F.col(label).alias("label"), F.col(hits).alias("k"), F.col(n).alias("n")), ["label", "k", "n"])
+    a, b = F.col("a"), F.col("b")
+    pool = (a["k"] + b["k"]) / (a["n"] + b["n"])
+    se = F.sqrt(pool * (1 - pool) * (1 / a["n"] + 1 / b["n"]))
+    diff = a["k"] / a["n"] - b["k"] / b["n"]
+    out = j.select(a["label"].alias("label_a"), b["label"].alias("label_b"), diff.alias("difference"), safe_divide(diff, se).alias("z"))
     if p_value:
-        k = rates.agg(F.count(F.lit(1)).alias("k")).scalar()
-        out = out.withColumn("p_value", F.least(p_normal(F.col("z")) * (k * (k - 1) / 2), F.lit(1.0)))
-        out = out.withColumn("significant", F.col("p_value") < alpha)
+        out = out.withColumn("p_value", _bonferroni(F.col("z"))).withColumn("significant", F.col("p_value") < alpha)
     return out
 
 

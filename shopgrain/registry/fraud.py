@@ -32,7 +32,7 @@ def _scored(s, d):
 
 
 def _segments(s, d):
-    seg = sg.rfm_segments(sg.rfm_scores(materialized(customer_features(_tx(s, d), CFG))))
+    seg = sg.rfm_segments(sg.rfm_scores(customer_features(_tx(s, d), CFG)))
     return seg.select("customer_id", F.col("rfm_segment").alias("segment_name"))
 
 

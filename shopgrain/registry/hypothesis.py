@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import hypothesis as op
-from ..operators import sales
+from ..operators import cohorts, sales
 from ..operators.customers import customer_features
-from ..session import materialized
 from ..sources.tables import transactions
 from .base import CFG, CUST, CUTOFF, TX, rounded
 from .segments import SEG
@@ -20,7 +19,7 @@ def _tx(s, d, *cols):
 def _seg(s, d):
     from ..operators.segments import rfm_scores, rfm_segments
 
-    return rfm_segments(rfm_scores(materialized(customer_features(transactions(s, d), CFG))))
+    return rfm_segments(rfm_scores(customer_features(transactions(s, d), CFG)))
 
 
 def _monthly(s, d):
@@ -47,6 +46,10 @@ def _suite(s, d):
     return out.withColumn("significant", F.col("p_value") < CFG.quality.alpha)
 
 
+def _month1(s, d):
+    return cohorts.month1_counts(cohorts.cohort_cells(_tx(s, d, "customer_id", "order_date", "total_amount", "returned"), CFG))
+
+
 _CORR = ["total_amount", "quantity", "price", "shipping_cost", "profit_margin"]
 _DIST = ["recency_days", "frequency", "monetary"]
 
@@ -67,6 +70,10 @@ QUERIES = {
     "correlation_pairs": lambda s, d: rounded(op.correlation_pairs(_tx(s, d, *_CORR), _CORR)),
     "correlation_matrix": lambda s, d: rounded(op.correlation_matrix(_tx(s, d, *_CORR), _CORR)),
     "distribution_profile": lambda s, d: rounded(op.distribution_profile(customer_features(transactions(s, d), CFG), _DIST), 6),
+    "distribution_insights": lambda s, d: rounded(op.distribution_insight_flags(
+        op.distribution_profile(customer_features(transactions(s, d), CFG), _DIST + ["loyalty_score"])), 4),
+    "cohort_pairs_p": lambda s, d: op.two_proportion_pairs(_month1(s, d), "cohort_month", "retained", "cohort_size"),
+    "region_pairs_p": lambda s, d: op.pairwise_mann_whitney(_tx(s, d, "region", "total_amount"), "total_amount", "region"),
     "jarque_bera": lambda s, d: rounded(op.jarque_bera(_tx(s, d, "total_amount", "quantity"), ["total_amount", "quantity"], p_value=False), 4),
     "flag_agreement": lambda s, d: rounded(op.flag_agreement(
         customer_features(transactions(s, d), CFG).select("churn", "last_order_was_return"), "churn", "last_order_was_return")),
@@ -157,3 +164,18 @@ k AS (SELECT *, (a + d) / n AS o, (a + b) / n * ((a + c) / n) + (1 - (a + b) / n
 SELECT a AS both, b AS only_a, c AS only_b, d AS neither, n, round(o, 6) AS observed, round(e, 6) AS expected, round((o - e) / (1 - e), 6) AS kappa,
   CASE WHEN (o - e) / (1 - e) < 0.2 THEN 'slight' WHEN (o - e) / (1 - e) < 0.4 THEN 'fair' WHEN (o - e) / (1 - e) < 0.6 THEN 'moderate' WHEN (o - e) / (1 - e) < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS agreement FROM k""",
 }
+
+_INSIGHTS = [
+    ("recency_days", "many_inactive", "skewness >= 0.1 AND skewness >= 0.5", "skewness"), ("recency_days", "mostly_recent", "skewness <= -0.1", "skewness"),
+    ("recency_days", "mean_above_median", "mean / median > 1.2", "mean / median"), ("recency_days", "mean_below_median", "mean / median < 0.8", "mean / median"),
+    ("recency_days", "quarter_beyond_120_days", "q75 > 120", "q75"), ("frequency", "moderate_concentration", "abs(skewness) >= 0.5 AND abs(skewness) < 1", "skewness"),
+    ("frequency", "strong_concentration", "skewness >= 1", "skewness"), ("frequency", "quarter_with_5_orders", "q75 >= 5", "q75"),
+    ("frequency", "quarter_with_3_orders", "q75 >= 3 AND q75 < 5", "q75"), ("frequency", "quarter_with_2_or_fewer", "q25 <= 2", "q25"),
+    ("monetary", "revenue_concentrated", "skewness >= 1", "skewness"), ("monetary", "mean_over_3_medians", "mean / median > 3", "mean / median"),
+    ("monetary", "top_decile_over_5_medians", "q90 / median > 5", "q90 / median"), ("monetary", "top_quarter_over_2_medians", "q75 / median > 2", "q75 / median"),
+    ("loyalty_score", "strong_core", "q75 >= 0.7", "q75"), ("loyalty_score", "weak_bottom", "q25 <= 0.3", "q25"), ("loyalty_score", "weak_baseline", "median < 0.4", "median"),
+    ("loyalty_score", "moderate_baseline", "median >= 0.4 AND median < 0.6", "median"), ("loyalty_score", "strong_baseline", "median >= 0.6", "median"),
+    ("loyalty_score", "balanced", "abs(skewness) < 0.5", "skewness"),
+]
+ORACLES["distribution_insights"] = f"WITH {CUST}, p AS (" + " UNION ALL ".join(_dist(c) for c in _DIST + ["loyalty_score"]) + ") " + " UNION ALL ".join(
+    f"SELECT column_name, '{r}' AS rule_id, {f} AS fired, round({m}, 4) AS metric FROM p WHERE column_name = '{c}'" for c, r, f, m in _INSIGHTS)

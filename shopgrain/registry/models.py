@@ -6,11 +6,12 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, churn, classify, clustering, features, forecast, fraud, hypothesis, quality, sales
+from ..operators import anomaly, churn, classify, clustering, features, forecast, fraud, hypothesis, quality, sales, segments
+from ..plans import flows
 from ..operators.customers import customer_features
 from ..session import materialized
 from ..sources.tables import transactions
-from .base import CFG, rounded
+from .base import CFG, CUTOFF, TX, rounded
 from .fraud import _FEAT, _features
 
 # Restarts, trees and iterations of the registered runs; the operators' defaults are larger.
@@ -23,7 +24,7 @@ def _vectors(s, d):
 
 
 def _clusters(s, d, k=4):
-    v = _vectors(s, d).persist()
+    v = _vectors(s, d)
     return clustering.assign_clusters(v, clustering.best_kmeans(v, k, CFG, RESTARTS))
 
 
@@ -107,6 +108,11 @@ def _pca(s, d):
     return features.pca(_vectors(s, d), 2)[0].select("customer_id", "pc1", "pc2")
 
 
+def _validation(s, d):
+    seg = segments.rfm_segments(segments.rfm_scores(customer_features(transactions(s, d), CFG)))
+    return flows.validate_segments(seg, ["recency_days", "frequency", "monetary", "loyalty_score"], "rfm_segment")
+
+
 QUERIES = {
     "vif": lambda s, d: features.vif(_churn(s, d, "all").where("is_train"), churn.feature_columns("composite"), CFG.churn.vif_threshold),
     "kmeans_segments": lambda s, d: clustering.cluster_sizes(_clusters(s, d)),
@@ -129,6 +135,9 @@ QUERIES = {
     "weekly_series": lambda s, d: rounded(_weekly(s, d)),
     "forecast_grid": _forecast,
     "history_and_forecast": _history,
+    "forecast_verdicts": lambda s, d: forecast.forecast_verdicts(
+        _forecast(s, d), sales.rolling_trend(sales.weekly_sales(sales.complete_months(transactions(s, d, ["order_date", "customer_id", "total_amount", "returned"]), CFG)), 13), CFG),
+    "segment_validation": _validation,
 }
 
 _F = CFG.fraud.model_features
@@ -144,10 +153,7 @@ lr AS (SELECT nb.p, 1 / (avg(greatest(d, kdist)) + 1e-10) AS lrd FROM nb JOIN kd
 lo AS (SELECT nb.p, avg(b.lrd) / max(a.lrd) AS lof FROM nb JOIN lr a ON nb.p = a.p JOIN lr b ON nb.o = b.p GROUP BY 1)
 SELECT p AS customer_id, round(lof, 4) AS lof_raw, round((lof - min(lof) OVER ()) / (max(lof) OVER () - min(lof) OVER ()), 4) AS lof_anomaly_score,
   CAST(lof > (SELECT quantile_cont(lof, 0.95) FROM lo) AS INTEGER) AS lof_anomaly_flag FROM lo""",
-    "weekly_series": None,
 }
-from .base import CUTOFF, TX  # noqa: E402
-
 _WS = "CAST(date_trunc('week', order_date) AS DATE) + 6 AS date, round(sum(amt) / 10000.0, 6) AS revenue FROM tx WHERE returned = 0 AND order_date < DATE '" + CUTOFF + "'"
 ORACLES["weekly_series"] = f"""WITH {TX} SELECT 'total' AS series, {_WS} GROUP BY ALL
 UNION ALL SELECT 'category:' || category, {_WS} GROUP BY ALL UNION ALL SELECT 'region:' || region, {_WS} GROUP BY ALL"""

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from ..operators import quality, segments as op
 from ..operators.customers import customer_features
-from ..session import materialized
 from ..sources.tables import transactions
 from .base import CFG, CUST, rounded
 
 
 def _cust(s, d):
-    return materialized(customer_features(transactions(s, d), CFG))
+    return customer_features(transactions(s, d), CFG)
 
 
 def _seg(s, d):
