@@ -74,6 +74,9 @@ def one_row(stats: DataFrame) -> Column:
     """The single row of ``stats`` as a struct-valued scalar subquery.
 
     Catalyst runs it once and inlines the row, so there is neither a driver round trip nor a join.
+    Spark runs subqueries on a small thread pool and a nested one waits inside its parent, so a plan
+    should hold a handful of them: many statistics go into one row, and inputs that carry
+    subqueries of their own are materialized first.
     """
     return stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias("s")).scalar()
 

@@ -185,24 +185,26 @@ def cohens_d(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     return w.withColumn("cohens_d", safe_divide(F.col("mean_a") - F.col("mean_b"), pooled, 0.0))
 
 
-def levene(df: DataFrame, value: str, group: str, p_value: bool = True) -> DataFrame:
+def levene(df: DataFrame, value: str, group: str, by: Sequence[str] = (), p_value: bool = True) -> DataFrame:
     """Median-centred Levene test: ANOVA on absolute deviations from exact group medians.
 
     Works on counts per (group, value), so the deviations are weighted, not repeated.
     """
+    by = list(by)
+    keys = [*by, group]
     counts = checkpointed(
         df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-        .groupBy(group, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("m"))
+        .groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("m"))
     )
-    med = quantiles(counts, value, {"med": 0.5}, by=[group], weight="m")
-    dev = counts.join(med, group).withColumn("d", F.abs(F.col(value) - F.col("med")))
+    med = quantiles(counts, value, {"med": 0.5}, by=keys, weight="m")
+    dev = counts.join(med, keys).withColumn("d", F.abs(F.col(value) - F.col("med")))
     m, d = F.col("m").cast("double"), F.col("d")
-    per = dev.groupBy(group).agg(F.sum("m").alias("n"), (F.sum(m * d) / F.sum("m")).alias("mean"), F.sum(m * d * d).alias("_dd"))
+    per = dev.groupBy(*keys).agg(F.sum("m").alias("n"), (F.sum(m * d) / F.sum("m")).alias("mean"), F.sum(m * d * d).alias("_dd"))
     n = F.col("n").cast("double")
     per = per.withColumn("var", safe_divide(F.col("_dd") - n * F.col("mean") * F.col("mean"), n - 1))
-    out = anova_of_moments(per.select(group, "n", "mean", "var"), (), p_value)
+    out = anova_of_moments(per.select(*keys, "n", "mean", "var"), by, p_value)
     return out.select(
-        F.col("statistic").alias("w_statistic"), "groups", "n_observations", *(["p_value"] if p_value else [])
+        *by, F.col("statistic").alias("w_statistic"), "groups", "n_observations", *(["p_value"] if p_value else [])
     )
 
 

@@ -78,17 +78,17 @@ def segmentation(tx: DataFrame, cust: DataFrame, folder: str | None = None, cfg:
 
 
 def validate_segments(df: DataFrame, values: list[str], group: str = "cluster", alpha: float = 0.05) -> DataFrame:
-    """One row per feature: Levene decides between ANOVA and Kruskal-Wallis, with effect size and verdict."""
-    out = None
-    for v in values:
-        lev = hypothesis.levene(df, v, group).select(F.col("p_value").alias("levene_p"))
-        an = hypothesis.anova(df, v, group).select(F.col("statistic").alias("f"), F.col("p_value").alias("f_p"), "eta_squared")
-        kw = hypothesis.kruskal_wallis(df, v, group).select(F.col("statistic").alias("h"), F.col("p_value").alias("h_p"))
-        row = lev.select(F.lit(v).alias("feature"), "levene_p", *[c.scalar().alias(n) for c, n in (
-            (an.select("f"), "f"), (an.select("f_p"), "f_p"), (an.select("eta_squared"), "eta_squared"), (kw.select("h"), "h"), (kw.select("h_p"), "h_p"))])
-        out = row if out is None else out.unionByName(row)
+    """One row per feature: Levene decides between ANOVA and Kruskal-Wallis, with effect size and verdict.
+
+    All features are tested together, as (feature, value) rows; the results are joined by feature.
+    """
+    long = df.select(group, *[F.col(v).cast("double").alias(v) for v in values]).unpivot([group], values, "feature", "value")
+    long = materialized(long)
+    an = hypothesis.anova(long, "value", group, by=["feature"]).select("feature", F.col("statistic").alias("f"), F.col("p_value").alias("f_p"), "eta_squared")
+    kw = hypothesis.kruskal_wallis(long, "value", group, by=["feature"]).select("feature", F.col("statistic").alias("h"), F.col("p_value").alias("h_p"))
+    lev = hypothesis.levene(long, "value", group, by=["feature"]).select("feature", F.col("p_value").alias("levene_p"))
     uneven = F.col("levene_p") < alpha
-    out = out.select(
+    out = lev.join(an, "feature").join(kw, "feature").select(
         "feature", "levene_p", F.when(uneven, "Kruskal-Wallis").otherwise("ANOVA").alias("test"),
         F.when(uneven, F.col("h")).otherwise(F.col("f")).alias("statistic"), F.when(uneven, F.col("h_p")).otherwise(F.col("f_p")).alias("p_value"), "eta_squared")
     return out.withColumn("effect", F.when(F.col("eta_squared") >= 0.14, "Large").when(F.col("eta_squared") >= 0.06, "Medium").otherwise("Small")).withColumn(
