@@ -33,7 +33,10 @@ def _boundaries(counts: DataFrame, value: str) -> list[float]:
 
 
 def _ranged_counts(df: DataFrame, value: str, by: list[str], weight: str | None, sums: list[str]):
-    """Distinct values with counts and range number, and per range its totals and what lies before it."""
+    """Distinct values with counts and range number, and per range its totals and what lies before it.
+
+    Up to ROWS_PER_RANGE distinct values there is one range, and None in place of the totals.
+    """
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = checkpointed(
         df.where(F.col(value).isNotNull())
@@ -42,12 +45,11 @@ def _ranged_counts(df: DataFrame, value: str, by: list[str], weight: str | None,
         .agg(n.cast("bigint").alias("n"), *[F.sum(c).alias(c) for c in sums])
     )
     cuts = _boundaries(counts, value)
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        ranged = Bucketizer(splits=splits, inputCol=value, outputCol="_range").transform(counts)
-        ranged = ranged.withColumn("_range", F.col("_range").cast("int"))
-    else:
-        ranged = counts.withColumn("_range", F.lit(0))
+    if not cuts:
+        return counts, None
+    splits = [float("-inf"), *cuts, float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol=value, outputCol="_range").transform(counts)
+    ranged = ranged.withColumn("_range", F.col("_range").cast("int"))
     measures = ["n", *sums]
     totals = ranged.groupBy(*by, "_range").agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
     across = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,7 +62,15 @@ def _ranged_counts(df: DataFrame, value: str, by: list[str], weight: str | None,
     return ranged, totals
 
 
-def _rank(ranged: DataFrame, totals: DataFrame, value: str, by: list[str], sums: list[str]) -> DataFrame:
+def _rank(ranged: DataFrame, totals: DataFrame | None, value: str, by: list[str], sums: list[str]) -> DataFrame:
+    if totals is None:
+        group = Window.partitionBy(*(by or [F.lit(0)]))
+        below = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        cum = {m: F.coalesce(F.sum(m).over(below), F.lit(0)) for m in ["n", *sums]}
+        return ranged.select(
+            *by, value, "n", cum["n"].alias("before"), F.sum("n").over(group).alias("total"),
+            *[c for m in sums for c in (F.col(m), cum[m].alias(f"{m}_before"), F.sum(m).over(group).alias(f"{m}_total"))],
+        )
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.join(totals, [*by, "_range"])
     before = {m: F.col(f"_off_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in ["n", *sums]}
@@ -101,6 +111,8 @@ def quantiles(
     """
     by = list(by)
     ranged, totals = _ranged_counts(df, value, by, weight, [])
+    if totals is None:
+        return quantiles_of_ranks(_rank(ranged, None, value, by, []), value, probs, by)
     ends = [f((F.col("total") - 1) * F.lit(float(p))) for p in probs.values() for f in (F.floor, F.ceil)]
     hit = reduce(lambda a, b: a | b, [(F.col("_off_n") <= e) & (e < F.col("_off_n") + F.col("_sum_n")) for e in ends])
     return quantiles_of_ranks(_rank(ranged, totals.where(hit), value, by, []), value, probs, by)
