@@ -11,7 +11,7 @@ from ..plans import flows
 from ..operators.customers import customer_features
 from ..session import materialized
 from ..sources.tables import transactions
-from .base import CFG, CUTOFF, TX, rounded
+from .base import CFG, CUST, CUTOFF, TX, rounded
 from .fraud import _FEAT, _features
 
 # Restarts, trees and iterations of the registered runs; the operators' defaults are larger.
@@ -121,7 +121,7 @@ QUERIES = {
     "choose_k": lambda s, d: clustering.choose_k(clustering.k_sweep(_vectors(s, d), CFG, 1), CFG),
     "stability": lambda s, d: clustering.stability(_vectors(s, d), 4, CFG, STABILITY_RUNS),
     "pca": _pca,
-    "scaled_feature_shape": lambda s, d: features.distribution_after_scaling(customer_features(transactions(s, d), CFG), list(CFG.segment.features)),
+    "scaled_feature_shape": lambda s, d: rounded(features.distribution_after_scaling(customer_features(transactions(s, d), CFG), list(CFG.segment.features))),
     "churn_models": _metrics,
     "churn_scores": _scored,
     "churn_importance": _importance,
@@ -157,3 +157,11 @@ SELECT p AS customer_id, round(lof, 4) AS lof_raw, round((lof - min(lof) OVER ()
 _WS = "CAST(date_trunc('week', order_date) AS DATE) + 6 AS date, round(sum(amt) / 10000.0, 6) AS revenue FROM tx WHERE returned = 0 AND order_date < DATE '" + CUTOFF + "'"
 ORACLES["weekly_series"] = f"""WITH {TX} SELECT 'total' AS series, {_WS} GROUP BY ALL
 UNION ALL SELECT 'category:' || category, {_WS} GROUP BY ALL UNION ALL SELECT 'region:' || region, {_WS} GROUP BY ALL"""
+
+
+def _shape(c):
+    return f"""SELECT '{c}' AS feature, round(avg(z), 6) + 0.0 AS mean, round(stddev_pop(z), 6) AS std, round(avg(pow(z, 3)), 6) AS skewness, round(avg(pow(z, 4)) - 3, 6) AS kurtosis
+  FROM (SELECT ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z FROM cust)"""
+
+
+ORACLES["scaled_feature_shape"] = f"WITH {CUST} " + " UNION ALL ".join(_shape(c) for c in CFG.segment.features)
