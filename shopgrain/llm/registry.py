@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op2_bin_completion
 from .sharding import op8_virtual_slots
 from .substrings import op7_rabin_karp
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_rabin_karp, op8_virtual_slots)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bin_completion, op7_rabin_karp, op8_virtual_slots)}
 ORACLES: dict[str, str] = {}
