@@ -148,10 +148,11 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
                 left[s] += copies
             used -= copies
             waste -= copies * (capacity - sum(filling))
-        if not stack[-1] or (budget <= 0 and not descent):
-            if budget <= 0 and not descent:
-                break
+        if budget <= 0:
+            break
+        if not stack[-1]:
             stack.pop()
+            descent = False
             continue
         filling = stack[-1].pop(0)
         need: dict[int, int] = {}
@@ -161,6 +162,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
         more = copies * (capacity - sum(filling))
         budget -= not descent
         if waste + more > (bins - 1) * capacity - total:  # the waste that a better solution may have
+            descent = False
             continue
         for s in filling:
             left[s] -= copies
