@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op3_nearest_centroid
+from .neardup import op10_chosen_path
 from .packing import op2_bin_completion
 from .sharding import op8_virtual_slots
 from .substrings import op7_rabin_karp
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bin_completion, op3_nearest_centroid, op7_rabin_karp, op8_virtual_slots)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bin_completion, op3_nearest_centroid, op7_rabin_karp, op8_virtual_slots, op10_chosen_path)}
 ORACLES: dict[str, str] = {}
