@@ -11,6 +11,7 @@ from .neardup import op10_chosen_path
 from .packing import op2_bin_completion
 from .sharding import op8_virtual_slots
 from .substrings import op7_rabin_karp
+from .suffixdedup import op9_induced_sorting
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bin_completion, op3_nearest_centroid, op7_rabin_karp, op8_virtual_slots, op10_chosen_path)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bin_completion, op3_nearest_centroid, op7_rabin_karp, op8_virtual_slots, op9_induced_sorting, op10_chosen_path)}
 ORACLES: dict[str, str] = {}
