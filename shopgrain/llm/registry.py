@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op1_pigeonhole_edit
 from .langid import op3_nearest_centroid
 from .neardup import op10_chosen_path
 from .packing import op2_bin_completion
@@ -13,5 +14,5 @@ from .sharding import op8_virtual_slots
 from .substrings import op7_rabin_karp
 from .suffixdedup import op9_induced_sorting
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bin_completion, op3_nearest_centroid, op7_rabin_karp, op8_virtual_slots, op9_induced_sorting, op10_chosen_path)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pigeonhole_edit, op2_bin_completion, op3_nearest_centroid, op7_rabin_karp, op8_virtual_slots, op9_induced_sorting, op10_chosen_path)}
 ORACLES: dict[str, str] = {}
