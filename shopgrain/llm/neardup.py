@@ -1,12 +1,14 @@
 """Near-duplicate documents: a chosen-path similarity join on word shingles, links confirmed on the full sets, connected components.
 
 Equal sets are one node of the join from the start, so groups of copies cost one row. Every tree sends each set down the paths named by its
-minwise tokens: the root branches on one coordinate per tree, and nodes that stay large branch again on ``BRANCHES`` coordinates each. Trees are independent,
-so a pair of similarity s is met with probability 1 - (1 - s) ** TREES at the roots.
+minwise tokens: the root branches on one coordinate per tree, and nodes that stay large branch again, ``BRANCHES`` times, by ``PATH`` further steps. Trees are independent,
+so a pair of similarity s is met with probability 1 - (1 - s) ** TREES at the roots, and with b branches of p steps at l levels with
+1 - (1 - s * (1 - (1 - s ** p) ** b) ** l) ** TREES.
 
 Inside a node the sets are first compared with the node's smallest set; what these links join needs no further comparison. Only nodes
-that still hold several components are compared further: small ones exhaustively, large ones after branching. Nodes that branching does not
-split are compared exhaustively too, in blocks: the sets outside the node's main component against all, so no pair of different components is left out.
+that still hold several components are compared further: small ones exhaustively, large ones after branching. A set y and a star of the pivot, sets that agree with it on
+e coordinates, are kept apart where y agrees with the pivot on fewer than e + m - COORDINATES, m being the coordinates a pair must agree on: no such pair can. Nodes that
+branching does not split are compared exhaustively too, in blocks: the sets outside the node's main component against all, so no pair of different components is left out.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ SHINGLE = 5
 PERCENT = 85
 COORDINATES = 64
 TREES = 10
-BRANCHES = 4
+#: Children of each set below a large node, and coordinates that name a child.
+BRANCHES = 3
+PATH = 3
 LEVELS = 3
+#: Equal coordinates with the pivot from which a set of its component counts as one of its star.
+STAR = 48
 #: Sets in a node that are compared exhaustively in one go.
 LEAF = 64
 #: Standard deviations below the expected number of equal coordinates at the threshold down to which a pair is confirmed on its full sets.
@@ -108,16 +114,36 @@ def _branches(level: int, branches: int):
         for batch in batches:
             mh = _matrix(batch.column("mh"), np.uint32, COORDINATES)
             node = batch.column("node").to_numpy().view(np.uint64)
-            sig = _signature(mh)
+            sig, every = _signature(mh), np.arange(len(mh))
             for b in range(branches):
-                at = X.mix(node + np.uint64(977 * level + b)) % np.uint64(COORDINATES)  # the node chooses its coordinates
-                value = mh[np.arange(len(mh)), at.astype(np.int64)].astype(np.uint64) | ((at + np.uint64(1)) << np.uint64(32))
-                child = X.mix(node ^ X.mix(value))
+                child = node
+                for step in range(PATH):
+                    at = X.mix(node + np.uint64(977 * level + 31 * b + step)) % np.uint64(COORDINATES)  # the node chooses its coordinates
+                    child = X.mix(child ^ X.mix(mh[every, at.astype(np.int64)].astype(np.uint64) | ((at + np.uint64(1)) << np.uint64(32))))
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("sid"), sig, batch.column("comp")], ["node", "sid", "sig", "comp"])
 
     return task
 
 
+def _parted(least: int):
+    """Rows of large nodes as two nodes: all but the pivot's star, and the star with what is near enough to the pivot to be linked to it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (_matrix(batch.column(c), np.uint8, COORDINATES) for c in ("pivot_sig", "sig"))
+            equal = (a == b).sum(1)
+            own = batch.column("comp").to_numpy() == batch.column("pivot_comp").to_numpy()
+            star = own & (equal >= STAR)
+            near = star | (~own & (equal >= STAR + least - COORDINATES))
+            node = batch.column("node").to_numpy().view(np.uint64)
+            for salt, take in ((1, ~star), (2, near)):
+                at = pa.array(np.flatnonzero(take))
+                child = pa.array(X.mix(node + np.uint64(salt))[take].view(np.int64))
+                yield pa.RecordBatch.from_arrays([child, *[batch.column(c).take(at) for c in ("sid", "sig", "comp")]], ["node", "sid", "sig", "comp"])
+
+    return task
+
+
 def _with_pivot(least: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,9 +221,9 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold more than one component, with the node's size."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    return rows.join(sizes.select("node", "size"), "node")
+    """Rows of nodes that hold more than one component, with the node's size and pivot."""
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("sid", "sig", "comp")).alias("pivot")).where("lo < hi")
+    return rows.join(nodes.select("node", "size", F.col("pivot.sig").alias("pivot_sig"), F.col("pivot.comp").alias("pivot_comp")), "node")
 
 
 def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
@@ -232,16 +258,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
     links = materialized(_confirm(docs, sets, stars, percent))
     labels = components(links)
 
+    row = "node bigint, sid bigint, sig binary, comp bigint"
     open_rows = materialized(_open(_labelled(rows.select("node", "sid", "sig"), labels)))
-    leaves = [open_rows.where(F.col("size") <= leaf)]
-    large = open_rows.where(F.col("size") > leaf)
+    leaves = []
     for level in range(LEVELS):
+        leaves.append(open_rows.where(F.col("size") <= leaf))
+        large = open_rows.where(F.col("size") > leaf)
         if large.isEmpty():
             break
-        children = large.select("node", "sid", "comp").join(sets.select("sid", "mh"), "sid").mapInArrow(_branches(level, BRANCHES), "node bigint, sid bigint, sig binary, comp bigint")
+        apart = materialized(_open(large.mapInArrow(_parted(least), row)))
+        leaves.append(apart.where(F.col("size") <= leaf))
+        large = apart.where(F.col("size") > leaf)
+        children = large.select("node", "sid", "comp").join(sets.select("sid", "mh"), "sid").mapInArrow(_branches(level, BRANCHES), row)
         open_rows = materialized(_open(children))
-        leaves.append(open_rows.where(F.col("size") <= leaf))
-        large = open_rows.where(F.col("size") > leaf)
+    leaves.append(open_rows.where(F.col("size") <= leaf))
+    large = open_rows.where(F.col("size") > leaf)
     parts = [r.select("node", "sid", "sig", "comp") for r in leaves] + [_blocks(large, leaf)]
     met = parts[0]
     for p in parts[1:]:
