@@ -27,7 +27,7 @@ ROUNDS = 8
 #: More labels than this are no languages; fitting stops with an error.
 MOST_LANGUAGES = 400
 #: A text is rejected when its cosine is under this share of the bound below which ``REJECT_QUANTILE`` of the training rows of like length lie.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.25
 REJECT_QUANTILE = 0.001
 _BINS = 1000
 _SIZES = 24
