@@ -29,6 +29,8 @@ MOST_LANGUAGES = 400
 #: A text is rejected when its cosine is under this share of the bound below which ``REJECT_QUANTILE`` of the training rows of like length lie.
 REJECT_SHARE = 0.25
 REJECT_QUANTILE = 0.001
+#: No text at least this close to a centroid is rejected: few training rows lie closer to their centroids than other good texts would.
+MOST_BOUND = 0.05
 _BINS = 1000
 _SIZES = 24
 _STEP_ROWS = 128
@@ -190,7 +192,7 @@ def fit(rows: DataFrame, clusters: int = CLUSTERS, seeds: int = SEEDS) -> Model
         for s in range(_SIZES):
             at = known[np.argmin(abs(known - s))]  # a class without rows takes the nearest one that has some
             near = seen[max(0, at - 1) : at + 2].sum(0)
-            bounds[s] = REJECT_SHARE * np.searchsorted(np.cumsum(near), REJECT_QUANTILE * near.sum(), "right") / _BINS
+            bounds[s] = min(MOST_BOUND, REJECT_SHARE * np.searchsorted(np.cumsum(near), REJECT_QUANTILE * near.sum(), "right") / _BINS)
     return Model(langs, centroids, idf, bounds)
 
 
