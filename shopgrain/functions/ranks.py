@@ -16,20 +16,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import checkpointed
 
-MAX_RANGES = 1024
 ROWS_PER_RANGE = 50_000
 
 
 def _boundaries(counts: DataFrame, value: str) -> list[float]:
-    """Cut points that split the distinct values evenly; at most MAX_RANGES numbers reach the driver.
+    """Cut points that split the distinct values evenly: one number per ROWS_PER_RANGE distinct values reaches the driver.
 
     The cuts only decide how work is spread. They become literals of the plan, so a retried task
     sees the same ranges; the ranks are exact whatever the cuts are.
     """
-    probs = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    n, grid = counts.agg(F.count(F.lit(1)), F.percentile_approx(value, F.lit(probs), F.lit(10 * MAX_RANGES))).first()
-    ranges = min(MAX_RANGES, n // ROWS_PER_RANGE + 1)
-    return sorted({grid[i * MAX_RANGES // ranges - 1] for i in range(1, ranges)})
+    ranges = counts.count() // ROWS_PER_RANGE + 1
+    if ranges == 1:
+        return []
+    probs = [i / ranges for i in range(1, ranges)]
+    return sorted(set(counts.agg(F.percentile_approx(value, F.lit(probs), F.lit(max(10_000, 10 * ranges)))).first()[0]))
 
 
 def _ranged_counts(df: DataFrame, value: str, by: list[str], weight: str | None, sums: list[str]):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -15,6 +17,15 @@ from ..functions.expr import one_row, safe_divide
 from .features import median_fill, scaled_vectors
 
 
+#: Fits that are submitted at the same time; each is a chain of small jobs that leaves most cores idle.
+PARALLEL_FITS = 8
+
+
+def _together(fit: Callable, items: Iterable) -> list:
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(fit, items))
+
+
 def cluster_vectors(cust: DataFrame, cfg: Config = DEFAULT, method: str = "standard") -> DataFrame:
     """customer_id and the scaled feature vector of every customer."""
     cols = list(cfg.segment.features)
@@ -25,18 +36,14 @@ def best_kmeans(vectors: DataFrame, k: int, cfg: Config = DEFAULT, restarts: int
     """The fit with the lowest cost out of several seeded k-means|| starts."""
     s = cfg.segment
     first = s.seed if seed is None else seed
-    best, cost = None, None
     cached = vectors.is_cached
     vectors = vectors if cached else vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for i in range(s.restarts if restarts is None else restarts):
-            m = KMeans(k=k, maxIter=s.max_iter, seed=first + i, featuresCol="features", predictionCol="cluster").fit(vectors)
-            if best is None or m.summary.trainingCost < cost:
-                best, cost = m, m.summary.trainingCost
+        fit = lambda i: KMeans(k=k, maxIter=s.max_iter, seed=first + i, featuresCol="features", predictionCol="cluster").fit(vectors)
+        return min(_together(fit, range(s.restarts if restarts is None else restarts)), key=lambda m: m.summary.trainingCost)
     finally:
         if not cached:
             vectors.unpersist()
-    return best
 
 
 def assign_clusters(vectors: DataFrame, model) -> DataFrame:
@@ -156,12 +163,16 @@ def stability(vectors: DataFrame, k: int, cfg: Config = DEFAULT, iterations: int
     try:
         ref = best_kmeans(vectors, k, cfg, restarts)
         base = ref.transform(vectors).select("features", F.col("cluster").alias("ref"))
-        rows = []
-        for i in range(s.stability_iterations if iterations is None else iterations):
+
+        def refit(i: int) -> tuple[int, float]:
             boot = base.sample(True, s.stability_fraction, s.seed + i).persist(StorageLevel.MEMORY_AND_DISK)
-            m = best_kmeans(boot, k, cfg, restarts, seed=s.seed + i)
-            rows.append((i, adjusted_rand(m.transform(boot), "ref", "cluster").first()[0]))
-            boot.unpersist()
+            try:
+                m = best_kmeans(boot, k, cfg, restarts, seed=s.seed + i)
+                return i, adjusted_rand(m.transform(boot), "ref", "cluster").first()[0]
+            finally:
+                boot.unpersist()
+
+        rows = _together(refit, range(s.stability_iterations if iterations is None else iterations))
     finally:
         vectors.unpersist()
     return vectors.sparkSession.createDataFrame(rows, "iteration int, ari double")

@@ -69,11 +69,15 @@ def arima_forecast(y: np.ndarray, order: tuple[int, int, int], steps: int) -> tu
     return out, float(aic), r
 
 
+#: Training weeks below which no model is fitted.
+MIN_TRAIN = 12
+
+
 def forecast_grid(weekly: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(series, p, d, q, date, actual, forecast, aic) over the test weeks of every series and order.
 
     Missing weeks of the grid are filled on the straight line between their neighbours for the fit and
-    are not scored.
+    are not scored. A series with fewer than MIN_TRAIN training weeks has its test weeks with a null forecast.
     """
     s = cfg.sales
     orders = [list(o) for o in s.arima_orders]
@@ -85,9 +89,9 @@ def forecast_grid(weekly: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         name, p, d, q = key
         pdf = pdf.sort_values("date").reset_index(drop=True)
         cut = int(len(pdf) * ratio)
-        empty = pd.DataFrame({"series": [], "p": [], "d": [], "q": [], "date": [], "actual": [], "forecast": [], "aic": []})
-        if cut < 12 or cut >= len(pdf):
-            return empty
+        if cut < MIN_TRAIN:  # too short to fit: its test weeks stay in the result, without a forecast
+            rest = pdf[cut:]
+            return pd.DataFrame({"series": name, "p": p, "d": d, "q": q, "date": rest["date"], "actual": rest["revenue"], "forecast": np.nan, "aic": np.nan})
         days = pd.to_datetime(pdf["date"])
         full = pd.Series(pdf["revenue"].to_numpy(), index=days).asfreq("7D")
         train = full[: days[cut - 1]].interpolate()
@@ -110,7 +114,7 @@ def forecast_metrics(grid: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         (F.avg(safe_divide(F.abs(e), F.col("actual"))) * 100).alias("mape"), F.max("aic").alias("aic"))
     order = Window.partitionBy("series").orderBy("mape", "p", "d", "q")  # six orders per series
     m = m.withColumn("rank", F.row_number().over(order))
-    return m.withColumn("verdict", ladder((F.col("mape") < cfg.sales.mape_excellent, "excellent"), (F.col("mape") < cfg.sales.mape_good, "good"), default="poor"))
+    return m.withColumn("verdict", ladder((F.col("mape").isNull(), "no forecast"), (F.col("mape") < cfg.sales.mape_excellent, "excellent"), (F.col("mape") < cfg.sales.mape_good, "good"), default="poor"))
 
 
 def forecast_residuals(grid: DataFrame, metrics: DataFrame) -> DataFrame:

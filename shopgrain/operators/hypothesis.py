@@ -372,11 +372,11 @@ def two_proportion_pairs(rates: DataFrame, label: str, hits: str, n: str, alpha:
 
 
 def missingness_mechanism(df: DataFrame, column: str, others: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """MCAR / MAR / POSSIBLY_MNAR label of one column from rank tests against up to ten others.
+    """MCAR / MAR / POSSIBLY_MNAR label of one column from rank tests against all others.
 
     All tests run as one grouped job over (other column, value, missing?) counts.
     """
-    tested = [c for c in others if c != column][:10]
+    tested = [c for c in others if c != column]
     flag = F.col(column).isNull().cast("int").alias("is_missing")
     long = df.select(flag, *[F.col(c).cast("double").alias(c) for c in tested]).unpivot(["is_missing"], tested, "other", "value")
     tests = mann_whitney(long, "value", "is_missing", by=["other"])

@@ -31,7 +31,7 @@ def time_trends(tx: DataFrame, cfg: Config = DEFAULT) -> dict[str, DataFrame]:
     return {"monthly": monthly, "seasonality": sales.seasonality(whole), "trend_metrics": sales.trend_metrics(monthly)}
 
 
-def sales_tables(tx: DataFrame, cust: DataFrame, cfg: Config = DEFAULT) -> dict[str, DataFrame]:
+def sales_tables(tx: DataFrame, cust: DataFrame, cfg: Config = DEFAULT, dashboard_categories: int = 7) -> dict[str, DataFrame]:
     """Every sales result, the forecast and the dashboard tables drawn from them."""
     out = time_trends(tx, cfg)
     whole = sales.complete_months(tx, cfg)
@@ -48,7 +48,7 @@ def sales_tables(tx: DataFrame, cust: DataFrame, cfg: Config = DEFAULT) -> dict[
     }
     out["kpis"] = sales.kpi_rollup({
         "time_trends": out["trend_metrics"], "discount": out["discount_summary"], "trend": trend, "portfolio": portfolio_kpis(tx, cust)})
-    out["top_categories"] = out["category"].orderBy(F.desc("revenue"), "category").limit(7)
+    out["top_categories"] = out["category"].orderBy(F.desc("revenue"), "category").limit(dashboard_categories)
     return out
 
 

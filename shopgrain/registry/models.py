@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..operators import anomaly, churn, classify, clustering, features, forecast, fraud, hypothesis, quality, sales, segments
@@ -14,10 +12,6 @@ from ..sources.tables import transactions
 from .base import CFG, CUST, CUTOFF, TX, rounded
 from .fraud import _FEAT, _features
 
-# Restarts, trees and iterations of the registered runs; the operators' defaults are larger.
-RESTARTS, TREES, BOOSTS, STABILITY_RUNS = 2, 20, 10, 4
-MODEL_CFG = replace(CFG, fraud=replace(CFG.fraud, trees=100))
-
 
 def _vectors(s, d):
     return materialized(clustering.cluster_vectors(customer_features(transactions(s, d), CFG), CFG))
@@ -25,7 +19,7 @@ def _vectors(s, d):
 
 def _clusters(s, d, k=4):
     v = _vectors(s, d)
-    return clustering.assign_clusters(v, clustering.best_kmeans(v, k, CFG, RESTARTS))
+    return clustering.assign_clusters(v, clustering.best_kmeans(v, k, CFG))
 
 
 def _churn(s, d, strategy="composite"):
@@ -34,7 +28,7 @@ def _churn(s, d, strategy="composite"):
 
 def _models(data, strategy, names=None):
     cols = churn.feature_columns(strategy)
-    return cols, classify.train_models(data, cols, CFG, TREES, BOOSTS, names)
+    return cols, classify.train_models(data, cols, CFG, names=names)
 
 
 def _metrics(s, d):
@@ -61,7 +55,7 @@ def _strategies(s, d):
     v = features.vif_by_strategy(data.where("is_train"), sets, CFG.churn.vif_threshold)
     rows = None
     for n in sets:
-        cols, models = _models(data, n, ["Logistic Regression"])
+        cols, models = _models(data, n, ["Gradient Boosting"])
         m = classify.evaluate_all(models, data.where("not is_train"), cols).select(F.lit(n).alias("strategy"), "f1")
         rows = m if rows is None else rows.unionByName(m)
     return churn.pick_strategy(v.join(rows, "strategy"))
@@ -79,14 +73,14 @@ def _lof(s, d):
 
 def _iso(s, d):
     z, cols = _scaled(s, d)
-    return anomaly.isolation_forest(z, cols, MODEL_CFG)
+    return anomaly.isolation_forest(z, cols, CFG)
 
 
 def _profile(s, d):
     feats = _features(s, d)
     cols = list(CFG.fraud.model_features)
     z = features.z_scores(feats, cols).select("customer_id", *cols)
-    both = anomaly.ensemble(fraud.rule_scores(feats, CFG), anomaly.isolation_forest(z, cols, MODEL_CFG), anomaly.local_outlier_factor(z, cols, CFG))
+    both = anomaly.ensemble(fraud.rule_scores(feats, CFG), anomaly.isolation_forest(z, cols, CFG), anomaly.local_outlier_factor(z, cols, CFG))
     return fraud.typology(fraud.composite_score(both, CFG), CFG)
 
 
@@ -117,9 +111,9 @@ QUERIES = {
     "vif": lambda s, d: features.vif(_churn(s, d, "all").where("is_train"), churn.feature_columns("composite"), CFG.churn.vif_threshold),
     "kmeans_segments": lambda s, d: clustering.cluster_sizes(_clusters(s, d)),
     "cluster_silhouette": lambda s, d: clustering.silhouette_by_cluster(_clusters(s, d)),
-    "k_sweep": lambda s, d: clustering.k_sweep(_vectors(s, d), CFG, 1),
-    "choose_k": lambda s, d: clustering.choose_k(clustering.k_sweep(_vectors(s, d), CFG, 1), CFG),
-    "stability": lambda s, d: clustering.stability(_vectors(s, d), 4, CFG, STABILITY_RUNS),
+    "k_sweep": lambda s, d: clustering.k_sweep(_vectors(s, d), CFG),
+    "choose_k": lambda s, d: clustering.choose_k(clustering.k_sweep(_vectors(s, d), CFG), CFG),
+    "stability": lambda s, d: clustering.stability(_vectors(s, d), 4, CFG),
     "pca": _pca,
     "scaled_feature_shape": lambda s, d: rounded(features.distribution_after_scaling(customer_features(transactions(s, d), CFG), list(CFG.segment.features))),
     "churn_models": _metrics,

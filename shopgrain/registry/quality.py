@@ -42,6 +42,18 @@ once AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY o
   ORDER BY price, discount, quantity, total_amount, shipping_cost, profit_margin, returned) AS rn FROM raw) WHERE rn = 1),
 dated AS (SELECT * FROM once WHERE order_date IS NOT NULL)"""
 
+def _users(s, d):
+    return read_table(s, d, "events").select(F.col("user_id").cast("string").alias("customer_id"))
+
+
+def _customers(s, d):
+    return read_table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"))
+
+
+def _buyers(s, d):
+    return read_table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("customer_id"))
+
+
 QUERIES = {
     "dedup_keep_first": lambda s, d: clean.dedup_keep_first(read_table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], _ORDER).select(
         "l_orderkey", "l_linenumber", *_ORDER[:3], "l_quantity"),
@@ -62,12 +74,9 @@ QUERIES = {
     "row_loss": lambda s, d: rounded(clean.row_loss(_raw(s, d), clean.parse_dates(_raw(s, d)), CFG)),
     "iqr_outliers": lambda s, d: rounded(quality.iqr_outliers(transactions(s, d, ["total_amount", "quantity", "discount", "shipping_cost"]),
                                          ["total_amount", "quantity", "discount", "shipping_cost"], CFG)),
-    "key_overlap": lambda s, d: rounded(quality.key_overlap(
-        transactions(s, d, ["customer_id", "returned"]).where("returned = 1"), transactions(s, d, ["customer_id", "order_date"]).where("order_date < '1997-01-01'"))),
-    "shared_keys": lambda s, d: quality.shared_keys(
-        transactions(s, d, ["customer_id", "returned"]).where("returned = 1"), transactions(s, d, ["customer_id", "order_date"]).where("order_date < '1997-01-01'"), "customer_id"),
-    "leftover_keys": lambda s, d: quality.leftover_keys(
-        transactions(s, d, ["customer_id", "order_date"]), transactions(s, d, ["customer_id", "order_date"]).where("order_date < '1997-01-01'"), "customer_id"),
+    "key_overlap": lambda s, d: rounded(quality.key_overlap(_users(s, d), _customers(s, d))),
+    "shared_keys": lambda s, d: quality.shared_keys(_users(s, d), _customers(s, d), "customer_id"),
+    "leftover_keys": lambda s, d: quality.leftover_keys(_customers(s, d), _buyers(s, d), "customer_id"),
     "fraud_input_checks": lambda s, d: rounded(quality.fraud_input_checks(transactions(s, d), customer_features(transactions(s, d), CFG))),
     "cohort_input_checks": lambda s, d: rounded(quality.cohort_input_checks(
         transactions(s, d), customer_features(transactions(s, d), CFG), CFG, window=("1995-01-01", "2001-08-01"), today="2001-08-01")),
@@ -197,11 +206,11 @@ SELECT f AS final_rows, violations, i AS initial_rows, round(completeness, 6) AS
     "row_loss": f"""WITH {TX}, a AS (SELECT count(*) AS b, count(*) FILTER (WHERE CAST(product_id AS BIGINT) % 97 <> 0) AS k FROM tx)
 SELECT k AS rows_after, b AS rows_before, round((b - k) * 100.0 / b, 6) AS loss_pct, (b - k) * 100.0 / b > 5 AS too_much FROM a""",
     "iqr_outliers": f"WITH {TX} " + " UNION ALL ".join(_OUT.format(c=c) for c in ("total_amount", "quantity", "discount", "shipping_cost")),
-    "key_overlap": f"""WITH {TX}, a AS (SELECT DISTINCT customer_id FROM tx WHERE returned = 1), b AS (SELECT DISTINCT customer_id FROM tx WHERE order_date < DATE '1997-01-01'),
-s AS (SELECT (SELECT count(*) FROM a) AS l, (SELECT count(*) FROM b) AS r, (SELECT count(*) FROM a JOIN b USING (customer_id)) AS m)
+    "key_overlap": """WITH a AS (SELECT DISTINCT user_id AS k FROM events), b AS (SELECT DISTINCT c_custkey AS k FROM customer),
+s AS (SELECT (SELECT count(*) FROM a) AS l, (SELECT count(*) FROM b) AS r, (SELECT count(*) FROM a JOIN b USING (k)) AS m)
 SELECT l AS left_keys, r AS right_keys, m AS shared, l - m AS left_only, r - m AS right_only, round(m * 100.0 / l, 6) AS overlap_pct FROM s""",
-    "shared_keys": f"WITH {TX} SELECT customer_id FROM tx WHERE returned = 1 INTERSECT SELECT customer_id FROM tx WHERE order_date < DATE '1997-01-01'",
-    "leftover_keys": f"WITH {TX} SELECT customer_id FROM tx EXCEPT SELECT customer_id FROM tx WHERE order_date < DATE '1997-01-01'",
+    "shared_keys": "SELECT CAST(user_id AS VARCHAR) AS customer_id FROM events INTERSECT SELECT CAST(c_custkey AS VARCHAR) FROM customer",
+    "leftover_keys": "SELECT CAST(c_custkey AS VARCHAR) AS customer_id FROM customer EXCEPT SELECT CAST(o_custkey AS VARCHAR) FROM orders",
     "fraud_input_checks": f"WITH {TX} " + _checks(_FRAUD_IN),
     "cohort_input_checks": f"WITH {TX} " + _checks(_COHORT_IN),
     "redact_pii": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'C\d{5}', '[REDACTED_CUSTOMER_ID]', 'g'),

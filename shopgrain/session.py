@@ -24,10 +24,12 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "12g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; only where none is set, a folder of our own."""
+    """The checkpoint folder the cluster names; a local session may do without one and gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shopgrain-ckpt-"))
     return sc.getCheckpointDir()
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.storagelevel import StorageLevel
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..config import DEFAULT, Config
 from ..operators.cohorts import wide_matrix
@@ -21,17 +20,12 @@ class WriteCheckError(RuntimeError):
 def write_verified(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), expected_rows: int | None = None) -> DataFrame:
     """Snappy Parquet, read back and compared by row count and columns; returns the read table.
 
-    Without ``expected_rows`` the frame is kept on disk while it is written, so that counting it does
-    not run its plan a second time.
+    Without ``expected_rows`` the rows are counted as they are written.
     """
-    kept = df if expected_rows is not None else df.persist(StorageLevel.DISK_ONLY)
-    try:
-        w = kept.write.mode("overwrite").option("compression", "snappy")
-        (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-        rows = expected_rows if expected_rows is not None else kept.count()
-    finally:
-        if expected_rows is None:
-            kept.unpersist()
+    seen = Observation()
+    w = (df if expected_rows is not None else df.observe(seen, F.count(F.lit(1)).alias("rows"))).write.mode("overwrite").option("compression", "snappy")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    rows = expected_rows if expected_rows is not None else seen.get["rows"]
     back = df.sparkSession.read.parquet(path)
     found = back.count()
     if rows != found or set(back.columns) != set(df.columns):

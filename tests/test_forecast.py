@@ -40,3 +40,13 @@ def test_grid_and_metrics(spark):
 def test_weekly_ends_on_sunday(make_tx):
     w = sales.weekly_sales(make_tx([dict(day=0), dict(day=6), dict(day=7), dict(day=7, returned=1)]))
     assert {(r["date"], r["transactions"]) for r in w.collect()} == {(dt.date(2024, 1, 7), 2), (dt.date(2024, 1, 14), 1)}
+
+
+def test_short_series_stay_in_the_result(spark):
+    import datetime as dt
+
+    weeks = [("short", dt.date(2024, 1, 7) + dt.timedelta(weeks=i), float(i + 1)) for i in range(8)]
+    grid = forecast.forecast_grid(spark.createDataFrame(weeks, "series string, date date, revenue double"))
+    rows = grid.collect()
+    assert rows and all(r.forecast is None and r.aic is None and r.actual is not None for r in rows)
+    assert {r.verdict for r in forecast.forecast_metrics(grid).collect()} == {"no forecast"}
