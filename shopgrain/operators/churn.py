@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.expr import MONEY_SCALE, count_if, money_sum, money_units, one_row, safe_divide
@@ -107,13 +107,18 @@ def min_max_loyalty(df: DataFrame, fit_on: DataFrame, recency: str = "recency_da
     return d.withColumn(name, sum(scaled[1:], scaled[0]) / 3).drop("_s")
 
 
+def split_hash(key: Column, seed: int) -> Column:
+    """48 bits of the MD5 of "key:seed": a number that other engines can compute too, and that a double holds exactly."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary")), 1, 12), 16, 10).cast("bigint")
+
+
 def stratified_split(df: DataFrame, label: str = "churn", cfg: Config = DEFAULT) -> DataFrame:
     """Adds is_train: per label, the floor(test share * n) smallest key hashes are the test rows.
 
     The cut per label is an exact order statistic of the hash, found without sorting a label's rows
     in one task; the split is the same in every run.
     """
-    h = df.withColumn("_h", (F.xxhash64("customer_id", F.lit(cfg.churn.seed)) / F.lit(2.0**11)).cast("bigint"))
+    h = df.withColumn("_h", split_hash(F.col("customer_id"), cfg.churn.seed))
     r = value_ranks(h.select(label, "_h"), "_h", by=[label])
     k = F.floor(F.col("total") * cfg.churn.test_size)
     cuts = r.groupBy(label).agg(F.max(F.when(F.col("before") + F.col("n") <= k, F.col("_h"))).alias("_cut"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -31,6 +32,9 @@ def rounded(df: DataFrame, digits: int = 6, exact: tuple[str, ...] = ()) -> Data
     )
 
 
+#: Two-sided critical values of z at 5 %, adjusted for the number of pairs.
+CRITICAL = "SELECT * FROM (VALUES " + ", ".join(f"({n}, {NormalDist().inv_cdf(1 - 0.025 / n)!r}::DOUBLE)" for n in range(1, 2001)) + ") AS c(pairs, critical)"
+
 TX = """
 tx AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS order_id,

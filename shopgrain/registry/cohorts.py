@@ -9,7 +9,7 @@ from ..operators import hypothesis, quality
 from ..operators.customers import customer_features
 from ..operators.segments import loyalty_tiers
 from ..sources.tables import transactions
-from .base import CFG, CUST, CUTOFF, TX, rounded
+from .base import CFG, CRITICAL, CUST, CUTOFF, TX, rounded
 
 _COLS = ["customer_id", "order_date", "total_amount", "returned"]
 
@@ -157,6 +157,10 @@ SELECT count(*) AS cohorts, CAST(sum(n) AS BIGINT) AS customers, round(max(p), 6
     "cohort_pairs": f"""WITH {_G}, m AS (SELECT cohort_month AS c, cohort_size AS n, active AS k FROM cells WHERE period_offset = 1 AND retention IS NOT NULL),
 p AS (SELECT a.c AS label_a, b.c AS label_b, a.k / a.n - b.k / b.n AS d, (a.k + b.k) / (a.n + b.n) AS q, 1 / a.n + 1 / b.n AS f FROM m a JOIN m b ON a.c < b.c)
 SELECT label_a, label_b, round(d, 6) AS difference, CASE WHEN q * (1 - q) > 0 THEN round(d / sqrt(q * (1 - q) * f), 6) END AS z FROM p""",
+    "cohort_pairs_p": f"""WITH {_G}, m AS (SELECT cohort_month AS c, cohort_size AS n, active AS k FROM cells WHERE period_offset = 1 AND retention IS NOT NULL),
+p AS (SELECT a.c AS label_a, b.c AS label_b, a.k / a.n - b.k / b.n AS d, (a.k + b.k) / (a.n + b.n) AS q, 1 / a.n + 1 / b.n AS f FROM m a JOIN m b ON a.c < b.c),
+z AS (SELECT label_a, label_b, CASE WHEN q * (1 - q) > 0 THEN d / sqrt(q * (1 - q) * f) END AS z, CAST(count(*) OVER () AS INTEGER) AS pairs FROM p)
+SELECT label_a, label_b, round(z, 6) AS z, coalesce(abs(z) > critical, false) AS significant FROM z JOIN ({CRITICAL}) USING (pairs)""",
     "cohort_insight_flags": f"""WITH {_G}{_AGG}, v AS (SELECT (SELECT retention FROM agg WHERE period_offset = 1) AS m1,
   (SELECT max(dropout_rate) FROM drp WHERE period_offset > 0) AS peak,
   (SELECT period_offset FROM drp WHERE period_offset > 0 ORDER BY dropout_rate DESC NULLS LAST, period_offset LIMIT 1) AS peak_at,

@@ -100,7 +100,7 @@ QUERIES = {
     "campaign_mix": lambda s, d: rounded(ch.campaign_mix(ch.risk_levels(_pred(s, d), CFG), _segments(s, d))),
     "segment_churn": lambda s, d: rounded(ch.segment_churn(_cutoff(s, d).select("customer_id", "churn"), _segments(s, d))),
     "stratified_split": lambda s, d: ch.stratified_split(_cutoff(s, d), cfg=CFG).select("customer_id", "churn", "is_train"),
-    "churn_dataset": lambda s, d: rounded(ch.churn_dataset(transactions(s, d), CFG, "all")),
+    "churn_dataset": lambda s, d: rounded(ch.churn_dataset(transactions(s, d), CFG, "all"), exact=("avg_order_value",)),
 }
 
 _VEL = """vday AS (SELECT customer_id, CAST(order_date - DATE '1970-01-01' AS BIGINT) AS day FROM {src}),
@@ -175,6 +175,10 @@ e AS (SELECT hot, CASE WHEN returned = 1 THEN amt ELSE 0 END AS r, CASE WHEN ret
   CASE WHEN returned = 0 AND discount = 0 AND profit_margin < 0 THEN CAST(round(-profit_margin * 10000) AS BIGINT) ELSE 0 END AS m, amt,
   returned = 1 AND discount > 0 AS o1, returned = 1 AND profit_margin < 0 AS o2, returned = 0 AND discount > 0 AND profit_margin < 0 AS o3 FROM tx JOIN h USING (customer_id))"""
 
+_SPLIT = f"""hs AS (SELECT *, 1.0 / (coalesce(recency_days, 999) + 1)::DOUBLE AS inv, ('0x' || substr(md5(customer_id || ':{CFG.churn.seed}'), 1, 12))::BIGINT AS h FROM cf),
+rh AS (SELECT *, rank() OVER (PARTITION BY churn ORDER BY h) + count(*) OVER (PARTITION BY churn, h) - 1 AS upto, count(*) OVER (PARTITION BY churn) AS total FROM hs),
+sp AS (SELECT *, upto > floor(total * {CFG.churn.test_size}) AS is_train FROM rh)"""
+
 ORACLES = {
     "fraud_features": f"WITH {_FEAT} SELECT {', '.join(_FEATINT)}, {', '.join(f'round({c}, 6) AS {c}' if c in _NOISY else c for c in _FEATCOLS)} FROM feat",
     "velocity": f"WITH {TX}, {_VEL.format(src='tx')} SELECT * EXCLUDE (gap_cv), round(gap_cv, 6) AS gap_cv FROM vel",
@@ -217,6 +221,12 @@ SELECT risk_tier, primary_typology, count(*) AS customers, round(avg(rule_fraud_
     "campaign_sizing": f"""WITH {TX}, {_CUT}, g AS (SELECT risk_level, count(*) AS customers, sum(CAST(round(monetary * 10000) AS BIGINT)) / 10000.0 AS rev, CASE risk_level WHEN 'High' THEN 0.3 WHEN 'Medium' THEN 0.5 ELSE 0.85 END::DOUBLE AS k FROM rk GROUP BY 1)
 SELECT risk_level, customers, round(rev, 3) AS revenue_at_risk, round(rev / customers, 3) AS avg_revenue, round(rev * k, 3) AS expected_saved, round(rev * 0.1::DOUBLE, 3) AS campaign_cost,
   round(rev * k - rev * 0.1::DOUBLE, 3) AS net_benefit FROM g""",
+    "stratified_split": f"WITH {TX}, {_CUT}, {_SPLIT} SELECT customer_id, churn, is_train FROM sp",
+    "churn_dataset": f"""WITH {TX}, {_CUT}, {_SPLIT},
+e AS (SELECT min(inv) AS ri, max(inv) - min(inv) AS rd, min(frequency) AS fi, max(frequency) - min(frequency) AS fd, min(monetary) AS mi, max(monetary) - min(monetary) AS md FROM sp WHERE is_train)
+SELECT customer_id, churn, is_train, recency_days, frequency, round(monetary, 6) AS monetary, round(net_monetary, 6) AS net_monetary, avg_order_value, tenure_days,
+  round((coalesce((inv - ri) / nullif(rd, 0), 0) + coalesce((frequency - fi) / nullif(fd, 0)::DOUBLE, 0) + coalesce((monetary - mi) / nullif(md, 0), 0)) / 3, 6) AS loyalty_score,
+  round(discount_usage_rate, 6) AS discount_usage_rate, category_diversity, round(return_rate, 6) AS return_rate, last_order_was_return FROM sp, e""",
     "campaign_mix": f"""WITH {SEG}, {_CUT}, g AS (SELECT risk_level, rfm_segment AS segment_name, count(*) AS customers FROM rk JOIN seg USING (customer_id) GROUP BY 1, 2)
 SELECT *, round(customers * 100.0 / sum(customers) OVER (PARTITION BY risk_level), 6) AS pct FROM g""",
     "segment_churn": f"WITH {SEG}, {_CUT} SELECT rfm_segment AS segment_name, count(*) AS customers, round(avg(cf.churn), 6) AS churn_rate FROM cf JOIN seg USING (customer_id) GROUP BY 1",

@@ -8,7 +8,7 @@ from ..operators import hypothesis as op
 from ..operators import cohorts, sales
 from ..operators.customers import customer_features
 from ..sources.tables import transactions
-from .base import CFG, CUST, CUTOFF, TX, rounded
+from .base import CFG, CRITICAL, CUST, CUTOFF, TX, rounded
 from .segments import SEG
 
 
@@ -72,8 +72,8 @@ QUERIES = {
     "distribution_profile": lambda s, d: rounded(op.distribution_profile(customer_features(transactions(s, d), CFG), _DIST), 6),
     "distribution_insights": lambda s, d: rounded(op.distribution_insight_flags(
         op.distribution_profile(customer_features(transactions(s, d), CFG), _DIST + ["loyalty_score"])), 4),
-    "cohort_pairs_p": lambda s, d: op.two_proportion_pairs(_month1(s, d), "cohort_month", "retained", "cohort_size"),
-    "region_pairs_p": lambda s, d: op.pairwise_mann_whitney(_tx(s, d, "region", "total_amount"), "total_amount", "region"),
+    "cohort_pairs_p": lambda s, d: rounded(op.two_proportion_pairs(_month1(s, d), "cohort_month", "retained", "cohort_size").select("label_a", "label_b", "z", "significant")),
+    "region_pairs_p": lambda s, d: op.pairwise_mann_whitney(_tx(s, d, "region", "total_amount"), "total_amount", "region").select("group_a", "group_b", "u_statistic", "significant"),
     "jarque_bera": lambda s, d: rounded(op.jarque_bera(_tx(s, d, "total_amount", "quantity"), ["total_amount", "quantity"], p_value=False), 4),
     "flag_agreement": lambda s, d: rounded(op.flag_agreement(
         customer_features(transactions(s, d), CFG).select("churn", "last_order_was_return"), "churn", "last_order_was_return")),
@@ -125,6 +125,12 @@ x AS (SELECT ga, gb, region, total_amount AS v FROM pr JOIN tx ON region = ga OR
 k AS (SELECT *, rank() OVER (PARTITION BY ga, gb ORDER BY v) + (count(*) OVER (PARTITION BY ga, gb, v) - 1) / 2.0 AS r FROM x)
 SELECT ga AS group_a, gb AS group_b, count(*) FILTER (WHERE region = ga) AS n_a, count(*) FILTER (WHERE region = gb) AS n_b,
   sum(r) FILTER (WHERE region = ga) - count(*) FILTER (WHERE region = ga) * (count(*) FILTER (WHERE region = ga) + 1) / 2.0 AS u_statistic FROM k GROUP BY 1, 2""",
+    "region_pairs_p": f"""WITH {TX}, pr AS (SELECT a.r AS ga, b.r AS gb FROM (SELECT DISTINCT region AS r FROM tx) a JOIN (SELECT DISTINCT region AS r FROM tx) b ON a.r < b.r),
+x AS (SELECT ga, gb, region, total_amount AS v FROM pr JOIN tx ON region = ga OR region = gb),
+k AS (SELECT *, rank() OVER (PARTITION BY ga, gb ORDER BY v) + (count(*) OVER (PARTITION BY ga, gb, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY ga, gb, v)::DOUBLE AS c FROM x),
+u AS (SELECT ga, gb, (count(*) FILTER (WHERE region = ga))::DOUBLE AS a, (count(*) FILTER (WHERE region = gb))::DOUBLE AS b, sum(r) FILTER (WHERE region = ga) AS s, sum(c * c - 1) AS t FROM k GROUP BY 1, 2),
+z AS (SELECT ga, gb, s - a * (a + 1) / 2.0 AS u, (abs(s - a * (a + 1) / 2.0 - a * b / 2) - 0.5) / sqrt(a * b / 12 * (a + b + 1 - t / ((a + b) * (a + b - 1)))) AS z, CAST(count(*) OVER () AS INTEGER) AS pairs FROM u)
+SELECT ga AS group_a, gb AS group_b, u AS u_statistic, z > critical AS significant FROM z JOIN ({CRITICAL}) USING (pairs)""",
     "rank_sums_category": f"WITH {TX}, {_ranked('total_amount', 'category', 'tx')} SELECT g AS category, n, CAST(rs AS DOUBLE) AS rank_sum, CAST(nt AS BIGINT) AS total_n FROM gs, nn",
     "mannwhitney_discount": f"""{_DISC}, {_ranked('total_amount', 'discounted', 'dd')},
 w AS (SELECT max(n) FILTER (WHERE g = 1) AS a, max(n) FILTER (WHERE g = 0) AS b, max(rs) FILTER (WHERE g = 1) AS r FROM gs),

@@ -102,5 +102,5 @@ def test_missingness_looks_at_all_columns(spark):
     names = [f"c{i:02d}" for i in range(12)]
     rows = [(None if i % 2 else float(i), *[float((i * 7 + j) % 5) for j in range(11)], float(i % 2 * 100 + i % 3)) for i in range(120)]
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in ["v", *names]))
-    r = hypothesis.missingness_mechanism(df, "v", names).first()
+    r = h.missingness_mechanism(df, "v", names).first()
     assert r.tests == 12 and r.mechanism == "MAR"
