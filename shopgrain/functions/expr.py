@@ -81,10 +81,6 @@ def one_row(stats: DataFrame) -> Column:
     return stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias("s")).scalar()
 
 
-def with_stats(df: DataFrame, name: str, stats: DataFrame) -> DataFrame:
-    return df.withColumn(name, one_row(stats))
-
-
 def unpivot(df: DataFrame, ids: list[str], values: list[str], key: str, value: str) -> DataFrame:
     return df.unpivot(ids, values, key, value)
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.expr import (
-    MONEY_SCALE, clip01, count_if, day_number, ladder, money_sum, money_units, one_row, safe_divide, share,
+    MONEY_SCALE, clip01, count_if, day_number, ladder, money_units, one_row, safe_divide, share,
 )
 from ..functions.ranks import quantiles
+from ..session import materialized
 
 # Rules as (name, feature, threshold field, weight field, floor).
 RULES = (
@@ -97,7 +98,7 @@ def fraud_features(tx: DataFrame, cust: DataFrame, cfg: Config = DEFAULT) -> Dat
 
     Orders are reduced to (customer, day, category, payment) with map-side combining. That bounds
     a customer's rows by the calendar and the label sets. Windows and the final aggregate then
-    share one partitioning on customer_id, so the transactions are read and shuffled once.
+    share one partitioning on customer_id. The transactions are read twice: for the two cut values, and for the features.
     """
     f = cfg.fraud
     c = F.col
@@ -136,8 +137,8 @@ def fraud_features(tx: DataFrame, cust: DataFrame, cfg: Config = DEFAULT) -> Dat
         "always_max_discount": (c("max_discount_rate") >= f.always_max_share).cast("int"),
         "all_negative_margins": (c("negative_margin_rate") >= 1.0).cast("int"),
     })
-    z = one_row(tx.groupBy("customer_id").agg((money_sum(amount) / F.count("*")).alias("a")).agg(
-        F.avg("a").alias("m"), F.stddev_pop("a").alias("s")))
+    per = materialized(per)  # read twice: for the mean and deviation over customers, and for the result
+    z = one_row(per.agg(F.avg("avg_order_value").alias("m"), F.stddev_pop("avg_order_value").alias("s")))
     per = per.withColumn("_z", z).withColumn("aov_zscore", safe_divide(c("avg_order_value") - c("_z.m"), c("_z.s"), 0.0)).drop("_z")
     extra = ["recency_days", "frequency", "monetary", "loyalty_score"]
     out = per.join(cust.select("customer_id", *extra), "customer_id", "left")

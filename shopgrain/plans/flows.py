@@ -15,7 +15,7 @@ from ..sources import cache, readers, writers
 
 def prepare(spark: SparkSession, csv_path: str, folder: str, cfg: Config = DEFAULT) -> dict[str, DataFrame]:
     """CSV to cleaned transactions and customer features, with the quality tables of both."""
-    raw = readers.read_raw_csv(spark, csv_path, validate=False)
+    raw = clean.require_rows(readers.read_raw_csv(spark, csv_path, validate=False))
     profile = quality.missingness_profile(raw)
     tx = writers.write_verified(clean.clean_transactions(raw, cfg), f"{folder}/transactions.parquet")
     cust = writers.write_verified(cache.cached_customers(tx, f"{folder}/cache", cfg), f"{folder}/customers.parquet")

@@ -6,8 +6,8 @@ import dataclasses
 import hashlib
 import json
 import time
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULT, Config
@@ -28,11 +28,15 @@ def cached_customers(tx: DataFrame, folder: str, cfg: Config = DEFAULT) -> DataF
     """The stored customer table when one matches, else a new one, stored on the way."""
     spark = tx.sparkSession
     path = f"{folder}/{PREFIX}{cache_key(tx, cfg)}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        customer_features(tx, cfg).write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):  # written beside the entry first, so that nobody reads half of it
+        fresh = f"{path}-{uuid.uuid4().hex}"
+        customer_features(tx, cfg).write.parquet(fresh)
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), at):
+            return spark.read.parquet(fresh)
+    return spark.read.parquet(path)
 
 
 def _entries(spark: SparkSession, folder: str):
