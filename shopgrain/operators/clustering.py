@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
@@ -17,13 +18,11 @@ from ..functions.expr import one_row, safe_divide
 from .features import median_fill, scaled_vectors
 
 
-#: Fits that are submitted at the same time; each is a chain of small jobs that leaves most cores idle.
+#: Fits of stability samples that are submitted at the same time; each is a chain of small jobs that leaves most cores idle.
 PARALLEL_FITS = 8
-
-
-def _together(fit: Callable, items: Iterable) -> list:
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return list(pool.map(fit, items))
+#: Points from which the first centres are drawn.
+START_SAMPLE = 4_000
+TOLERANCE = 1e-4
 
 
 def cluster_vectors(cust: DataFrame, cfg: Config = DEFAULT, method: str = "standard") -> DataFrame:
@@ -32,18 +31,100 @@ def cluster_vectors(cust: DataFrame, cfg: Config = DEFAULT, method: str = "stand
     return scaled_vectors(median_fill(cust.select("customer_id", *cols), cols), cols, method).select("customer_id", "features")
 
 
-def best_kmeans(vectors: DataFrame, k: int, cfg: Config = DEFAULT, restarts: int | None = None, seed: int | None = None):
-    """The fit with the lowest cost out of several seeded k-means|| starts."""
+class Centres:
+    """Fitted centres: ``transform`` adds the nearest one's number."""
+
+    def __init__(self, points: np.ndarray, cost: float):
+        self.points, self.cost = points, cost
+
+    def clusterCenters(self) -> list[np.ndarray]:
+        return list(self.points)
+
+    def transform(self, vectors: DataFrame) -> DataFrame:
+        x = vector_to_array("features")
+        centres = F.array(*[F.struct(F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v).alias("d"), F.lit(i).alias("i"))
+                            for i, c in enumerate(self.points)])
+        return vectors.withColumn("cluster", F.array_min(centres)["i"])
+
+
+def _start(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on the sample."""
+    rng = np.random.default_rng(seed)
+    out = [sample[rng.integers(len(sample))]]
+    near = ((sample - out[0]) ** 2).sum(1)
+    for _ in range(1, min(k, len(sample))):
+        total = near.sum()
+        out.append(sample[rng.choice(len(sample), p=near / total) if total > 0 else rng.integers(len(sample))])
+        near = np.minimum(near, ((sample - out[-1]) ** 2).sum(1))
+    return np.array(out)
+
+
+def _sums(fits: dict[int, np.ndarray], dim: int):
+    """Per fit and cluster: number, cost and coordinate sums of a task's points, for all fits in one reading."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {f: np.zeros((len(c), dim + 2)) for f, c in fits.items()}
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, dim)
+            for f, c in fits.items():
+                d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
+                own = d.argmin(1)
+                cols = [np.ones(len(x)), np.maximum(d[np.arange(len(x)), own], 0), *x.T]
+                total[f] += np.column_stack([np.bincount(own, v, len(c)) for v in cols])
+        rows = [(f, i, *r) for f, t in total.items() for i, r in enumerate(t)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["fit", "cluster", "n", "cost", *[f"s{j}" for j in range(dim)]])
+
+    return task
+
+
+def kmeans_fits(vectors: DataFrame, wanted: list[tuple[int, int]], max_iter: int) -> list[Centres]:
+    """Lloyd's algorithm for many (k, seed) at once: one reading of the points per round serves all fits that still move."""
+    points = vectors.select(vector_to_array("features").alias("x"))
+    n = points.count()
+    if not n:
+        raise ValueError("no points to cluster")
+    drawn = points.where(F.rand(wanted[0][1]) <= min(1.0, 1.5 * START_SAMPLE / n)).limit(START_SAMPLE).collect() or points.limit(START_SAMPLE).collect()
+    sample = np.array(sorted(r.x for r in drawn))
+    dim = sample.shape[1]
+    centres = {i: _start(sample, k, seed) for i, (k, seed) in enumerate(wanted)}
+    cost, moving = {}, set(centres)
+    schema = "fit bigint, cluster bigint, n double, cost double, " + ", ".join(f"s{j} double" for j in range(dim))
+    for step in range(max_iter + 1):
+        sums = points.mapInArrow(_sums({i: centres[i] for i in moving}, dim), schema).groupBy("fit", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *[f"s{j}" for j in range(dim)])])
+        new = {i: centres[i].copy() for i in moving}
+        cost |= dict.fromkeys(moving, 0.0)
+        for r in sums.collect():  # fits times clusters rows
+            cost[r.fit] += r.cost
+            if r.n:
+                new[r.fit][r.cluster] = [r[f"s{j}"] / r.n for j in range(dim)]
+        if step == max_iter:
+            break
+        still = {i for i in moving if ((new[i] - centres[i]) ** 2).sum(1).max() > TOLERANCE**2}
+        centres |= {i: new[i] for i in still}
+        moving = still
+        if not moving:
+            break
+    return [Centres(centres[i], cost[i]) for i in range(len(wanted))]
+
+
+def best_kmeans(vectors: DataFrame, k: int, cfg: Config = DEFAULT, restarts: int | None = None, seed: int | None = None) -> Centres:
+    """The fit with the lowest cost out of several seeded starts."""
+    return _best(vectors, [k], cfg, restarts, seed)[0]
+
+
+def _best(vectors: DataFrame, ks: Iterable[int], cfg: Config, restarts: int | None, seed: int | None = None) -> list[Centres]:
     s = cfg.segment
     first = s.seed if seed is None else seed
+    tries = s.restarts if restarts is None else restarts
+    wanted = [(k, first + i) for k in ks for i in range(tries)]
     cached = vectors.is_cached
     vectors = vectors if cached else vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fit = lambda i: KMeans(k=k, maxIter=s.max_iter, seed=first + i, featuresCol="features", predictionCol="cluster").fit(vectors)
-        return min(_together(fit, range(s.restarts if restarts is None else restarts)), key=lambda m: m.summary.trainingCost)
+        fits = kmeans_fits(vectors, wanted, s.max_iter)
     finally:
         if not cached:
             vectors.unpersist()
+    return [min(fits[i : i + tries], key=lambda m: m.cost) for i in range(0, len(fits), tries)]
 
 
 def assign_clusters(vectors: DataFrame, model) -> DataFrame:
@@ -101,8 +182,8 @@ def k_sweep(vectors: DataFrame, cfg: Config = DEFAULT, restarts: int | None = No
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     try:
-        for k in cfg.segment.k_values:
-            lab = best_kmeans(vectors, k, cfg, restarts).transform(vectors)
+        for k, best in zip(cfg.segment.k_values, _best(vectors, cfg.segment.k_values, cfg, restarts)):
+            lab = best.transform(vectors)
             s = separation(lab)
             sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(lab)
             rows.append((k, s["inertia"], sil, s["davies_bouldin"], s["calinski_harabasz"]))
@@ -172,7 +253,8 @@ def stability(vectors: DataFrame, k: int, cfg: Config = DEFAULT, iterations: int
             finally:
                 boot.unpersist()
 
-        rows = _together(refit, range(s.stability_iterations if iterations is None else iterations))
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            rows = list(pool.map(refit, range(s.stability_iterations if iterations is None else iterations)))
     finally:
         vectors.unpersist()
     return vectors.sparkSession.createDataFrame(rows, "iteration int, ari double")
