@@ -5,8 +5,9 @@ minwise tokens: the root branches on one coordinate per tree, and nodes that sta
 so a pair of similarity s is met with probability 1 - (1 - s) ** TREES at the roots, and with b branches of p steps at l levels with
 1 - (1 - s * (1 - (1 - s ** p) ** b) ** l) ** TREES.
 
-Inside a node the sets are first compared with the node's smallest set; what these links join needs no further comparison. Only nodes
-that still hold several components are compared further: small ones exhaustively, large ones after branching. A set y and a star of the pivot, sets that agree with it on
+Inside a node the sets are first compared with the node's smallest set; what these links join needs no further comparison. Large nodes
+that still hold several components are then compared with their medoid, the set nearest to the most frequent value of each coordinate, which for near copies of one
+text is that text. Only nodes that even so hold several components are compared further: small ones exhaustively, large ones after branching. A set y and a star of the pivot, sets that agree with it on
 e coordinates, are kept apart where y agrees with the pivot on fewer than e + m - COORDINATES, m being the coordinates a pair must agree on: no such pair can. Nodes that
 branching does not split are compared exhaustively too, in blocks: the sets outside the node's main component against all, so no pair of different components is left out.
 """
@@ -35,7 +36,7 @@ LEVELS = 3
 #: Equal coordinates with the pivot from which a set of its component counts as one of its star.
 STAR = 48
 #: Sets in a node that are compared exhaustively in one go.
-LEAF = 64
+LEAF = 32
 #: Standard deviations below the expected number of equal coordinates at the threshold down to which a pair is confirmed on its full sets.
 SLACK = 5.0
 
@@ -154,6 +155,28 @@ def _with_pivot(least: int):
     return task
 
 
+def _modes(t: pa.Table) -> pa.Table:
+    """The most frequent value of each coordinate among a node's drawn sets."""
+    sig = _matrix(t.column("sig").combine_chunks(), np.uint8, COORDINATES)
+    mode = np.array([np.bincount(c, minlength=256).argmax() for c in sig.T], np.uint8)
+    return pa.table({"node": t.column("node").slice(0, 1), "mode": pa.array([mode.tobytes()], pa.binary())})
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (_matrix(batch.column(c), np.uint8, COORDINATES) for c in ("mode", "sig"))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array((a == b).sum(1).astype(np.int32)), *[batch.column(c) for c in ("sid", "sig", "comp")]], ["node", "equal", "sid", "sig", "comp"])
+
+
+def _medoids(rows: DataFrame, leaf: int) -> DataFrame:
+    """(node, pivot, pivot_sig, pivot_comp): the set of each large node that agrees most with the modes of about ``leaf`` of its sets."""
+    drawn = rows.where(F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / leaf)) == 0)
+    modes = drawn.select("node", "sig").groupBy("node").applyInArrow(_modes, "node bigint, mode binary")
+    votes = rows.select("node", "sid", "sig", "comp").join(modes, "node").select("node", "sid", "sig", "comp", "mode").mapInArrow(_agreement, "node bigint, equal int, sid bigint, sig binary, comp bigint")
+    best = votes.groupBy("node").agg(F.max(F.struct("equal", "sid", "sig", "comp")).alias("best"))
+    return best.select("node", F.col("best.sid").alias("pivot"), F.col("best.sig").alias("pivot_sig"), F.col("best.comp").alias("pivot_comp"))
+
+
 def _crossing(least: int):
     """Pairs of different components with enough equal coordinates, within runs of rows of one node; the rows come sorted by node."""
 
@@ -260,6 +283,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
 
     row = "node bigint, sid bigint, sig binary, comp bigint"
     open_rows = materialized(_open(_labelled(rows.select("node", "sid", "sig"), labels)))
+    large = open_rows.where(F.col("size") > leaf).select("node", "sid", "sig", "comp", "size")
+    if not large.isEmpty():
+        around = large.join(_medoids(large, leaf), "node").where("comp <> pivot_comp").select("pivot", "sid", "pivot_sig", "sig")
+        around = around.mapInArrow(_with_pivot(least), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        around = materialized(around.join(stars, ["a", "b"], "left_anti"))
+        links = materialized(links.unionByName(_confirm(docs, sets, around, percent)))
+        stars = stars.unionByName(around)
+        labels = components(links)
+        open_rows = materialized(_open(_labelled(rows.select("node", "sid", "sig"), labels)))
     leaves = []
     for level in range(LEVELS):
         leaves.append(open_rows.where(F.col("size") <= leaf))
