@@ -263,9 +263,9 @@ def _blocks(rows: DataFrame, leaf: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """Per row of ``docs``: did, th, n_shingles and component (the smallest did that links reach).
+    """Per row of ``docs``: did, th, n_shingles, component (the smallest did that links reach) and grp, which names the group of linked sets.
 
-    Null and empty texts, and texts without a word, have an empty set and are linked with nothing. Rows with equal sets are one group. Rows
+    Rows that share an id can be in several groups; then these have one component, but each its own grp, which is null for an empty set. Null and empty texts, and texts without a word, have an empty set and are linked with nothing. Rows with equal sets are one group. Rows
     with a null doc_id have the largest did. An empty table gives no rows.
     """
     docs = keyed(docs)
@@ -317,8 +317,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
 
     own = _labelled(sets.select("sid", "s1", "s2", "n", "did"), labels)
     lowest = own.groupBy("comp").agg(F.min("did").alias("component"))
-    by_set = own.join(lowest, "comp").select("s1", "s2", "n", "component")
-    return sketches.join(by_set, ["s1", "s2", "n"], "left").select("did", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "did").alias("component"))
+    by_set = own.join(lowest, "comp").select("s1", "s2", "n", "component", F.col("comp").alias("grp"))
+    return sketches.join(by_set, ["s1", "s2", "n"], "left").select("did", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "did").alias("component"), "grp")
 
 
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,15 @@ def test_empty(spark, tmp_path):
 def test_run_keeps_whole_documents(spark, sf):
     out = P.run(spark, sf)
     assert out.count() > 0 and out.where("offset + length > 1024 OR offset < 0").count() == 0
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark, tmp_path):
+    """Different texts under one id, or under none, are documents of their own."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(120)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, c), (None, c + " end"), (None, c), (None, "one two"), (None, None), (None, " "), (4, a), (5, d), (5, b + " end"), (5, "three four"), (6, "three four"), (6, "five six")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.near_duplicates(spark, docs, str(tmp_path)).select("doc_id", "text").collect()
+    texts = sorted((r.doc_id or 99, r.text or "") for r in got)
+    of_c = [r.text for r in got if r.text in (c, c + " end")]
+    assert len(of_c) == 1
+    assert texts == sorted([(4, a), (5, d), (5, b + " end"), (5, "three four"), (6, "five six"), (99, of_c[0]), (99, "one two"), (99, ""), (99, " ")])
