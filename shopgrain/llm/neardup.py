@@ -1,7 +1,7 @@
 """Near-duplicate documents: a chosen-path similarity join on word shingles, links confirmed on the full sets, connected components.
 
 Equal sets are one node of the join from the start, so groups of copies cost one row. Every tree sends each set down the paths named by its
-minwise tokens: the root branches on one coordinate per tree, and nodes that stay large branch again, ``BRANCHES`` times, by ``PATH`` further steps. Trees are independent,
+minwise tokens: the root branches on one coordinate per tree, and nodes that stay large branch again, ``branches`` times, by ``PATH`` further steps. Trees are independent,
 so a pair of similarity s is met with probability 1 - (1 - s) ** TREES at the roots, and with b branches of p steps at l levels with
 1 - (1 - s * (1 - (1 - s ** p) ** b) ** l) ** TREES.
 
@@ -29,10 +29,11 @@ SHINGLE = 5
 PERCENT = 85
 COORDINATES = 64
 TREES = 10
-#: Children of each set below a large node, and coordinates that name a child.
-BRANCHES = 3
+#: Coordinates that name a child of a large node, and levels of children; how many children a set has follows from the similarity asked for.
 PATH = 3
 LEVELS = 3
+#: A pair at the threshold is missed below large nodes with at most this probability, or twice that of being missed by all roots.
+MISSED = 1e-5
 #: Equal coordinates with the pivot from which a set of its component counts as one of its star.
 STAR = 48
 #: Sets in a node that are compared exhaustively in one go.
@@ -49,6 +50,14 @@ def least_equal(percent: int) -> int:
     return int(np.floor(COORDINATES * p - SLACK * np.sqrt(COORDINATES * p * (1 - p))))
 
 
+def branches(percent: int, trees: int = TREES) -> int:
+    """Fewest children of each set at which pairs at the threshold are missed with no more than the probability allowed by ``MISSED``."""
+    s, b = percent / 100, 1
+    while (1 - s * (1 - (1 - s**PATH) ** b) ** LEVELS) ** trees > max(MISSED, 2 * (1 - s) ** trees):
+        b += 1
+    return b
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each row's k-word shingles; with fewer words the whole sequence is one, without words none."""
     low = X.LOWER[data]
@@ -110,13 +119,13 @@ def _roots(trees: int):
     return task
 
 
-def _branches(level: int, branches: int):
+def _branches(level: int, count: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mh = _matrix(batch.column("mh"), np.uint32, COORDINATES)
             node = batch.column("node").to_numpy().view(np.uint64)
             sig, every = _signature(mh), np.arange(len(mh))
-            for b in range(branches):
+            for b in range(count):
                 child = node
                 for step in range(PATH):
                     at = X.mix(node + np.uint64(977 * level + 31 * b + step)) % np.uint64(COORDINATES)  # the node chooses its coordinates
@@ -301,7 +310,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
         apart = materialized(_open(large.mapInArrow(_parted(least), row)))
         leaves.append(apart.where(F.col("size") <= leaf))
         large = apart.where(F.col("size") > leaf)
-        children = large.select("node", "sid", "comp").join(sets.select("sid", "mh"), "sid").mapInArrow(_branches(level, BRANCHES), row)
+        children = large.select("node", "sid", "comp").join(sets.select("sid", "mh"), "sid").mapInArrow(_branches(level, branches(percent, trees)), row)
         open_rows = materialized(_open(children))
     leaves.append(open_rows.where(F.col("size") <= leaf))
     large = open_rows.where(F.col("size") > leaf)

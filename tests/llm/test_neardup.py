@@ -77,3 +77,9 @@ def test_empty(spark):
 @pytest.mark.parametrize("percent", [50, 85, 99])
 def test_least_equal_is_below_the_threshold(percent):
     assert 0 < N.least_equal(percent) < N.COORDINATES * percent / 100
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_branches_keep_pairs_at_the_threshold(percent):
+    s, b = percent / 100, N.branches(percent)
+    assert (1 - s * (1 - (1 - s**N.PATH) ** b) ** N.LEVELS) ** N.TREES <= N.MISSED

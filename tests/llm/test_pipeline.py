@@ -1,8 +1,11 @@
+import random
+
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
 from shopgrain.llm.registry import ORACLES, QUERIES
+from tests.llm.test_neardup import edited, shingles
 from tests.oracle import compare, connect
 
 
@@ -61,3 +64,18 @@ def test_near_duplicates_with_null_and_repeated_ids(spark, tmp_path):
     of_c = [r.text for r in got if r.text in (c, c + " end")]
     assert len(of_c) == 1
     assert texts == sorted([(4, a), (5, d), (5, b + " end"), (5, "three four"), (6, "five six"), (99, of_c[0]), (99, "one two"), (99, ""), (99, " ")])
+
+
+def test_near_duplicates_at_eighty_percent(spark, tmp_path):
+    """The stage against brute force at 0.8, with pairs on both sides of it and of 0.85."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(20):
+        base = [f"b{k}w{i}" for i in range(200)]
+        texts += [" ".join(base), edited(base, rng, 1 + k % 6)]
+    sets = [shingles(t) for t in texts]
+    similar = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert min(similar) < 0.8 and sum(0.8 <= s < 0.85 for s in similar) >= 2 and max(similar) > 0.85
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in P.near_duplicates(spark, docs, str(tmp_path)).select("doc_id").collect())
+    assert got == sorted([*range(0, 40, 2), *(2 * k + 1 for k, s in enumerate(similar) if s < 0.8)])
