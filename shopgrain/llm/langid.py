@@ -26,11 +26,10 @@ SEED = 11
 ROUNDS = 8
 #: More labels than this are no languages; fitting stops with an error.
 MOST_LANGUAGES = 400
-#: A text is rejected when its cosine is under this share of the bound below which ``REJECT_QUANTILE`` of the training rows of like length lie.
-REJECT_SHARE = 0.25
+#: A text is rejected when its cosine, or the margin of that over the mean cosine to all centroids, is under this share of the bound below which
+#: ``REJECT_QUANTILE`` of the training rows of like language and length lie. Each training row counts as if its centroid had been made without it.
+REJECT_SHARE = 0.9
 REJECT_QUANTILE = 0.001
-#: No text at least this close to a centroid is rejected: few training rows lie closer to their centroids than other good texts would.
-MOST_BOUND = 0.05
 _BINS = 1000
 _SIZES = 24
 _STEP_ROWS = 128
@@ -78,7 +77,7 @@ class Model:
     langs: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    bounds: np.ndarray  # per size class: least cosine that is accepted
+    bounds: np.ndarray  # per centroid, size class and measure (cosine, margin): the least that is accepted
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,21 +131,60 @@ def _refined(langs: list[str], centroids: np.ndarray, idf: np.ndarray):
     return task
 
 
-def _closeness(centroids: np.ndarray, idf: np.ndarray):
-    """Histogram of the training rows' best cosines by size class, as (cell, n)."""
+def _measures(cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centroid, and by row the cosine to it and its margin over the mean of all, both 0 to 1."""
+    best = np.argmax(cos, 1)
+    top = np.clip(cos[np.arange(len(best)), best], 0, 1)
+    return best, np.column_stack([top, np.clip(top - cos.mean(1), 0, 1)])
+
+
+def _closeness(langs: list[str], start: np.ndarray, centroids: np.ndarray, norm: np.ndarray, idf: np.ndarray):
+    """Histograms of the training rows' measures by nearest language and size class, as (cell, n).
+
+    ``start`` are the centroids that dealt the rows out, ``norm`` the lengths of the sums. Of a row's own centroid the row itself is taken off."""
+    names = np.array(langs, object)
+    of = np.unique(names, return_inverse=True)[1]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((_SIZES, _BINS), np.int64)
+        total = np.zeros((of.max() + 1, _SIZES, 2, _BINS), np.int32)
         for batch in batches:
-            for _, _, counts, length in _steps(batch):
-                best = np.clip((vectors(counts, idf) @ centroids.T).max(1), 0, 1)
-                np.add.at(total, (_size_class(length), np.minimum((best * _BINS).astype(int), _BINS - 1)), 1)
+            label = np.array(batch.column("lang").to_pylist(), object)
+            for i, j, counts, length in _steps(batch):
+                v = vectors(counts, idf)
+                cos = v @ centroids.T
+                own = label[i:j, None] == names[None, :]
+                row = np.flatnonzero(own.any(1))
+                at = np.argmax(np.where(own, v @ start.T, -1), 1)[row]
+                s, size = norm[at], (v[row] * v[row]).sum(1)
+                left = s * s - 2 * s * cos[row, at] + size
+                cos[row, at] = np.where(left > 1e-3, (s * cos[row, at] - size) / np.sqrt(np.maximum(left, 1e-3)), 0)
+                best, found = _measures(cos)
+                bins = np.minimum((found * _BINS).astype(int), _BINS - 1)
+                for m in range(2):
+                    np.add.at(total, (of[best], _size_class(length), m, bins[:, m]), 1)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "n": pa.array(total.ravel()[at])})
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "n": pa.array(total.ravel()[at], pa.int64())})
 
     return task
 
 
+def _bounds(seen: np.ndarray) -> np.ndarray:
+    """Bounds by language, size class and measure, from the nearest size classes that have rows enough for the quantile; a language without so many takes all languages' rows."""
+    out = np.zeros(seen.shape[:3])
+    for g, own in enumerate(seen):
+        rows = own if own[:, 0].sum() * REJECT_QUANTILE >= 1 else seen.sum(0)
+        for c in range(_SIZES):
+            for width in range(_SIZES):
+                near = rows[max(0, c - width) : c + width + 1].sum(0)
+                if near[0].sum() * REJECT_QUANTILE >= 1:
+                    break
+            for m in range(2):
+                if near[m].any():  # fewer rows than the quantile needs: the least of them says less
+                    share = REJECT_SHARE * min(1.0, math.sqrt(near[m].sum() * REJECT_QUANTILE))
+                    out[g, c, m] = share * np.searchsorted(np.cumsum(near[m]), REJECT_QUANTILE * near[m].sum(), "right") / _BINS
+    return out
+
+
 def fit(rows: DataFrame, clusters: int = CLUSTERS, seeds: int = SEEDS) -> Model | None:
     """Model of rows (text, lang); null and empty texts and null langs teach nothing. None if there is no row to learn from."""
     rows = rows.select("text", "lang").where("lang IS NOT NULL AND length(text) > 0")
@@ -181,18 +219,12 @@ def fit(rows: DataFrame, clusters: int = CLUSTERS, seeds: int = SEEDS) -> Model
         sums[r.cell] = r.value
     sums = sums.reshape(centroids.shape)
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
-    centroids = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centroids).astype(np.float32)
-    seen = np.zeros(_SIZES * _BINS, np.int64)
-    for r in rows.mapInArrow(_closeness(centroids, idf), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        seen[r.cell] = r.n
-    seen = seen.reshape(_SIZES, _BINS)
-    bounds = np.zeros(_SIZES)
-    known = np.flatnonzero(seen.sum(1))
-    if len(known):
-        for s in range(_SIZES):
-            at = known[np.argmin(abs(known - s))]  # a class without rows takes the nearest one that has some
-            near = seen[max(0, at - 1) : at + 2].sum(0)
-            bounds[s] = min(MOST_BOUND, REJECT_SHARE * np.searchsorted(np.cumsum(near), REJECT_QUANTILE * near.sum(), "right") / _BINS)
+    start_centroids, centroids = centroids, np.where(norm > 0, sums / np.maximum(norm, 1e-12), centroids).astype(np.float32)
+    of = np.unique(np.array(langs, object), return_inverse=True)[1]
+    seen = np.zeros((of.max() + 1, _SIZES, 2, _BINS), np.int64)
+    for r in rows.mapInArrow(_closeness(langs, start_centroids, centroids, norm[:, 0], idf), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        seen.ravel()[r.cell] = r.n
+    bounds = _bounds(seen)[of]
     return Model(langs, centroids, idf, bounds)
 
 
@@ -203,11 +235,10 @@ def _predicted(model: Model, keep: list[str]):
             lang, score, far = [], [], []
             for _, _, counts, length in _steps(batch):
                 cos = vectors(counts, model.idf) @ model.centroids.T
-                best = np.argmax(cos, 1)
-                top = np.clip(cos[np.arange(len(best)), best], 0, 1)
+                best, found = _measures(cos)
                 lang += names[best].tolist()
-                score += top.astype(float).tolist()
-                far += ((top == 0) | (top < model.bounds[_size_class(length)])).tolist()
+                score += found[:, 0].astype(float).tolist()
+                far += ((found[:, 0] == 0) | (found < model.bounds[best, _size_class(length)]).any(1)).tolist()
             cols = [batch.column(c) for c in keep] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, [*keep, "lang_pred", "score", "far"])
 
