@@ -12,12 +12,13 @@ from .langid import op3_nearest_centroid
 from .lmscore import op5_context_mixing
 from .neardup import op10_chosen_path
 from .packing import op2_bin_completion
+from .runs import op11_difference_cover
 from .sharding import op8_virtual_slots
 from .substrings import op7_rabin_karp
 from .suffixdedup import op9_induced_sorting
 from .topk import op4_pivot_distance
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pigeonhole_edit, op2_bin_completion, op3_nearest_centroid, op4_pivot_distance, op5_context_mixing, op6_host_suffix_array, op7_rabin_karp, op8_virtual_slots, op9_induced_sorting, op10_chosen_path)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pigeonhole_edit, op2_bin_completion, op3_nearest_centroid, op4_pivot_distance, op5_context_mixing, op6_host_suffix_array, op7_rabin_karp, op8_virtual_slots, op9_induced_sorting, op10_chosen_path, op11_difference_cover)}
 ORACLES: dict[str, str] = {
     "op4_pivot_distance": """
 WITH v AS (
