@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_minimal_hash
 from .bpe import op13_prefix_bpe
 from .decontamination import op1_pigeonhole_edit
 from .html import op6_host_suffix_array
@@ -19,7 +20,7 @@ from .substrings import op7_rabin_karp
 from .suffixdedup import op9_induced_sorting
 from .topk import op4_pivot_distance
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pigeonhole_edit, op2_bin_completion, op3_nearest_centroid, op4_pivot_distance, op5_context_mixing, op6_host_suffix_array, op7_rabin_karp, op8_virtual_slots, op9_induced_sorting, op10_chosen_path, op11_difference_cover, op13_prefix_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pigeonhole_edit, op2_bin_completion, op3_nearest_centroid, op4_pivot_distance, op5_context_mixing, op6_host_suffix_array, op7_rabin_karp, op8_virtual_slots, op9_induced_sorting, op10_chosen_path, op11_difference_cover, op12_minimal_hash, op13_prefix_bpe)}
 ORACLES: dict[str, str] = {
     "op4_pivot_distance": """
 WITH v AS (
