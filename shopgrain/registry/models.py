@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, churn, classify, clustering, features, forecast, fraud, hypothesis, quality, sales, segments
+from ..operators import anomaly, churn, classify, clustering, features, forecast, fraud, hypothesis, neighbours, quality, sales, segments
 from ..plans import flows
 from ..operators.customers import customer_features
 from ..session import materialized
@@ -71,6 +71,11 @@ def _lof(s, d):
     return anomaly.local_outlier_factor(z, cols, CFG)
 
 
+def _lof_bucketed(s, d):
+    z, cols = _scaled(s, d)
+    return anomaly.local_outlier_factor(z, cols, CFG, search=neighbours.BucketedSearch())
+
+
 def _iso(s, d):
     z, cols = _scaled(s, d)
     return anomaly.isolation_forest(z, cols, CFG)
@@ -122,6 +127,7 @@ QUERIES = {
     "churn_strategy": _strategies,
     "temporal_split_checks": lambda s, d: quality.temporal_split_checks(_churn(s, d), len(churn.feature_columns("composite")), 180, CFG),
     "lof": lambda s, d: rounded(_lof(s, d), 4),
+    "lof_bucketed": lambda s, d: rounded(_lof_bucketed(s, d), 4),
     "isolation_forest": _iso,
     "composite_risk": lambda s, d: _profile(s, d).select(*fraud.PROFILE_COLUMNS),
     "model_agreement": lambda s, d: hypothesis.flag_agreement(_profile(s, d), "iso_anomaly_flag", "lof_anomaly_flag"),
