@@ -10,33 +10,34 @@ verified. The tables go out in slices of bounded size, one pass of the texts eac
 
 from __future__ import annotations
 
+import base64
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import text as X
-from .bpe import byte_alphabet
 from .common import materialized, table
 from .runs import ragged
-from .tokens import Encoder
 
-A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k", "piece_bpe_32k.model"
+A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: Bytes of text that are aligned together, pairs a task holds before it hands them on, blocks of pairs, vectors that one task adds up, and bytes of tables that a worker holds.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 TASK_PAIRS = 2 << 20
 BLOCKS = 128
 FAN = 32
 SLICE_BYTES = 64 << 20
 #: Characters of joined segments that the piece encoder takes at once.
-JOINED = 1 << 14
+JOINED = 1 << 10
 
 _UNDERLINE = "▁"
 #: UTF-8 of the white space beyond ASCII, as numbers of two and three bytes.
@@ -45,16 +46,16 @@ _ASCII_SPACE = np.array([c < 128 and chr(c).isspace() for c in range(256)])
 
 
 class Tokenizers:
-    """Both vocabularies, with the bytes of every token. Ids of A come from its ranks (equal to its tokenizer file's with special strings as plain text)."""
+    """Both vocabularies, with the bytes of every token. A is read as ranks: the same ids as those of its tokenizer file with special strings as plain text, at less memory."""
 
-    def __init__(self, a_path: str, a_ranks: str, b_path: str):
-        self.a = Encoder(a_path, a_ranks)
+    def __init__(self, a_path: str, b_path: str):
+        with open(a_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.a = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
-        vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=False)
-        a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for s, i in vocabulary.items():
-            a_bytes[i] = bytes(byte_of[c] for c in s)
+        a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            a_bytes[i] = token
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_UNDERLINE, " ").encode() for i, p in enumerate(pieces)]
         if any(b" " in t.lstrip(b" ") and t.strip(b" ") for t in b_bytes):
@@ -65,33 +66,18 @@ class Tokenizers:
         self.b_bytes, self.b_size = _byte_table(b_bytes)
         self.a_names, self.b_names = (pa.array([str(i) for i in range(n)], pa.string()) for n in (len(a_bytes), self.n_b))
 
-    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all segments by A and by B; each begins with a space and, but for its last place in a text, ends with another character."""
-        joined_a, joined_b = [], []
-        run: list[str] = []
-        size = 0
-
-        def close():
-            nonlocal size
-            if run:
-                text = "".join(run)
-                joined_a.append(self.a.fast.encode_to_numpy(text, disallowed_special=()))
-                joined_b.append(np.array(self.b.encode(text[1:], num_threads=1), np.uint32))
-            run.clear()
-            size = 0
-
-        for s in segments:
-            if s[-1].isspace():  # it would run into the next one's space
-                close()
-                joined_a.append(self.a.fast.encode_to_numpy(s, disallowed_special=()))
-                joined_b.append(np.array(self.b.encode(s[1:], num_threads=1) if len(s) > 1 else [self.space], np.uint32))
-                continue
-            run.append(s)
-            size += len(s)
-            if size >= JOINED:
-                close()
-        close()
-        return tuple(np.concatenate(p).astype(np.int64) if p else np.zeros(0, np.int64) for p in (joined_a, joined_b))
+    def encode(self, segments: list[str], plain: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments by A and by B. Each begins with a space; those from ``plain`` on end with white space too, which would run into the next one's space, and are encoded one by one."""
+        ends = np.cumsum([len(s) for s in segments[:plain]])
+        runs, at = [], 0
+        while at < plain:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + JOINED, "right")))
+            runs.append("".join(segments[at:to]))
+            at = to
+        runs += segments[plain:]
+        ids_a = [self.a.encode_to_numpy(r, disallowed_special=()) for r in runs]
+        ids_b = [self.b.encode(r[1:], num_threads=1) if len(r) > 1 else [self.space] for r in runs]
+        return (np.concatenate(ids_a).astype(np.int64) if ids_a else np.zeros(0, np.int64)), np.fromiter(chain.from_iterable(ids_b), np.int64)
 
 
 def _byte_table(tokens: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
@@ -104,10 +90,10 @@ def _bytes(table: tuple[np.ndarray, np.ndarray], size: np.ndarray, ids: np.ndarr
     return table[0][np.repeat(table[1][ids], n) + ragged(n)]
 
 
-_loaded: dict[tuple[str, str, str], Tokenizers] = {}
+_loaded: dict[tuple[str, str], Tokenizers] = {}
 
 
-def tokenizers(paths: tuple[str, str, str]) -> Tokenizers:
+def tokenizers(paths: tuple[str, str]) -> Tokenizers:
     """One pair per Python worker."""
     if paths not in _loaded:
         _loaded[paths] = Tokenizers(*paths)
@@ -128,6 +114,12 @@ class Aligned:
     groups: pa.Array = field(default=None)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """All different values, ascending. Sorting is several times as fast here as the hash table of ``np.unique``."""
+    values = np.sort(values, kind="stable")
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def _segments(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
     """Segments of " " + text for every text (none for an empty one), and how many lie before each bound. A segment begins at a space that follows a character other than white space."""
     data, offsets = X.utf8(pa.array([" " + t if t else "" for t in texts], pa.string()))
@@ -138,7 +130,7 @@ def _segments(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
     two = data[at[wide] - 2].astype(np.int64) << 8 | data[at[wide] - 1]
     three = data[np.maximum(at[wide] - 3, 0)].astype(np.int64) << 16 | two
     at = np.delete(at, wide[np.isin(two, _WIDE) | np.isin(three, _WIDE)])
-    cuts = np.union1d(at, offsets)
+    cuts = _distinct(np.append(at, offsets))
     return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)), np.searchsorted(cuts, offsets)
 
 
@@ -148,18 +140,19 @@ def align(model: Tokenizers, texts: list[str], with_groups: bool) -> Aligned:
     numbered = words.dictionary_encode()
     segments = numbered.dictionary.to_pylist()
     word = np.asarray(numbered.indices, dtype=np.int64)
-    apart = sorted(range(len(segments)), key=lambda i: segments[i][-1].isspace())  # those that end with white space come last, encoded one by one
+    open_end = np.array([s[-1].isspace() for s in segments], bool)
+    apart = np.argsort(open_end, kind="stable")  # those that end with white space come last
     place = np.empty(len(segments), np.int64)
     place[apart] = np.arange(len(segments))
-    segments, word = [segments[i] for i in apart], place[word]
-    a, b = model.encode(segments)
+    segments, word = [segments[i] for i in apart.tolist()], place[word]
+    a, b = model.encode(segments, int((~open_end).sum()))
     data, bound = X.utf8(pa.array(segments, pa.string()))
     same = [np.array_equal(_bytes(t, size, ids), data) for t, size, ids in ((model.a_bytes, model.a_size, a), (model.b_bytes, model.b_size, b))]
     if not all(same):
         raise ValueError("a vocabulary does not give back the bytes of plain text")
     a_end, b_end = np.cumsum(model.a_size[a]), np.cumsum(model.b_size[b])
-    cuts = np.union1d(a_end, b_end)
-    both = np.intersect1d(a_end, b_end, assume_unique=True)
+    cuts = _distinct(np.append(a_end, b_end))
+    both = a_end[np.isin(a_end, b_end, assume_unique=True, kind="sort")]
     links = a[np.searchsorted(a_end, cuts)] * model.n_b + b[np.searchsorted(b_end, cuts)]
 
     def per_segment(ends: np.ndarray) -> np.ndarray:
@@ -189,11 +182,11 @@ def text_counts(aligned: Aligned) -> tuple[np.ndarray, np.ndarray]:
     pairs, at = np.unique(aligned.links, return_inverse=True)
     n_texts, n_words = len(aligned.of) - 1, len(aligned.n_a)
     text = np.repeat(np.arange(n_texts), np.diff(aligned.of))
-    seen = np.unique(text * max(n_words, 1) + aligned.word)  # each segment once a text
+    seen = _distinct(text * max(n_words, 1) + aligned.word)  # each segment once a text
     text, word = seen // max(n_words, 1), seen % max(n_words, 1)
     n = np.diff(aligned.link_of)[word]
     cell = np.repeat(text, n) * max(len(pairs), 1) + at[np.repeat(aligned.link_of[word], n) + ragged(n)]
-    return pairs, np.bincount(np.unique(cell) % max(len(pairs), 1), minlength=len(pairs)).astype(np.int64)
+    return pairs, np.bincount(_distinct(cell) % max(len(pairs), 1), minlength=len(pairs)).astype(np.int64)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +196,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
-def _gather(paths: tuple[str, str, str], task_pairs: int, blocks: int):
+def _gather(paths: tuple[str, str], task_pairs: int, blocks: int):
     """Rows (block, part, keys, counts): the pairs of a task by block, in as many parts as the bound asks."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +290,7 @@ def _unpacked(column) -> np.ndarray:
 
 
 def _union(key: tuple, rows: pa.Table) -> pa.Table:
-    keys = np.unique(_unpacked(rows.column("keys").to_pylist()))
+    keys = _distinct(_unpacked(rows.column("keys").to_pylist()))
     return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary())})
 
 
@@ -324,7 +317,7 @@ def _grouped(df: DataFrame, parts: int):
     return df.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(parts))).groupBy("block", "part")
 
 
-def pair_counts(docs: DataFrame, paths: tuple[str, str, str], task_pairs: int = TASK_PAIRS, blocks: int = BLOCKS, fan: int = FAN) -> DataFrame:
+def pair_counts(docs: DataFrame, paths: tuple[str, str], task_pairs: int = TASK_PAIRS, blocks: int = BLOCKS, fan: int = FAN) -> DataFrame:
     """(block, hash, vector): per block of pairs a pickled ``Counts`` without its counts, and these as a vector of int64 at the hash's indices."""
     gathered = materialized(docs.select("text").mapInArrow(_gather(paths, task_pairs, blocks), "block int, part bigint, keys binary, counts binary"))
     most = gathered.groupBy("block").count().agg(F.max("count")).first()[0] or 1
@@ -352,7 +345,7 @@ _ROW = "doc_id bigint, text string, n_best bigint, count_sum bigint"
 _OUT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 
 
-def _look_up(paths: tuple[str, str, str], blocks: int, tables, last: bool):
+def _look_up(paths: tuple[str, str], blocks: int, tables, last: bool):
     """Adds what the links in the given blocks have; with ``last`` the alignment takes the place of the text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,11 +402,11 @@ def _slices(sizes: list[tuple[int, int]], limit: int) -> list[list[int]]:
     return out
 
 
-def vocabulary_paths() -> tuple[str, str, str]:
-    return public_tokenizers.path(f"{A_VOCABULARY}.json"), public_tokenizers.path(f"{A_VOCABULARY}.tiktoken"), public_tokenizers.path(B_VOCABULARY)
+def vocabulary_paths() -> tuple[str, str]:
+    return public_tokenizers.path(A_VOCABULARY), public_tokenizers.path(B_VOCABULARY)
 
 
-def aligned(docs: DataFrame, paths: tuple[str, str, str] | None = None, task_pairs: int = TASK_PAIRS, blocks: int = BLOCKS, fan: int = FAN, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def aligned(docs: DataFrame, paths: tuple[str, str] | None = None, task_pairs: int = TASK_PAIRS, blocks: int = BLOCKS, fan: int = FAN, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Per row: doc_id, n_a and n_b (tokens of " " + text by A, of text by B), n_groups (stretches between places where tokens of both end), n_links (pairs of tokens with bytes in common), n_best (links of a
     pair whose count is its A id's highest), count_sum (over links, of the number of rows with that pair linked) and groups (``a1,a2|b1;a3|b2``).
 
