@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..config import DEFAULT, Config
 from ..functions.expr import count_if, one_row, safe_divide
 from ..functions.ranks import value_ranks
+from .boosting import HistogramBoosting
 
 
 def with_balanced_weights(train: DataFrame, label: str = "churn") -> DataFrame:
@@ -28,7 +31,7 @@ def classifiers(cfg: Config = DEFAULT, trees: int = 200, boosts: int = 200) -> d
         "Logistic Regression": LogisticRegression(maxIter=1000, **common),
         "Random Forest": RandomForestClassifier(
             numTrees=trees, maxDepth=15, minInstancesPerNode=5, seed=seed, cacheNodeIds=True, maxMemoryInMB=512, **common),
-        "Gradient Boosting": GBTClassifier(maxIter=boosts, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, **common),
+        "Gradient Boosting": HistogramBoosting(seed=seed, settings=json.dumps({"trees": boosts, "depth": 6, "rate": 0.1, "row_share": 0.8, "feature_share": 0.8}), **common),
     }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, churn, classify, clustering, features, forecast, fraud, hypothesis, neighbours, quality, sales, segments
+from ..operators import anomaly, boosting, churn, classify, clustering, features, forecast, fraud, hypothesis, neighbours, quality, sales, segments
 from ..plans import flows
 from ..operators.customers import customer_features
 from ..session import materialized
@@ -61,6 +61,21 @@ def _strategies(s, d):
     return churn.pick_strategy(v.join(rows, "strategy"))
 
 
+#: Given cuts of the first boosted tree's features, in the order in which ties are settled.
+BOOST_CUTS = {
+    "frequency": [3.0, 5.0, 10.0, 15.0, 20.0, 30.0], "tenure_days": [500.0, 1000.0, 1500.0, 2000.0], "category_diversity": [2.0, 3.0, 4.0, 5.0],
+    "return_rate": [0.2, 0.3, 0.4, 0.5], "last_order_was_return": [0.0],
+}
+
+
+def _first_tree(s, d):
+    cust = customer_features(transactions(s, d), CFG)
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in BOOST_CUTS])
+    rows = cust.select(F.xxhash64("customer_id").alias("key"), F.col("churn").alias("y"), F.lit(1.0).alias("w"), x.alias("x"))
+    trees = boosting.fit_boosted(rows, list(BOOST_CUTS.values()), boosting.BoostingParams(trees=1, depth=2, row_share=1.0, feature_share=1.0))
+    return rounded(boosting.tree_table(trees, list(BOOST_CUTS.values()), list(BOOST_CUTS), s))
+
+
 def _scaled(s, d):
     cols = list(CFG.fraud.model_features)
     return features.z_scores(_features(s, d), cols).select("customer_id", *cols), cols
@@ -123,6 +138,7 @@ QUERIES = {
     "scaled_feature_shape": lambda s, d: rounded(features.distribution_after_scaling(customer_features(transactions(s, d), CFG), list(CFG.segment.features))),
     "churn_models": _metrics,
     "churn_scores": _scored,
+    "boosted_first_tree": _first_tree,
     "churn_importance": _importance,
     "churn_strategy": _strategies,
     "temporal_split_checks": lambda s, d: quality.temporal_split_checks(_churn(s, d), len(churn.feature_columns("composite")), 180, CFG),
@@ -140,6 +156,31 @@ QUERIES = {
     "segment_validation": _validation,
 }
 
+# First tree from even odds: gradient 0.5 - y, hessian 0.25, shrinkage 1, rate 0.1; every node tries every given cut.
+_CUTS = ", ".join(f"('{c}', {i}, {v}::DOUBLE)" for i, (c, cuts) in enumerate(BOOST_CUTS.items()) for v in cuts)
+_SIDES = " UNION ALL ".join(f"SELECT customer_id, churn, '{c}' AS feature, coalesce(CAST({c} AS DOUBLE), 0) AS v FROM cust" for c in BOOST_CUTS)
+
+
+def _tree_level(rows, name):
+    """Best cut of each path of ``rows`` (customer_id, path)."""
+    return f"""
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY gain DESC, i, cut) AS rn FROM (
+  SELECT path, feature, i, cut, (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) / 2 AS gain FROM (
+    SELECT path, c.feature, c.i, c.cut, sum(CASE WHEN v <= cut THEN 0.5 - churn ELSE 0 END)::DOUBLE AS gl, sum(CASE WHEN v <= cut THEN 0.25 ELSE 0 END)::DOUBLE AS hl,
+      sum(0.5 - churn)::DOUBLE AS g, sum(0.25)::DOUBLE AS h FROM {rows} JOIN side USING (customer_id) JOIN cuts c USING (feature) GROUP BY ALL)
+  WHERE hl >= 1 AND h - hl >= 1) WHERE gain > 1e-12) WHERE rn = 1)"""
+
+
+def _tree_step(rows, best, name):
+    return f"""
+{name} AS (SELECT customer_id, path || CASE WHEN v <= cut THEN 'L' ELSE 'R' END AS path FROM {rows} JOIN {best} b USING (path) JOIN side s USING (customer_id, feature))"""
+
+
+_FIRST_TREE = f"""WITH {CUST}, cuts AS (SELECT * FROM (VALUES {_CUTS}) AS c(feature, i, cut)), side AS ({_SIDES}),
+r0 AS (SELECT customer_id, '' AS path FROM cust),{_tree_level("r0", "b0")},{_tree_step("r0", "b0", "r1")},{_tree_level("r1", "b1")},{_tree_step("r1", "b1", "r2")}
+SELECT 0 AS tree, path, feature, cut AS threshold, round(coalesce(gain, 0), 6) AS gain, count(*) * 0.25::DOUBLE AS weight, round(-sum(0.5 - churn)::DOUBLE / (count(*) * 0.25::DOUBLE + 1) * 0.1, 6) AS value
+FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) JOIN cust USING (customer_id) LEFT JOIN (SELECT * FROM b0 UNION ALL SELECT * FROM b1) USING (path) GROUP BY ALL"""
+
 _F = CFG.fraud.model_features
 _Z = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) AS z{i}" for i, c in enumerate(_F))
 _D = " + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(len(_F)))
@@ -154,6 +195,7 @@ lo AS (SELECT nb.p, avg(b.lrd) / max(a.lrd) AS lof FROM nb JOIN lr a ON nb.p = a
 SELECT p AS customer_id, round(lof, 4) AS lof_raw, round((lof - min(lof) OVER ()) / (max(lof) OVER () - min(lof) OVER ()), 4) AS lof_anomaly_score,
   CAST(lof > (SELECT quantile_cont(lof, 0.95) FROM lo) AS INTEGER) AS lof_anomaly_flag FROM lo""",
 }
+ORACLES["boosted_first_tree"] = _FIRST_TREE
 _WS = "CAST(date_trunc('week', order_date) AS DATE) + 6 AS date, round(sum(amt) / 10000.0, 6) AS revenue FROM tx WHERE returned = 0 AND order_date < DATE '" + CUTOFF + "'"
 ORACLES["weekly_series"] = f"""WITH {TX} SELECT 'total' AS series, {_WS} GROUP BY ALL
 UNION ALL SELECT 'category:' || category, {_WS} GROUP BY ALL UNION ALL SELECT 'region:' || region, {_WS} GROUP BY ALL"""
