@@ -15,13 +15,14 @@ from pyspark.storagelevel import StorageLevel
 
 from ..config import DEFAULT, Config
 from ..functions.expr import one_row, safe_divide
+from .boosting import unit
 from .features import median_fill, scaled_vectors
 
 
 #: Fits of stability samples that are submitted at the same time; each is a chain of small jobs that leaves most cores idle.
 PARALLEL_FITS = 8
-#: Points from which the first centres are drawn.
-START_SAMPLE = 4_000
+#: Rounds in which candidates for the first centres are drawn, points drawn in one, and rounds in which the weighted candidates are moved.
+DRAW_ROUNDS, DRAWN, POOL_ROUNDS = 5, 64, 10
 TOLERANCE = 1e-4
 
 
@@ -47,16 +48,75 @@ class Centres:
         return vectors.withColumn("cluster", F.array_min(centres)["i"])
 
 
-def _start(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ on the sample."""
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distance of every point to every centre."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
+
+
+def _draw(candidates: np.ndarray, dim: int, salt: int, take: int):
+    """Rows (x, race): a task's ``take`` winners of a race that a point wins with a chance in proportion to its squared distance to the candidates."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_x, best_race = np.zeros((0, dim)), np.zeros(0)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, dim)
+            far = _nearest(x, candidates).min(1)
+            u = unit(batch.column("h").to_numpy(), salt)
+            open_ = far > 1e-12 * max(1.0, float((x * x).sum(1).max(initial=0)))
+            race = -np.log1p(-u[open_]) / far[open_]
+            best_x, best_race = np.vstack([best_x, x[open_]]), np.append(best_race, race)
+            order = np.argsort(best_race, kind="stable")[:take]
+            best_x, best_race = best_x[order], best_race[order]
+        yield pa.RecordBatch.from_arrays([pa.array(list(best_x), pa.list_(pa.float64())), pa.array(best_race)], ["x", "race"])
+
+    return task
+
+
+def _weigh(candidates: np.ndarray, dim: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(candidates), np.int64)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, dim)
+            total += np.bincount(_nearest(x, candidates).argmin(1), minlength=len(candidates))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(candidates))), pa.array(total)], ["c", "n"])
+
+    return task
+
+
+def candidate_centres(points: DataFrame, seed: int, rounds: int = DRAW_ROUNDS, drawn: int = DRAWN) -> tuple[np.ndarray, np.ndarray]:
+    """k-means||: candidates drawn from all points in rounds, far ones more often, and how many points are nearest to each.
+
+    A point's luck in a round hangs on the hash of its coordinates, so files and partitions do not matter. At most 1 + rounds * drawn candidates reach the driver.
+    """
+    keyed = points.select("x", F.xxhash64("x").alias("h"))
+    first = keyed.orderBy(F.xxhash64("h", F.lit(seed)), "x").first()
+    candidates = np.array([first["x"]], float)
+    dim = candidates.shape[1]
+    for r in range(rounds):
+        won = keyed.mapInArrow(_draw(candidates, dim, seed * 1_000 + r, drawn), "x array<double>, race double").orderBy("race", "x").limit(drawn).collect()
+        if not won:  # every point is a candidate
+            break
+        candidates = np.unique(np.vstack([candidates, [w["x"] for w in won]]), axis=0)
+    weight = {w["c"]: w["n"] for w in keyed.mapInArrow(_weigh(candidates, dim), "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    return candidates, np.array([weight[i] for i in range(len(candidates))], float)
+
+
+def _start(candidates: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on the weighted candidates, then some moves of the centres among them."""
     rng = np.random.default_rng(seed)
-    out = [sample[rng.integers(len(sample))]]
-    near = ((sample - out[0]) ** 2).sum(1)
-    for _ in range(1, min(k, len(sample))):
-        total = near.sum()
-        out.append(sample[rng.choice(len(sample), p=near / total) if total > 0 else rng.integers(len(sample))])
-        near = np.minimum(near, ((sample - out[-1]) ** 2).sum(1))
-    return np.array(out)
+    out = [candidates[rng.choice(len(candidates), p=weight / weight.sum())]]
+    near = ((candidates - out[0]) ** 2).sum(1)
+    for _ in range(1, min(k, len(candidates))):
+        p = near * weight
+        out.append(candidates[rng.choice(len(candidates), p=p / p.sum()) if p.sum() > 0 else rng.integers(len(candidates))])
+        near = np.minimum(near, ((candidates - out[-1]) ** 2).sum(1))
+    centres = np.array(out)
+    for _ in range(POOL_ROUNDS):
+        own = _nearest(candidates, centres).argmin(1)
+        n = np.bincount(own, weight, len(centres))
+        moved = np.column_stack([np.bincount(own, weight * c, len(centres)) for c in candidates.T]) / np.maximum(n, 1e-300)[:, None]
+        centres = np.where(n[:, None] > 0, moved, centres)
+    return centres
 
 
 def _sums(fits: dict[int, np.ndarray], dim: int):
@@ -67,9 +127,9 @@ def _sums(fits: dict[int, np.ndarray], dim: int):
         for batch in batches:
             x = batch.column(0).flatten().to_numpy().reshape(-1, dim)
             for f, c in fits.items():
-                d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
+                d = _nearest(x, c)
                 own = d.argmin(1)
-                cols = [np.ones(len(x)), np.maximum(d[np.arange(len(x)), own], 0), *x.T]
+                cols = [np.ones(len(x)), d[np.arange(len(x)), own], *x.T]
                 total[f] += np.column_stack([np.bincount(own, v, len(c)) for v in cols])
         rows = [(f, i, *r) for f, t in total.items() for i, r in enumerate(t)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["fit", "cluster", "n", "cost", *[f"s{j}" for j in range(dim)]])
@@ -78,15 +138,13 @@ def _sums(fits: dict[int, np.ndarray], dim: int):
 
 
 def kmeans_fits(vectors: DataFrame, wanted: list[tuple[int, int]], max_iter: int) -> list[Centres]:
-    """Lloyd's algorithm for many (k, seed) at once: one reading of the points per round serves all fits that still move."""
+    """Lloyd's algorithm for many (k, seed) at once: one reading of the points per round serves all fits that still move. Starts are drawn from common candidates, each fit's by its seed."""
     points = vectors.select(vector_to_array("features").alias("x"))
-    n = points.count()
-    if not n:
+    if points.isEmpty():
         raise ValueError("no points to cluster")
-    drawn = points.where(F.rand(wanted[0][1]) <= min(1.0, 1.5 * START_SAMPLE / n)).limit(START_SAMPLE).collect() or points.limit(START_SAMPLE).collect()
-    sample = np.array(sorted(r.x for r in drawn))
-    dim = sample.shape[1]
-    centres = {i: _start(sample, k, seed) for i, (k, seed) in enumerate(wanted)}
+    candidates, weight = candidate_centres(points, wanted[0][1], drawn=max(DRAWN, 4 * max(k for k, _ in wanted)))
+    dim = candidates.shape[1]
+    centres = {i: _start(candidates, weight, k, seed) for i, (k, seed) in enumerate(wanted)}
     cost, moving = {}, set(centres)
     schema = "fit bigint, cluster bigint, n double, cost double, " + ", ".join(f"s{j} double" for j in range(dim))
     for step in range(max_iter + 1):

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shopgrain.operators import clustering, segments
 
@@ -77,3 +78,36 @@ def test_kmeans_finds_blobs_and_measures(spark):
     assert mean == pytest.approx(ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(lab), abs=1e-9)
     s = clustering.separation(lab)
     assert s["davies_bouldin"] < 0.2 and s["calinski_harabasz"] > 1000
+
+
+def _vectors(spark, x):
+    from pyspark.ml.functions import array_to_vector
+
+    return spark.createDataFrame([(f"C{i}", r.tolist()) for i, r in enumerate(x)], "customer_id string, x array<double>").select("customer_id", array_to_vector("x").alias("features"))
+
+
+def test_kmeans_starts_come_from_all_points_whatever_the_layout(spark):
+    """One far group of eight among 4,000 points is always drawn; candidates' weights add up to the points; files and partitions play no part."""
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(0, 1, (3992, 3)), rng.normal(200, 0.1, (8, 3))])
+    v = _vectors(spark, x)
+    points = v.select(vector_to_array("features").alias("x"))
+    cand, weight = clustering.candidate_centres(points, 5)
+    assert weight.sum() == 4000 and weight[cand[:, 0] > 100].sum() == 8 and len(cand) <= 1 + clustering.DRAW_ROUNDS * clustering.DRAWN
+    again = clustering.candidate_centres(points.orderBy(F.desc("x")).repartition(11), 5)
+    assert (cand == again[0]).all() and (weight == again[1]).all()
+    a, b = clustering.best_kmeans(v, 5, restarts=4), clustering.best_kmeans(v.repartition(9), 5, restarts=4)
+    np.testing.assert_allclose(a.points, b.points, rtol=1e-9)
+    assert a.cost == pytest.approx(b.cost) and sum(p[0] > 100 for p in a.points) == 1
+
+
+def test_kmeans_of_few_and_equal_points(spark):
+    import numpy as np
+
+    same = clustering.best_kmeans(_vectors(spark, np.ones((20, 2))), 3, restarts=2)
+    assert same.cost == 0.0 and (same.points == 1).all()
+    two = clustering.best_kmeans(_vectors(spark, np.array([[0.0, 0.0]] * 5 + [[4.0, 0.0]])), 4, restarts=2)
+    assert two.cost == pytest.approx(0.0)
