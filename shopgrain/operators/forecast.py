@@ -48,25 +48,123 @@ def fit_arma(w: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.
     return ar, ma, r
 
 
-def arima_forecast(y: np.ndarray, order: tuple[int, int, int], steps: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """Forecast of ``steps`` values, AIC and residuals of the differenced series."""
+def _coefficients(x: np.ndarray) -> np.ndarray:
+    """Rows of any numbers to rows of autoregressive coefficients of a stationary process: the numbers' hyperbolic tangents are its partial autocorrelations."""
+    r = np.tanh(x)
+    out = np.zeros_like(r)
+    for k in range(r.shape[1]):
+        out[:, :k] = out[:, :k] - r[:, k : k + 1] * out[:, :k][:, ::-1]
+        out[:, k] = r[:, k]
+    return out
+
+
+def _numbers(coefficients: np.ndarray) -> np.ndarray:
+    """The inverse of ``_coefficients`` for one row; small numbers where the coefficients are not those of a stationary process."""
+    a, out = coefficients.astype(float).copy(), np.zeros(len(coefficients))
+    for k in range(len(a) - 1, -1, -1):
+        if abs(a[k]) >= 0.99:
+            return np.full(len(coefficients), 0.1)
+        out[k] = np.arctanh(a[k])
+        a = (a[:k] + a[k] * a[:k][::-1]) / (1 - a[k] ** 2)
+    return out
+
+
+def _shifted(m: np.ndarray) -> np.ndarray:
+    """Every row moved up by one, the last one zero."""
+    return np.concatenate([m[:, 1:], np.zeros_like(m[:, :1])], axis=1)
+
+
+def arma_filter(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kalman filter of stationary processes on ``w``, one per row of ``ar`` and ``ma``: sums of the squared innovations over their scale and of the scales' logarithms, and the last states.
+
+    The first state has the process's own covariance, so the likelihood is that of all values, none left out or set to zero.
+    """
+    n_fits, r = len(ar), max(ar.shape[1], ma.shape[1] + 1)
+    phi = np.zeros((n_fits, r))
+    phi[:, : ar.shape[1]] = ar
+    load = np.zeros((n_fits, r))
+    load[:, 0], load[:, 1 : 1 + ma.shape[1]] = 1, ma
+    step = np.zeros((n_fits, r, r))
+    step[:, :, 0] = phi
+    step[:, np.arange(r - 1), np.arange(1, r)] = 1
+    noise = load[:, :, None] * load[:, None, :]
+    kron = np.einsum("bij,bkl->bikjl", step, step).reshape(n_fits, r * r, r * r)
+    cov = np.linalg.solve(np.eye(r * r) - kron, noise.reshape(n_fits, r * r, 1)).reshape(n_fits, r, r)
+    state, squares, logs = np.zeros((n_fits, r)), np.zeros(n_fits), np.zeros(n_fits)
+    steady = False
+    for value in w:
+        if not steady:
+            scale = cov[:, 0, 0]
+            moved = phi[:, :, None] * cov[:, :1, :] + _shifted(cov)
+            gain = moved[:, :, 0] / scale[:, None]
+            turned = moved.transpose(0, 2, 1)
+            after = phi[:, :, None] * turned[:, :1, :] + _shifted(turned) + noise - gain[:, :, None] * gain[:, None, :] * scale[:, None, None]
+            steady = np.abs(after - cov).max() < 1e-12
+            cov, log_scale = after, np.log(scale)
+        v = value - state[:, 0]
+        squares += v * v / scale
+        logs += log_scale
+        state = phi * state[:, :1] + _shifted(state) + gain * v[:, None]
+    return squares, logs, state
+
+
+def _deviance(w: np.ndarray, x: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """-2 log likelihood at its best variance, and the last states, for rows of numbers (p for the autoregressive part, the others for the moving average)."""
+    squares, logs, state = arma_filter(w, _coefficients(x[:, :p]), -_coefficients(x[:, p:]))
+    s2 = np.maximum(squares / len(w), 1e-12)
+    return len(w) * (np.log(2 * np.pi * s2) + 1) + logs, state
+
+
+def maximum_likelihood(w: np.ndarray, p: int, q: int, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """AR and MA coefficients of the greatest exact Gaussian likelihood, -2 log likelihood and the state after the last value. BFGS from the least-squares fit; gradients and step lengths are tried side by side."""
+    k = p + q
+    start = np.full((1, k), 0.1)
+    if k and np.ptp(w) > 0:
+        ar, ma, _ = fit_arma(w, p, q)
+        start = np.vstack([start, np.append(_numbers(ar), _numbers(-ma))])
+    x = start[int(np.argmin(_deviance(w, start, p)[0]))]
+    hessian = np.eye(k) * 0.01
+    last, gradient, eps = np.inf, np.zeros(k), 1e-5
+    for _ in range(rounds if k else 0):
+        around = np.vstack([x, x + eps * np.eye(k), x - eps * np.eye(k)])
+        values = _deviance(w, around, p)[0]
+        if last - values[0] < 1e-8:
+            break
+        before, gradient, last = gradient, (values[1 : k + 1] - values[k + 1 :]) / (2 * eps), values[0]
+        if before.any():
+            y, s = gradient - before, moved
+            if (sy := float(s @ y)) > 1e-12:
+                fold = np.eye(k) - np.outer(s, y) / sy
+                hessian = fold @ hessian @ fold.T + np.outer(s, s) / sy
+        direction = -hessian @ gradient
+        lengths = np.array([1.0, 0.5, 0.2, 0.05, 0.01, 0.001])[:, None] * min(1.0, 2.0 / max(np.abs(direction).max(), 1e-12))
+        tries = np.clip(x + lengths * direction, -6, 6)
+        found = _deviance(w, tries, p)[0]
+        best = int(np.argmin(found))
+        if not found[best] < last:
+            break
+        moved, x = tries[best] - x, tries[best]
+    value, state = _deviance(w, x[None, :], p)
+    return _coefficients(x[None, :p])[0], -_coefficients(x[None, p:])[0], float(value[0]), state[0]
+
+
+def arima_forecast(y: np.ndarray, order: tuple[int, int, int], steps: int, most_differences: int | None = None) -> tuple[np.ndarray, float]:
+    """Forecast of ``steps`` values and AIC by the exact likelihood. With ``most_differences``, the largest among the orders that are compared, every order's likelihood is that of the same values of ``y``."""
     p, d, q = order
     levels = [y]
     for _ in range(d):
         levels.append(np.diff(levels[-1]))
-    w = levels[-1]
-    ar, ma, r = fit_arma(w, p, q)
-    hist, err = list(w), list(r)
-    for _ in range(steps):
-        hist.append(sum(ar[i] * hist[-1 - i] for i in range(p)) + sum(ma[i] * err[-1 - i] for i in range(q)))
-        err.append(0.0)
-    out = np.array(hist[len(w):])
+    w = levels[-1][max(0, (most_differences or d) - d) :]
+    ar, ma, deviance, state = maximum_likelihood(w, p, q)
+    out = np.empty(steps)
+    phi = np.zeros(len(state))
+    phi[:p] = ar
+    for t in range(steps):
+        out[t] = state[0]
+        state = phi * state[0] + np.append(state[1:], 0.0)
     for level in reversed(levels[:-1]):
         out = level[-1] + np.cumsum(out)
-    used = r[max(p, q):]
-    s2 = max(float(np.mean(used**2)), 1e-12)
-    aic = len(used) * (np.log(2 * np.pi * s2) + 1) + 2 * (p + q + 1)
-    return out, float(aic), r
+    return out, deviance + 2 * (p + q + 1)
 
 
 #: Training weeks below which no model is fitted.
@@ -83,7 +181,7 @@ def forecast_grid(weekly: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     orders = [list(o) for o in s.arima_orders]
     grid = weekly.withColumn("o", F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in orders])))
     grid = grid.select("series", F.col("o")[0].alias("p"), F.col("o")[1].alias("d"), F.col("o")[2].alias("q"), "date", "revenue")
-    ratio = s.train_ratio
+    ratio, most = s.train_ratio, max(o[1] for o in orders)
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         name, p, d, q = key
@@ -97,7 +195,7 @@ def forecast_grid(weekly: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         train = full[: days[cut - 1]].interpolate()
         test = full[days[cut]:]
         steps = int((test.index[-1] - train.index[-1]).days // 7)
-        f, aic, _ = arima_forecast(train.to_numpy(), (int(p), int(d), int(q)), steps)
+        f, aic = arima_forecast(train.to_numpy(), (int(p), int(d), int(q)), steps, most)
         f = pd.Series(f, index=pd.date_range(train.index[-1], periods=steps + 1, freq="7D")[1:])
         test = test.dropna()
         return pd.DataFrame({"series": name, "p": p, "d": d, "q": q, "date": test.index.date, "actual": test.to_numpy(), "forecast": f[test.index].to_numpy(), "aic": aic})
