@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import checkpointed
 
 ROWS_PER_RANGE = 50_000
+#: Accuracy of the sketch that brackets asked-for positions: it is off by a share of 1 / ACCURACY of a group's rows at most, and brackets reach MARGIN times as far.
+ACCURACY, MARGIN = 10_000, 8
+#: Groups whose brackets are sent to all tasks; more are joined by shuffle.
+SENT_GROUPS = 10_000
 
 
 def _boundaries(counts: DataFrame, value: str) -> list[float]:
@@ -102,14 +106,43 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str =
     return r.withColumn(name, F.col("before") + (F.col("n") + 1) / F.lit(2.0))
 
 
+def _collapsed(df: DataFrame, value: str, probs: Sequence[float], by: list[str]) -> DataFrame:
+    """(by..., value, n) with few rows, in which the rows at all positions in question have the values and ranks that they have in ``df``.
+
+    A sketch brackets every position. Values inside a bracket stay, with their counts; all values between two brackets become one row that carries their number and
+    the largest of them. Groups of at most ACCURACY rows stay as they are.
+    """
+    d = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value))
+    reach = MARGIN / ACCURACY
+    ps = sorted(set(float(p) for p in probs))
+    sketch = lambda q: F.percentile_approx(value, F.array(*[F.lit(min(1.0, max(0.0, p + q * reach))) for p in ps]), F.lit(ACCURACY))
+    cuts = checkpointed(d.groupBy(*by).agg(sketch(-1).alias("_lo"), sketch(1).alias("_hi"), F.count(F.lit(1)).alias("_rows")))
+    if by:
+        keys = cuts.select(*[F.col(c).alias(f"_key_{c}") for c in by], "_lo", "_hi", "_rows")
+        if cuts.count() <= SENT_GROUPS:
+            keys = F.broadcast(keys)
+        d = d.join(keys, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in by]))
+    else:
+        row = cuts.first()
+        floats = lambda v: F.array(*[F.lit(float(x)) for x in v or []]).cast("array<double>")
+        d = d.withColumns({"_lo": floats(row["_lo"]), "_hi": floats(row["_hi"]), "_rows": F.lit(row["_rows"])})
+    v = F.col(value)
+    inside = (F.col("_rows") <= ACCURACY) | F.exists(F.arrays_zip("_lo", "_hi"), lambda b: (v >= b["_lo"]) & (v <= b["_hi"]))
+    below = F.size(F.filter("_hi", lambda h: v > h))
+    return d.groupBy(*by, below.alias("_below"), F.when(inside, v).alias("_inside")).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias(value)).select(*by, value, "n")
+
+
 def quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """Exact linear-interpolation quantiles; one row per group, one column per entry of ``probs``.
 
-    Only the ranges that hold an asked-for position are ranked; the others are known by their totals.
+    Two readings of the rows, and next to nothing written: a sketch brackets the positions, a count between the brackets gives the ranks, and only values inside brackets are
+    ranked. With ``weight`` the input is already grouped and is ranked as it is.
     """
     by = list(by)
+    if weight is None:
+        df, weight = _collapsed(df, value, list(probs.values()), by), "n"
     ranged, totals = _ranged_counts(df, value, by, weight, [])
     if totals is None:
         return quantiles_of_ranks(_rank(ranged, None, value, by, []), value, probs, by)

@@ -3,9 +3,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from shopgrain.functions import ranks
 
 
@@ -59,3 +62,28 @@ def test_extra_sums(spark, small_ranges):
     df = spark.createDataFrame(rows, "v double, p bigint")
     for r in ranks.value_ranks(df, "v", sums=["p"]).collect():
         assert r["p_before"] == sum(p for v, p in rows if v < r["v"]) and r["p_total"] == sum(p for _, p in rows)
+
+
+def test_quantiles_write_little_and_stay_exact(spark, monkeypatch):
+    """60,000 different values and 60,000 with heavy ties in two groups, one of them without a name: positions inside and at brackets' ends are exact, and a few hundred rows are kept."""
+
+    rng = np.random.default_rng(3)
+    wide, ties = rng.normal(size=60_000), np.round(rng.exponential(size=60_000), 1)
+    df = spark.createDataFrame(pd.DataFrame({"g": ["a"] * 60_000 + [None] * 60_000, "v": np.append(wide, ties)}), "g string, v double").repartition(5)
+    probs = {"lo": 0.0, "a": 0.05, "m": 0.5, "b": 0.5001, "c": 0.999, "hi": 1.0}
+    kept = ranks._collapsed(df, "v", list(probs.values()), ["g"])
+    assert kept.where("g = 'a'").count() < 1_500 and kept.agg(F.sum("n")).first()[0] == 120_000
+    got = {r["g"]: r for r in ranks.quantiles(df, "v", probs, by=["g"]).collect()}
+    for g, x in (("a", wide), (None, ties)):
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-12)
+    alone = ranks.quantiles(df.where("g = 'a'"), "v", {"m": 0.95}).first()["m"]
+    assert alone == pytest.approx(np.quantile(wide, 0.95), rel=1e-12)
+    monkeypatch.setattr(ranks, "SENT_GROUPS", 0)
+    assert {r["g"]: r["m"] for r in ranks.quantiles(df, "v", {"m": 0.5}, by=["g"]).collect()} == {g: got[g]["m"] for g in got}
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "g string, v double")
+    assert ranks.quantiles(empty, "v", {"m": 0.5}, by=["g"]).count() == 0
+    assert ranks.quantiles(empty, "v", {"m": 0.5}).first()["m"] is None
