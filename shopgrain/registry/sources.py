@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators.customers import customer_features
 from ..operators.quality import fingerprint
 from ..session import shared_folder
-from ..sources import cache, readers, writers
+from ..functions.expr import money_sum
+from ..sources import cache, readers, versions, writers
 from ..sources.tables import transactions
 from . import cohorts as cohort_queries, customers as customer_queries, fraud as fraud_queries
 from .base import CFG, TX, rounded
@@ -121,7 +123,46 @@ def _cached(s, d):
     return rounded(cache.cached_customers(tx, folder, CFG), exact=("avg_order_value",))
 
 
+#: Quantities whose lines are written with a fault, and the fault.
+FAULTS = {13: "price: not a double", 17: "order_date: not a date", 19: "malformed line", 23: "category: empty"}
+
+
+def _checked(s, d):
+    """Lines with faults by quantity, read with quarantine: one row a line, clean lines without reasons."""
+    tx, path = transactions(s, d), _folder(s)
+    q, cells = F.col("quantity"), {c: F.col(c).cast("string") for c in tx.columns}
+    cells |= {"price": F.when(q == 13, "n/a").otherwise(cells["price"]), "order_date": F.when(q == 17, "31.31.").otherwise(cells["order_date"]), "category": F.when(q == 23, "").otherwise(cells["category"])}
+    line = F.when(q == 19, F.concat_ws(",", *list(cells.values())[:3])).otherwise(F.array_join(F.array(*cells.values()), ",", ""))
+    header = ",".join(tx.columns)
+
+    def under_header(batches):  # the CSV writer writes no broken lines
+        first = [header]
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(first + batch.column(0).to_pylist(), pa.string())], ["value"])
+            first = []
+
+    tx.select(line.alias("value")).mapInArrow(under_header, "value string").write.text(path)
+    found = readers.read_checked_csv(s, path)
+    bad = found.quarantine.select("order_id", F.array_join("reasons", ";").alias("reasons"))
+    return found.clean.select("order_id", F.lit("").alias("reasons")).unionByName(bad)
+
+
+def _versions(s, d):
+    """All orders as version 1, kept ones as version 2, and a third that fails its check: what is current, and what version 1 still has."""
+    tx, path = transactions(s, d), _folder(s)
+    versions.publish(tx, path)
+    versions.publish(tx.where("returned = 0"), path, partition_by=("category",))
+    try:
+        versions.publish(tx.limit(0), path, expected_rows=1)
+    except versions.WriteCheckError:
+        pass
+    now = versions.read_version(s, path).groupBy("category").agg(F.count("*").alias("kept"), money_sum(F.col("total_amount")).alias("revenue"))
+    first = versions.read_version(s, path, 1).groupBy("category").agg(F.count("*").alias("orders"))
+    return rounded(now.join(first, "category").withColumn("versions", F.lit(versions.history(s, path).count())))
+
+
 QUERIES = {
+    "csv_quarantine": _checked, "published_versions": _versions,
     "csv_scan": _csv, "parquet_scan": _parquet, "verified_sink": _sink, "processed_reload": _reload, "processed_status": _status,
     "segmentation_inputs": _segmentation, "segment_csv": _segments, "churn_inputs": _churn, "fraud_inputs": _fraud, "cohort_inputs": _cohort,
     "prediction_export": _predictions, "cohort_sink": _cells, "feature_cache": _cached,
@@ -129,6 +170,9 @@ QUERIES = {
 
 _SHORT = f"WITH {TX} SELECT order_id, customer_id, order_date, category, quantity, round(total_amount, 6) AS total_amount, returned FROM tx"
 ORACLES = {
+    "csv_quarantine": f"""WITH {TX} SELECT order_id, CASE quantity {' '.join(f"WHEN {q} THEN '{r}'" for q, r in FAULTS.items())} ELSE '' END AS reasons FROM tx""",
+    "published_versions": f"""WITH {TX} SELECT category, count(*) FILTER (WHERE returned = 0) AS kept, round(sum(amt) FILTER (WHERE returned = 0) / 10000.0, 6) AS revenue,
+  count(*) AS orders, 2 AS versions FROM tx GROUP BY 1""",
     "csv_scan": _SHORT, "parquet_scan": _SHORT, "verified_sink": _SHORT,
     "processed_reload": customer_queries.ORACLES["customer_features"], "feature_cache": customer_queries.ORACLES["customer_features"],
     "processed_status": f"""WITH {TX} SELECT 'transactions' AS table_name, 'found' AS status, count(*) AS rows FROM tx

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -41,6 +42,42 @@ def read_raw_csv(spark: SparkSession, path: str | Sequence[str], validate: bool
     return enforce_schema(df, schema) if validate else df
 
 
+#: Column of lines that the CSV parser could not take apart.
+_BROKEN = "_broken_line"
+
+
+@dataclass(frozen=True)
+class CheckedCsv:
+    """Rows that meet the schema, and (file, line, reasons, and what could be read as text) of those that do not. Every line of the input is in one of the two."""
+
+    clean: DataFrame
+    quarantine: DataFrame
+
+
+def read_checked_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = TRANSACTION_SCHEMA) -> CheckedCsv:
+    """CSV with header whose bad lines are kept apart and not turned into nulls: lines with too few or too many cells, cells that are no value of their column's type, empty cells of columns
+    that must have a value. The return flag stays text.
+
+    ``reasons`` has one entry per bad cell, in column order, or the single entry "malformed line"; ``file`` is the input file, ``line`` the line as it stands, or written anew from its cells if only those are bad.
+    """
+    text = T.StructType([*_all_text(schema).fields, T.StructField(_BROKEN, T.StringType())])
+    raw = (
+        spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN)
+        .option("columnPruning", False).schema(text).csv(path)  # whether a line is broken must not hang on the columns asked for
+    )
+    typed = {f.name: F.col(f.name) if f.name == "returned" else F.col(f.name).try_cast(f.dataType) for f in schema.fields}
+    bad = [
+        F.when(F.col(f.name).isNotNull() & typed[f.name].isNull(), F.lit(f"{f.name}: not a {f.dataType.simpleString()}")).when(F.lit(not f.nullable) & F.col(f.name).isNull(), F.lit(f"{f.name}: empty"))
+        for f in schema.fields
+    ]
+    reasons = F.when(F.col(_BROKEN).isNotNull(), F.array(F.lit("malformed line"))).otherwise(F.array_compact(F.array(*bad)))
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"), reasons.alias("_reasons"))
+    clean = rows.where(F.size("_reasons") == 0).select(*[c.alias(n) for n, c in typed.items()])
+    names = schema.fieldNames()
+    line = F.coalesce(F.col(_BROKEN), F.to_csv(F.struct(*names)))
+    return CheckedCsv(clean, rows.where(F.size("_reasons") > 0).select(F.col("_file").alias("file"), line.alias("line"), F.col("_reasons").alias("reasons"), *names))
+
+
 def read_transactions(spark: SparkSession, path: str, required: Sequence[str] = SALES_COLUMNS, expected_fingerprint: str | None = None) -> DataFrame:
     """Cleaned Parquet table, with its columns and, if given, its fingerprint checked."""
     df = require_columns(_dated(_read(spark, path)), required, path)

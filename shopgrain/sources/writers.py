@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT, Config
 from ..operators.cohorts import wide_matrix
 from ..operators.fraud import PROFILE_COLUMNS
 from ..operators.segments import churn_risk_band
-
-
-class WriteCheckError(RuntimeError):
-    """A table read back differs from what was written."""
+from . import versions
+from .versions import WriteCheckError  # noqa: F401  (raised by the writers here)
 
 
 def write_verified(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), expected_rows: int | None = None) -> DataFrame:
-    """Snappy Parquet, read back and compared by row count and columns; returns the read table.
+    """Snappy Parquet, read back and compared by row count and columns before it takes the place of what was at ``path``; returns the read table.
 
-    Without ``expected_rows`` the rows are counted as they are written.
+    Without ``expected_rows`` the rows are counted as they are written. The table may be made from the one at ``path``.
     """
-    seen = Observation()
-    w = (df if expected_rows is not None else df.observe(seen, F.count(F.lit(1)).alias("rows"))).write.mode("overwrite").option("compression", "snappy")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    rows = expected_rows if expected_rows is not None else seen.get["rows"]
-    back = df.sparkSession.read.parquet(path)
-    found = back.count()
-    if rows != found or set(back.columns) != set(df.columns):
-        raise WriteCheckError(f"{path}: wrote {rows} rows {df.columns}, read {found} rows {back.columns}")
-    return back.select(*df.columns)
+    spark, rows = df.sparkSession, expected_rows
+
+    def write(folder: str) -> None:
+        nonlocal rows
+        seen = versions.counted(df, lambda d: (d.write.partitionBy(*partition_by) if partition_by else d.write).option("compression", "snappy").parquet(folder))
+        rows = seen if rows is None else rows
+
+    versions.staged(spark, path, write, lambda folder: versions.compare(spark, folder, rows, df.columns))
+    return spark.read.parquet(path).select(*df.columns)
 
 
 def save_processed(tx: DataFrame, cust: DataFrame | None, folder: str) -> dict[str, DataFrame]:
@@ -73,7 +70,18 @@ def processed_status(spark: SparkSession, folder: str, names: tuple[str, ...] =
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """CSV with header. ``single`` is for reports whose size does not grow with the data."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
+    one = df.coalesce(1) if single else df
+    versions.staged(df.sparkSession, path, lambda folder: one.write.option("header", True).csv(folder))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON file of a table of bounded size."""
+    versions.staged(df.sparkSession, path, lambda folder: df.coalesce(1).write.json(folder))
+
+
+def write_small(df: DataFrame, path: str) -> None:
+    """One Parquet file of a table of bounded size."""
+    versions.staged(df.sparkSession, path, lambda folder: df.coalesce(1).write.parquet(folder))
 
 
 def export_segments(cust: DataFrame, profiles: DataFrame, folder: str, cfg: Config = DEFAULT) -> None:
@@ -81,7 +89,7 @@ def export_segments(cust: DataFrame, profiles: DataFrame, folder: str, cfg: Conf
     cols = [c for c in ("customer_id", "cluster", "segment_name", "loyalty_score") if c in cust.columns]
     extra = [F.col("churn")] if "churn" in cust.columns else []
     write_csv(cust.select(*cols, churn_risk_band(F.col("recency_days"), cfg).alias("churn_risk"), *extra), f"{folder}/customer_segments")
-    profiles.coalesce(1).write.mode("overwrite").json(f"{folder}/segment_profiles")
+    write_json(profiles, f"{folder}/segment_profiles")
     write_csv(profiles, f"{folder}/segment_summary", single=True)
 
 
@@ -98,9 +106,9 @@ def export_deliverables(importance: DataFrame, risk: DataFrame, campaigns: DataF
 def export_model(model: PipelineModel, features: list[str], metrics: DataFrame, folder: str) -> None:
     """The fitted pipeline (fill, scaling and model), its feature names and its metrics."""
     spark = metrics.sparkSession
-    model.write().overwrite().save(f"{folder}/model")
-    spark.createDataFrame([(i, f) for i, f in enumerate(features)], "position int, feature string").coalesce(1).write.mode("overwrite").json(f"{folder}/features")
-    metrics.coalesce(1).write.mode("overwrite").json(f"{folder}/metrics")
+    versions.staged(spark, f"{folder}/model", model.save)
+    write_json(spark.createDataFrame([(i, f) for i, f in enumerate(features)], "position int, feature string"), f"{folder}/features")
+    write_json(metrics, f"{folder}/metrics")
 
 
 def load_model(folder: str) -> PipelineModel:
@@ -120,6 +128,6 @@ def save_cohorts(cells: DataFrame, summary: DataFrame, segment_ltv: DataFrame, f
     """The long cell table, the three wide matrices, the cohort summary and the segment LTV table."""
     cells = write_verified(cells, f"{folder}/cohort_cells.parquet")
     for name in ("retention", "revenue", "ltv"):
-        wide_matrix(cells, name).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}_matrix.parquet")
-    summary.withColumn("cohort_month", F.date_format("cohort_month", "yyyy-MM")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/cohort_summary.parquet")
-    segment_ltv.coalesce(1).write.mode("overwrite").parquet(f"{folder}/segment_ltv.parquet")
+        write_small(wide_matrix(cells, name), f"{folder}/{name}_matrix.parquet")
+    write_small(summary.withColumn("cohort_month", F.date_format("cohort_month", "yyyy-MM")), f"{folder}/cohort_summary.parquet")
+    write_small(segment_ltv, f"{folder}/segment_ltv.parquet")

@@ -108,3 +108,27 @@ def test_column_choice_does_not_change_rows(spark, sf):
     with pytest.raises(ValueError):
         transactions(spark, sf, ["nope"])
     assert whole.columns == list(TRANSACTION_SCHEMA.fieldNames())
+
+
+def test_bad_csv_lines_are_kept_apart(spark, tmp_path):
+    from shopgrain.sources.tables import TRANSACTION_COLUMNS
+
+    good = "O1,C1,P1,2024-01-02,Books,North,F,Card,10.5,0.1,2,9.45,1.0,3.0,30,4,Yes"
+    lines = [
+        good, good.replace("O1", "O2").replace("10.5", "ten"), good.replace("O1", "O3").replace("2024-01-02", "2024-13-40").replace(",2,", ",two,"), "O4,C1,P1",
+        good.replace("O1", "O5") + ",extra", good.replace("O1", "O6").replace("Books", ""), good.replace("O1", "O7").replace(",4,", ",,"), '"O8,C1,P1',
+    ]
+    (tmp_path / "a.csv").write_text("\n".join([",".join(TRANSACTION_COLUMNS), *lines[:4]]) + "\n")
+    (tmp_path / "b.csv").write_text("\n".join([",".join(TRANSACTION_COLUMNS), *lines[4:]]) + "\n")
+    found = readers.read_checked_csv(spark, str(tmp_path))
+    assert sorted(r["order_id"] for r in found.clean.collect()) == ["O1", "O7"]
+    assert found.clean.count() == 2, "what is asked for does not change which lines are broken"
+    row = found.clean.where("order_id = 'O1'").first()
+    assert (row["price"], row["quantity"], row["returned"], str(row["order_date"])) == (10.5, 2, "Yes", "2024-01-02")
+    bad = {r["line"]: r for r in found.quarantine.collect()}
+    assert len(bad) == 6 and {r["file"].rsplit("/", 1)[1] for r in bad.values()} == {"a.csv", "b.csv"}
+    assert bad[lines[1]]["reasons"] == ["price: not a double"]
+    assert bad[lines[2]]["reasons"] == ["order_date: not a date", "quantity: not a int"]
+    assert bad["O4,C1,P1"]["reasons"] == bad[lines[4]]["reasons"] == ["malformed line"]
+    assert [r["reasons"] for r in bad.values() if r["order_id"] == "O6"] == [["category: empty"]]
+    assert found.quarantine.select("reasons").count() == 6 and found.quarantine.where("line LIKE 'O4%'").first()["order_id"] == "O4"
