@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("customers", "sales", "quality", "segments", "cohorts", "fraud", "hypothesis", "models", "sources")
+SUBJECTS = ("customers", "sales", "quality", "segments", "cohorts", "fraud", "hypothesis", "models", "given", "sources")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
