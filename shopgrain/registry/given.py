@@ -49,7 +49,16 @@ def _composite(s, d):
     return rounded(fraud.composite_score(c, CFG).select("customer_id", "composite_fraud_score", "risk_tier"))
 
 
+def _variance(s, d):
+    """Shares of variance of the two components of two scaled rates, and the variance of the projections themselves."""
+    z = features.z_scores(_cust(s, d), list(_COLUMNS)).select("customer_id", array_to_vector(F.array(*_COLUMNS)).alias("features"))
+    out, shares = features.pca(z, 2)
+    spread = out.agg(F.var_pop("pc1").alias("pc1"), F.var_pop("pc2").alias("pc2"))
+    return rounded(spread.select(F.explode(F.array(*[F.struct(F.lit(i + 1).alias("component"), F.lit(v).alias("share"), F.col(f"pc{i + 1}").alias("variance")) for i, v in enumerate(shares)])).alias("r")).select("r.*"))
+
+
 QUERIES = {
+    "explained_variance_of_two": _variance,
     "metrics_of_given_scores": lambda s, d: rounded(classify.classification_metrics(_scores(s, d), "given")),
     "roc_of_given_scores": lambda s, d: rounded(classify.roc_points(_scores(s, d))),
     "separation_of_given_labels": _separation,
@@ -70,6 +79,8 @@ elbow AS (SELECT k, abs(v - a - (b - a) * x) / sqrt(1 + (b - a) * (b - a)) AS di
 _S = CFG.segment
 
 ORACLES = {
+    "explained_variance_of_two": f"""WITH {CUST}, r AS (SELECT abs(corr(return_rate, discount_usage_rate)) AS r FROM cust)
+SELECT 1 AS component, round((1 + r) / 2, 6) AS share, round(1 + r, 6) AS variance FROM r UNION ALL SELECT 2, round((1 - r) / 2, 6), round(1 - r, 6) FROM r""",
     "metrics_of_given_scores": _SCORES + """, m AS (SELECT count(*) FILTER (WHERE e = 1 AND churn = 1) AS tp, count(*) FILTER (WHERE e = 1 AND churn = 0) AS fp,
   count(*) FILTER (WHERE e = 0 AND churn = 1) AS fn, count(*) FILTER (WHERE e = 0 AND churn = 0) AS tn FROM s),
 pairs AS (SELECT sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END)::DOUBLE / count(*) AS auc FROM (SELECT p FROM s WHERE churn = 1) a, (SELECT p FROM s WHERE churn = 0) b),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import quality, segments as op
+from ..operators import hypothesis, quality, sales, segments as op
 from ..operators.customers import customer_features
 from ..sources.tables import transactions
 from .base import CFG, CUST, rounded
@@ -27,6 +27,8 @@ QUERIES = {
     "rfm_segments": lambda s, d: _seg(s, d).select(*_KEYS, "rfm_string", "rfm_segment"),
     "segment_profile": lambda s, d: op.segment_profile(_seg(s, d)),
     "score_distribution": lambda s, d: rounded(op.score_distribution(op.rfm_scores(_cust(s, d)))),
+    "score_describe": lambda s, d: rounded(sales.describe(op.rfm_scores(_cust(s, d)), list(op.SCORES))),
+    "score_correlation": lambda s, d: rounded(hypothesis.correlation_matrix(op.rfm_scores(_cust(s, d)), list(op.SCORES))),
     "churn_risk_bands": lambda s, d: op.with_churn_risk(_cust(s, d), CFG).select("customer_id", "recency_days", "churn_risk"),
     "churn_risk_distribution": lambda s, d: rounded(op.churn_risk_distribution(_seg(s, d), "rfm_segment", CFG)),
     "loyalty_tiers": lambda s, d: op.loyalty_tiers(_cust(s, d), CFG).select("customer_id", "loyalty_tier"),
@@ -100,6 +102,9 @@ ORACLES = {
   round(avg(monetary), 2) AS avg_monetary, round(avg(loyalty_score), 2) AS avg_loyalty, count(*) AS customers FROM seg GROUP BY 1""",
     "score_distribution": f"WITH {SEG} " + " UNION ALL ".join(
         f"SELECT '{c}' AS score_name, {c} AS score, count(*) AS customers, round(count(*) * 100.0 / (SELECT count(*) FROM seg), 6) AS pct FROM seg GROUP BY 2" for c in _KEYS[1:]),
+    "score_describe": f"WITH {SEG} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, count(*) - count({c}) AS missing FROM seg" for c in _KEYS[1:]),
+    "score_correlation": f"WITH {SEG} " + " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS r FROM seg" for a in _KEYS[1:] for b in _KEYS[1:]),
     "churn_risk_bands": f"WITH {SEG} SELECT customer_id, recency_days, churn_risk FROM seg",
     "churn_risk_distribution": f"""WITH {SEG}, g AS (SELECT rfm_segment, churn_risk, count(*) AS customers FROM seg GROUP BY 1, 2)
 SELECT rfm_segment, churn_risk, customers, round(customers * 100.0 / sum(customers) OVER (PARTITION BY rfm_segment), 6) AS pct,
