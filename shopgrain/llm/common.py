@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialized  # noqa: F401  (a general helper, passed on to the operators)
@@ -28,3 +32,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def id_back(did: Column) -> Column:
     return F.when(did != LAST_ID, did)
+
+
+def give_back() -> None:
+    """Return what earlier tasks of this Python worker no longer use to the system: workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim:
+        trim(0)

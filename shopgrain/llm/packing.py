@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import materialized, table
+from .common import give_back, materialized, table
 from .tokens import encoder, vocabulary_paths
 
 CAPACITY = 1024
@@ -23,6 +23,8 @@ END = 2
 NODES = 3000
 #: Fillings that are tried at one node beyond the best.
 BREADTH = 4
+#: Pieces of one batch of rows.
+ROWS = 4096
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -181,7 +183,13 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
 
 def _pieces(path: str, ranks_path: str, capacity: int, end: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         enc = encoder(path, ranks_path)
+        kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows) if rows else [()] * 5, kinds)], [n for n, _ in kinds])
+
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             rows: list[tuple] = []
@@ -192,8 +200,11 @@ def _pieces(path: str, ranks_path: str, capacity: int, end: int):
                     stop = len(tokens) - (-(-len(tokens) // capacity) - 1 - k) * capacity
                     rows.append((doc_id, k, start, stop - start, crc32(tokens[start:stop].tobytes())))
                     start = stop
-            kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows) if rows else [()] * 5, kinds)], [n for n, _ in kinds])
+                if len(rows) >= ROWS:
+                    yield packed(rows)
+                    rows = []
+            yield packed(rows)
+        give_back()
 
     return task
 
