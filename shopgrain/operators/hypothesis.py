@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dist import p_chi2, p_f, p_normal, p_t
 from ..functions.expr import count_if, ladder, one_row, safe_divide, to_rows
@@ -91,15 +91,11 @@ def pairwise_mann_whitney(df: DataFrame, value: str, group: str, alpha: float =
 
     Rows are first counted per (label, value); only those counts are spread over the pairs.
     """
-    labels = sorted(r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().collect())
     counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("m"))
-    pairs = list(combinations(labels, 2))
-    mine = F.array_compact(F.array(*[
-        F.when(F.col(group).isin(a, b), F.struct(F.lit(a).alias("group_a"), F.lit(b).alias("group_b"),
-                                                 (F.col(group) == a).cast("int").alias("is_a")))
-        for a, b in pairs
-    ]))
-    spread = counts.select(value, "m", F.explode(mine).alias("p")).select(value, "m", "p.*")
+    pairs = label_pairs(df.where(F.col(group).isNotNull()).select(F.col(group).alias("label")).distinct(), ["label"])
+    side = lambda p, v: F.struct(F.col(f"{p}.label").alias(group), F.lit(v).alias("is_a"))
+    sides = pairs.select(F.col("a.label").alias("group_a"), F.col("b.label").alias("group_b"), "pairs", F.explode(F.array(side("a", 1), side("b", 0))).alias("s"))
+    spread = checkpointed(counts.join(sides.select("group_a", "group_b", "pairs", "s.*"), group).drop(group))
     by = ["group_a", "group_b"]
     ranks = value_ranks(spread, value, by, weight="m")
     ties = ranks.groupBy(*by).agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("_t"))
@@ -108,7 +104,7 @@ def pairwise_mann_whitney(df: DataFrame, value: str, group: str, alpha: float =
     spread = spread.withColumn(value, F.col(value).cast("double"))
     out = spread.join(ranks.select(*by, value, "n", "before"), [*by, value]).groupBy(*by).agg(
         F.sum(F.when(a, F.col("m"))).alias("n_a"), F.sum(F.when(~a, F.col("m"))).alias("n_b"),
-        (F.sum(F.when(a, twice)).cast("double") / 2).alias("_r"),
+        (F.sum(F.when(a, twice)).cast("double") / 2).alias("_r"), F.max("pairs").alias("_pairs"),
     ).join(ties, by)
     n1, n0 = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = n1 + n0
@@ -116,7 +112,7 @@ def pairwise_mann_whitney(df: DataFrame, value: str, group: str, alpha: float =
     sd = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.col("_t") / (n * (n - 1))))
     z = (F.abs(F.col("u_statistic") - n1 * n0 / 2) - 0.5) / sd
     out = out.withColumn("p_value", p_normal(F.greatest(z, F.lit(0.0))))
-    return out.withColumn("significant", F.col("p_value") < alpha / max(len(pairs), 1)).drop("_r", "_t")
+    return out.withColumn("significant", F.col("p_value") < alpha / F.greatest(F.col("_pairs"), F.lit(1))).drop("_r", "_t", "_pairs")
 
 
 def spearman(df: DataFrame, x: str, y: str, p_value: bool = True) -> DataFrame:
@@ -208,16 +204,29 @@ def levene(df: DataFrame, value: str, group: str, by: Sequence[str] = (), p_valu
     )
 
 
-def label_pairs(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every pair of label rows as structs ``a`` and ``b`` (a before b in column order).
+#: Labels of one block; a task pairs two blocks.
+LABEL_BLOCK = 128
 
-    For tables with one row per label: the rows are folded into one array and the pairs are taken
-    from it, so no join of the table with itself is planned.
+
+def label_pairs(rows: DataFrame, columns: Sequence[str], block: int = LABEL_BLOCK) -> DataFrame:
+    """Every pair of label rows as structs ``a`` and ``b`` (a before b in column order), and the number of ``pairs``.
+
+    For tables with one row per label. Labels are dealt into blocks by hash; every two blocks meet in a group of their own, so a label is copied once per block and not once per
+    label, no group has more than about two blocks, and no join of the table with itself is planned.
     """
-    every = rows.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("l"))
-    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(
-        F.slice("l", i + 2, F.greatest(F.size("l") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return every.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    rows = checkpointed(rows.select(*columns))
+    n = rows.count()
+    blocks = -(-n // block) or 1
+    own = F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int")
+    copies = rows.select(F.struct(*columns).alias("r"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    met = copies.select("r", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    # a number of tasks of its own: what comes in is small, what comes out is not
+    met = met.repartition(min(blocks * (blocks + 1) // 2, 1_000), "i", "j").groupBy("i", "j").agg(F.sort_array(F.collect_list(F.struct("r", "own"))).alias("l"))
+    ordered = lambda x, y: F.when(x["r"] < y["r"], F.struct(x["r"].alias("a"), y["r"].alias("b"))).otherwise(F.struct(y["r"].alias("a"), x["r"].alias("b")))
+    inside = F.flatten(F.transform("l", lambda x, k: F.transform(F.slice("l", k + 2, F.size("l")), lambda y: ordered(x, y))))
+    across = F.flatten(F.transform(F.filter("l", lambda e: e["own"] == F.col("i")), lambda x: F.transform(F.filter("l", lambda e: e["own"] == F.col("j")), lambda y: ordered(x, y))))
+    out = met.select(F.explode(F.when(F.col("i") == F.col("j"), inside).otherwise(across)).alias("p"))
+    return out.select("p.a", "p.b", F.lit(n * (n - 1) // 2).cast("bigint").alias("pairs"))
 
 
 def dunn(df: DataFrame, value: str, group: str, p_value: bool = True) -> DataFrame:
@@ -226,13 +235,13 @@ def dunn(df: DataFrame, value: str, group: str, p_value: bool = True) -> DataFra
     j = label_pairs(r, ["label", "n", "r", "ties", "total_n"])
     n = F.col("a.total_n").cast("double")
     var = (n * (n + 1) / 12 - F.col("a.ties") / (12 * (n - 1))) * (1 / F.col("a.n") + 1 / F.col("b.n"))
-    out = j.select(F.col("a.label").alias("group_a"), F.col("b.label").alias("group_b"), (F.abs(F.col("a.r") - F.col("b.r")) / F.sqrt(var)).alias("z"))
-    return out.withColumn("p_value", _bonferroni(F.col("z"))) if p_value else out
+    out = j.select(F.col("a.label").alias("group_a"), F.col("b.label").alias("group_b"), (F.abs(F.col("a.r") - F.col("b.r")) / F.sqrt(var)).alias("z"), "pairs")
+    return (out.withColumn("p_value", _bonferroni(F.col("z"), F.col("pairs"))) if p_value else out).drop("pairs")
 
 
-def _bonferroni(z):
-    """Two-sided normal tail times the number of rows (pairs) of the frame, at most 1."""
-    return F.least(p_normal(z) * F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))), F.lit(1.0))
+def _bonferroni(z, pairs):
+    """Two-sided normal tail times the number of pairs, at most 1."""
+    return F.least(p_normal(z) * pairs, F.lit(1.0))
 
 
 def chi_square(df: DataFrame, a: str, b: str, yates: bool = False, p_value: bool = True) -> DataFrame:
@@ -365,10 +374,10 @@ def two_proportion_pairs(rates: DataFrame, label: str, hits: str, n: str, alpha:
     pool = (a["k"] + b["k"]) / (a["n"] + b["n"])
     se = F.sqrt(pool * (1 - pool) * (1 / a["n"] + 1 / b["n"]))
     diff = a["k"] / a["n"] - b["k"] / b["n"]
-    out = j.select(a["label"].alias("label_a"), b["label"].alias("label_b"), diff.alias("difference"), safe_divide(diff, se).alias("z"))
+    out = j.select(a["label"].alias("label_a"), b["label"].alias("label_b"), diff.alias("difference"), safe_divide(diff, se).alias("z"), "pairs")
     if p_value:
-        out = out.withColumn("p_value", _bonferroni(F.col("z"))).withColumn("significant", F.col("p_value") < alpha)
-    return out
+        out = out.withColumn("p_value", _bonferroni(F.col("z"), F.col("pairs"))).withColumn("significant", F.col("p_value") < alpha)
+    return out.drop("pairs")
 
 
 def missingness_mechanism(df: DataFrame, column: str, others: Sequence[str], alpha: float = 0.05) -> DataFrame:

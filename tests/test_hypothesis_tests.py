@@ -104,3 +104,24 @@ def test_missingness_looks_at_all_columns(spark):
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in ["v", *names]))
     r = h.missingness_mechanism(df, "v", names).first()
     assert r.tests == 12 and r.mechanism == "MAR"
+
+
+def test_two_thousand_labels_pair_in_blocks(spark):
+    """1,999,000 pairs, each once and in order; no task has more than a tenth of them; labels are no literals of the plan."""
+    rates = spark.range(2000).selectExpr("format_string('L%05d', id) AS label", "id % 50 AS k", "100 + id % 7 AS n")
+    out = h.two_proportion_pairs(rates, "label", "k", "n", p_value=False)
+    assert out.where("label_a < label_b").distinct().count() == out.count() == 1_999_000
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("t")).count().collect()]
+    assert len(tasks) > 15 and max(tasks) < 1_999_000 / 10
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "L00017" not in plan and len(plan) < 20_000
+
+
+def test_pairs_of_few_labels(spark):
+    one = spark.createDataFrame([("a", 1)], "label string, x int")
+    assert h.label_pairs(one, ["label", "x"]).count() == 0
+    assert h.label_pairs(one.where("x = 2"), ["label", "x"]).count() == 0
+    three = spark.createDataFrame([("b", 1), ("a", 2), (None, 3)], "label string, x int")
+    for block in (1, 2, 256):
+        got = {(r.a.label, r.b.label, r.pairs) for r in h.label_pairs(three, ["label", "x"], block).collect()}
+        assert got == {(None, "a", 3), (None, "b", 3), ("a", "b", 3)}
