@@ -99,7 +99,7 @@ def arma_filter(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarr
             gain = moved[:, :, 0] / scale[:, None]
             turned = moved.transpose(0, 2, 1)
             after = phi[:, :, None] * turned[:, :1, :] + _shifted(turned) + noise - gain[:, :, None] * gain[:, None, :] * scale[:, None, None]
-            steady = np.abs(after - cov).max() < 1e-12
+            steady = np.abs(after - cov).max() < 1e-11
             cov, log_scale = after, np.log(scale)
         v = value - state[:, 0]
         squares += v * v / scale
@@ -115,7 +115,7 @@ def _deviance(w: np.ndarray, x: np.ndarray, p: int) -> tuple[np.ndarray, np.ndar
     return len(w) * (np.log(2 * np.pi * s2) + 1) + logs, state
 
 
-def maximum_likelihood(w: np.ndarray, p: int, q: int, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+def maximum_likelihood(w: np.ndarray, p: int, q: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """AR and MA coefficients of the greatest exact Gaussian likelihood, -2 log likelihood and the state after the last value. BFGS from the least-squares fit; gradients and step lengths are tried side by side."""
     k = p + q
     start = np.full((1, k), 0.1)
@@ -128,7 +128,7 @@ def maximum_likelihood(w: np.ndarray, p: int, q: int, rounds: int = 60) -> tuple
     for _ in range(rounds if k else 0):
         around = np.vstack([x, x + eps * np.eye(k), x - eps * np.eye(k)])
         values = _deviance(w, around, p)[0]
-        if last - values[0] < 1e-8:
+        if last - values[0] < 1e-5:
             break
         before, gradient, last = gradient, (values[1 : k + 1] - values[k + 1 :]) / (2 * eps), values[0]
         if before.any():
