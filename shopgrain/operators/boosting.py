@@ -1,6 +1,6 @@
 """Second-order boosted trees over feature histograms.
 
-Features are cut into bins once. For every tree a level's gradient and hessian sums per (node, feature, bin) are added up in Spark; from these sums, whose number the tree's shape
+Features are cut into bins once. For every tree a level's gradient and hessian sums per (node, feature, bin) are added up in Spark, a level in one job; from these sums, whose number the tree's shape
 bounds, the driver picks each node's best cut. A tree sees a random part of the rows and of the features, drawn by hash, so results do not depend on partitions.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -22,6 +23,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed, HasWeightCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.ranks import quantiles
 from ..session import materialized
@@ -41,7 +43,7 @@ class BoostingParams:
     min_gain: float = 0.0
     bins: int = 64
     seed: int = 42
-    #: Margins are written anew after so many trees.
+    #: Margins are written to the checkpoint folder after so many trees.
     write_every: int = 25
 
 
@@ -148,12 +150,12 @@ def best_cut(hist: np.ndarray, allowed: list[int], p: BoostingParams) -> tuple[f
 
 
 def grow(sums, features: int, tree_number: int, p: BoostingParams) -> Tree:
-    """One tree. ``sums(tree, open nodes)`` gives the histograms of the open nodes."""
+    """One tree. ``sums(tree, open nodes, all features)`` gives the histograms of the open nodes, of the first feature alone where only totals count."""
     rng = np.random.default_rng([p.seed, tree_number])
     allowed = sorted(rng.choice(features, max(1, math.ceil(p.feature_share * features - 1e-9)), replace=False).tolist())
     tree, level = Tree.stump(), [0]
     for depth in range(p.depth + 1):
-        hist = sums(tree, level)
+        hist = sums(tree, level, depth < p.depth)
         after = []
         for k, node in enumerate(level):
             g, h = hist[k, 0, :, 0].sum(), hist[k, 0, :, 1].sum()
@@ -170,76 +172,100 @@ def grow(sums, features: int, tree_number: int, p: BoostingParams) -> Tree:
     return tree
 
 
-_ROWS = "key bigint, y double, w double, margin double, b binary"
+#: Rows of a block, the unit in which binned rows are kept, and of a task; partial sums that the driver adds up itself: of more tasks' sums executors make fewer first.
+BLOCK_ROWS, TASK_ROWS, DIRECT_SUMS = 50_000, 20_000, 64
 
+#: (key, y, w, margin, bins) of some rows.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-def _arrays(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, ...]:
-    key, y, w, margin = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "y", "w", "margin"))
-    return key, y, w, margin, np.frombuffer(b"".join(batch.column("b").to_pylist()), np.int16).reshape(-1, features)
 
+def _to_blocks(edges: list[list[float]]):
+    """Pickled blocks of a task's rows."""
 
-def _to_bins(edges: list[list[float]]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> pa.RecordBatch:
+            key, y, w, b = (np.concatenate(c) for c in zip(*parts))
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps((key, y, w, np.zeros(len(y)), b))], pa.binary()), pa.array([len(y)])], ["block", "n"])
+
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(edges))
-            cells = [r.tobytes() for r in binned(x, edges)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "y", "w", "margin")), pa.array(cells, pa.binary())], ["key", "y", "w", "margin", "b"])
+            parts.append((*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "y", "w")), binned(x, edges)))
+            if sum(len(p[0]) for p in parts) >= BLOCK_ROWS:
+                yield packed()
+        if parts:
+            yield packed()
 
     return task
 
 
-def _with_margins(trees: list[Tree], features: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, _, _, margin, b = _arrays(batch, features)
-            for t in trees:
-                margin = margin + np.array(t.value)[t.nodes_of(b)]
-            yield batch.set_column(3, "margin", pa.array(margin))
+def _with_tree(tree: Tree):
+    """A block with the margins after one more tree."""
 
-    return task
+    def block(rows: Block) -> Block:
+        key, y, w, margin, b = rows
+        return key, y, w, margin + np.array(tree.value)[tree.nodes_of(b)], b
 
+    return block
 
-def _level_sums(done: list[Tree], tree: Tree, number: int, level: list[int], features: int, width: int, p: BoostingParams):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _drawn(number: int, p: BoostingParams):
+    """Bins, gradients and hessians of the rows that a tree sees."""
+
+    def block(rows: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, y, w, margin, b = rows
+        take = unit(key, p.seed * 1_000_003 + number) < p.row_share
+        return b[take], *gradients(y[take], margin[take], w[take])
+
+    return block
+
+
+def _level_sums(tree: Tree, level: list[int], features: int, width: int):
+    def task(blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
         place = np.full(len(tree.feature), -1, np.int64)
         place[level] = np.arange(len(level))
         total = np.zeros((len(level), features, width, 2))
-        for batch in batches:
-            key, y, w, margin, b = _arrays(batch, features)
-            drawn = unit(key, p.seed * 1_000_003 + number) < p.row_share
-            y, w, margin, b = y[drawn], w[drawn], margin[drawn], b[drawn]
-            for t in done:
-                margin = margin + np.array(t.value)[t.nodes_of(b)]
-            total += histogram(b, place[tree.nodes_of(b)], len(level), width, *gradients(y, margin, w))
-        cell = np.arange(total[..., 0].size)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[..., 0].ravel()), pa.array(total[..., 1].ravel())], ["cell", "g", "h"])
+        for b, g, h in blocks:
+            total += histogram(b[:, :features], place[tree.nodes_of(b)], len(level), width, g, h)
+        yield total
 
     return task
 
 
 def fit_boosted(rows: DataFrame, edges: list[list[float]], p: BoostingParams) -> list[Tree]:
-    """Trees fitted to ``rows``: key (bigint, the draw of rows hangs on it), y (0 or 1), w (weight) and x (array<double>, one value per list of ``edges``; NaN or null is no value)."""
+    """Trees fitted to ``rows``: key (bigint, the draw of rows hangs on it), y (0 or 1), w (weight) and x (array<double>, one value per list of ``edges``; NaN or null is no value).
+
+    Blocks of rows with their margins are kept from tree to tree, and those of the drawn rows with their gradients from level to level; a level is one job without a shuffle.
+    """
     features, width = len(edges), max((len(e) for e in edges), default=0) + 2
-    data = materialized(rows.select("key", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), F.lit(0.0).alias("margin"), F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("x")).mapInArrow(_to_bins(edges), _ROWS)).persist()
+    x = F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan"))))
+    blocks = rows.select("key", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), x.alias("x")).mapInArrow(_to_blocks(edges), "block binary, n bigint")
+    written = materialized(blocks)
+    parts = written.agg(F.greatest(F.ceil(F.sum("n") / F.lit(TASK_ROWS)), F.lit(1))).first()[0] or 1
+    kept = [written.rdd.coalesce(parts).map(lambda r: pickle.loads(r.block)).persist(StorageLevel.MEMORY_AND_DISK)]
+    depth = 1 if kept[0].getNumPartitions() <= DIRECT_SUMS else 2
     trees: list[Tree] = []
-    pending: list[Tree] = []  # trees that the written margins do not hold yet
     for number in range(p.trees):
-
-        def sums(tree: Tree, level: list[int]) -> np.ndarray:
-            out = np.zeros(len(level) * features * width * 2).reshape(-1, 2)
-            got = data.mapInArrow(_level_sums(pending, tree, number, level, features, width, p), "cell bigint, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-            found = got.toArrow()  # nodes * features * bins rows
-            out[found.column("cell").to_numpy()] = np.column_stack([found.column(c).to_numpy() for c in ("g", "h")])
-            return np.round(out, 9).reshape(len(level), features, width, 2)  # sums in any order give the same tree
-
-        tree = grow(sums, features, number, p)
-        trees.append(tree)
-        pending.append(tree)
-        if len(pending) == p.write_every and number + 1 < p.trees:
-            after = materialized(data.mapInArrow(_with_margins(pending, features), _ROWS)).persist()
-            data.unpersist()
-            data, pending = after, []
-    data.unpersist()
+        sample = kept[-1].map(_drawn(number, p)).persist(StorageLevel.MEMORY_AND_DISK)
+
+        def sums(tree: Tree, level: list[int], whole: bool) -> np.ndarray:
+            seen = features if whole else 1
+            total = sample.mapPartitions(_level_sums(tree, level, seen, width)).treeAggregate(np.zeros((len(level), seen, width, 2)), np.add, np.add, depth)
+            return np.round(total, 9)  # sums in any order give the same tree
+
+        trees.append(grow(sums, features, number, p))
+        sample.unpersist()
+        for old in kept[:-1]:
+            old.unpersist()
+        kept = kept[-1:]
+        if number + 1 < p.trees:
+            kept.append(kept[-1].map(_with_tree(trees[-1])).persist(StorageLevel.MEMORY_AND_DISK))
+            if (number + 1) % p.write_every == 0:
+                kept[-1].checkpoint()
+    for old in kept:
+        old.unpersist()
     return trees
 
 

@@ -112,3 +112,22 @@ def test_one_label_and_no_cuts_give_leaves(spark):
     rows = spark.createDataFrame([(i, 1, 1.0, [2.0]) for i in range(20)], SCHEMA)
     trees = B.fit_boosted(rows, [[]], B.BoostingParams(trees=2, row_share=1.0))
     assert [len(t.feature) for t in trees] == [1, 1] and trees[0].value[0] == pytest.approx(0.1 * 10 / (5 + 1))
+
+
+def test_a_level_is_one_job(spark, data):
+    """Three trees of depth 3 take at most 4 jobs each, and a few go to writing and counting the rows; no level has a shuffle of its own."""
+    p = B.BoostingParams(trees=3, depth=3, write_every=100)
+    edges = [[-0.5, 0.0, 0.5], [-1.0, 0.0, 1.0], [0.0], []]
+    rows = frame(spark, data).repartition(5).localCheckpoint()
+    sc = spark.sparkContext
+    sc.setJobGroup("boosted-trees", "")
+    try:
+        B.fit_boosted(rows, edges, p)
+        jobs = sc.statusTracker().getJobIdsForGroup("boosted-trees")
+    finally:
+        sc._jsc.clearJobGroup()
+    assert len(jobs) <= 3 * 4 + 6
+
+
+def test_no_rows_give_leaves_without_value(spark):
+    assert [t.value for t in B.fit_boosted(spark.createDataFrame([], SCHEMA), [[0.0]], B.BoostingParams(trees=2))] == [[0.0], [0.0]]
