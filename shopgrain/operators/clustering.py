@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
@@ -15,6 +17,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..config import DEFAULT, Config
 from ..functions.expr import one_row, safe_divide
+from ..session import checkpointed
 from .boosting import unit
 from .features import median_fill, scaled_vectors
 
@@ -24,6 +27,8 @@ PARALLEL_FITS = 8
 #: Rounds in which candidates for the first centres are drawn, points drawn in one, and rounds in which the weighted candidates are moved.
 DRAW_ROUNDS, DRAWN, POOL_ROUNDS = 5, 64, 10
 TOLERANCE = 1e-4
+#: Rows of a block of points, and tasks whose sums the driver adds up itself.
+BLOCK_ROWS, DIRECT_SUMS = 16_384, 64
 
 
 def cluster_vectors(cust: DataFrame, cfg: Config = DEFAULT, method: str = "standard") -> DataFrame:
@@ -53,32 +58,75 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
 
 
-def _draw(candidates: np.ndarray, dim: int, salt: int, take: int):
-    """Rows (x, race): a task's ``take`` winners of a race that a point wins with a chance in proportion to its squared distance to the candidates."""
+def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pickled (points, hashes, order) of up to BLOCK_ROWS or some more rows."""
+    parts: list[tuple[np.ndarray, ...]] = []
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_x, best_race = np.zeros((0, dim)), np.zeros(0)
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy().reshape(-1, dim)
+    def packed() -> pa.RecordBatch:
+        block = tuple(np.concatenate(c) for c in zip(*parts))
+        parts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
+
+    for batch in batches:
+        if batch.num_rows:
+            parts.append((batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1), batch.column("h").to_numpy(), batch.column("o").to_numpy()))
+        if sum(len(p[0]) for p in parts) >= BLOCK_ROWS:
+            yield packed()
+    if parts:
+        yield packed()
+
+
+def _blocks(points: DataFrame, seed: int) -> RDD:
+    """Blocks (x, h, o) of the points ``x``: a hash of the coordinates, and that hash's own by the seed. Every round of a fit reads them in one job without a shuffle."""
+    keyed = points.select("x", F.xxhash64("x").alias("h")).withColumn("o", F.xxhash64("h", F.lit(seed)))
+    return keyed.mapInArrow(_to_blocks, "block binary").rdd.map(lambda r: pickle.loads(r.block)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _gathered(blocks: RDD, task, join):
+    """The tasks' results joined, or None without blocks; executors join first where there are many."""
+    found = blocks.mapPartitions(lambda b: [task(b)])
+    return found.treeAggregate(None, lambda a, b: join(a, b) if a is not None and b is not None else a if b is None else b,
+                               lambda a, b: join(a, b) if a is not None and b is not None else a if b is None else b, 1 if blocks.getNumPartitions() <= DIRECT_SUMS else 2)
+
+
+def _first(blocks: Iterator[tuple]) -> tuple | None:
+    """(order, point) that is least by order, then by coordinates."""
+    best = None
+    for x, _, o in blocks:
+        at = np.flatnonzero(o == o.min())
+        best = min((int(o[at[0]]), min(x[at].tolist())), *([best] if best else [(math.inf, [])]))
+    return best
+
+
+def _draw(candidates: np.ndarray, salt: int, take: int):
+    """(race, x) of a task's ``take`` winners of a race that a point wins with a chance in proportion to its squared distance to the candidates."""
+
+    def task(blocks: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        best = np.zeros(0), np.zeros((0, candidates.shape[1]))
+        for x, h, _ in blocks:
             far = _nearest(x, candidates).min(1)
-            u = unit(batch.column("h").to_numpy(), salt)
             open_ = far > 1e-12 * max(1.0, float((x * x).sum(1).max(initial=0)))
-            race = -np.log1p(-u[open_]) / far[open_]
-            best_x, best_race = np.vstack([best_x, x[open_]]), np.append(best_race, race)
-            order = np.argsort(best_race, kind="stable")[:take]
-            best_x, best_race = best_x[order], best_race[order]
-        yield pa.RecordBatch.from_arrays([pa.array(list(best_x), pa.list_(pa.float64())), pa.array(best_race)], ["x", "race"])
+            best = _least(take)(best, (-np.log1p(-unit(h, salt)[open_]) / far[open_], x[open_]))
+        return best
 
     return task
 
 
-def _weigh(candidates: np.ndarray, dim: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _least(take: int):
+    def join(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        race, x = np.append(a[0], b[0]), np.vstack([a[1], b[1]])
+        order = np.argsort(race, kind="stable")[:take]
+        return race[order], x[order]
+
+    return join
+
+
+def _weigh(candidates: np.ndarray):
+    def task(blocks: Iterator[tuple]) -> np.ndarray:
         total = np.zeros(len(candidates), np.int64)
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy().reshape(-1, dim)
+        for x, _, _ in blocks:
             total += np.bincount(_nearest(x, candidates).argmin(1), minlength=len(candidates))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(candidates))), pa.array(total)], ["c", "n"])
+        return total
 
     return task
 
@@ -88,17 +136,24 @@ def candidate_centres(points: DataFrame, seed: int, rounds: int = DRAW_ROUNDS, d
 
     A point's luck in a round hangs on the hash of its coordinates, so files and partitions do not matter. At most 1 + rounds * drawn candidates reach the driver.
     """
-    keyed = points.select("x", F.xxhash64("x").alias("h"))
-    first = keyed.orderBy(F.xxhash64("h", F.lit(seed)), "x").first()
-    candidates = np.array([first["x"]], float)
-    dim = candidates.shape[1]
+    blocks = _blocks(points, seed)
+    try:
+        return _candidates(blocks, seed, rounds, drawn)
+    finally:
+        blocks.unpersist()
+
+
+def _candidates(blocks: RDD, seed: int, rounds: int, drawn: int) -> tuple[np.ndarray, np.ndarray]:
+    first = _gathered(blocks, _first, min)
+    if first is None:
+        raise ValueError("no points to cluster")
+    candidates = np.array([first[1]], float)
     for r in range(rounds):
-        won = keyed.mapInArrow(_draw(candidates, dim, seed * 1_000 + r, drawn), "x array<double>, race double").orderBy("race", "x").limit(drawn).collect()
-        if not won:  # every point is a candidate
+        won = _gathered(blocks, _draw(candidates, seed * 1_000 + r, drawn), _least(drawn))[1]
+        if not len(won):  # every point is a candidate
             break
-        candidates = np.unique(np.vstack([candidates, [w["x"] for w in won]]), axis=0)
-    weight = {w["c"]: w["n"] for w in keyed.mapInArrow(_weigh(candidates, dim), "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect()}
-    return candidates, np.array([weight[i] for i in range(len(candidates))], float)
+        candidates = np.unique(np.vstack([candidates, won]), axis=0)
+    return candidates, _gathered(blocks, _weigh(candidates), np.add).astype(float)
 
 
 def _start(candidates: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -120,48 +175,50 @@ def _start(candidates: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.
 
 
 def _sums(fits: dict[int, np.ndarray], dim: int):
-    """Per fit and cluster: number, cost and coordinate sums of a task's points, for all fits in one reading."""
+    """Per fit an array with number, cost and coordinate sums of a task's points by cluster, for all fits in one reading."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(blocks: Iterator[tuple]) -> dict[int, np.ndarray]:
         total = {f: np.zeros((len(c), dim + 2)) for f, c in fits.items()}
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy().reshape(-1, dim)
+        for x, _, _ in blocks:
+            across, norm = np.ascontiguousarray(x.T), (x * x).sum(1)
             for f, c in fits.items():
-                d = _nearest(x, c)
-                own = d.argmin(1)
-                cols = [np.ones(len(x)), d[np.arange(len(x)), own], *x.T]
-                total[f] += np.column_stack([np.bincount(own, v, len(c)) for v in cols])
-        rows = [(f, i, *r) for f, t in total.items() for i, r in enumerate(t)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["fit", "cluster", "n", "cost", *[f"s{j}" for j in range(dim)]])
+                d = (-2 * c) @ across
+                d += norm
+                d += (c * c).sum(1)[:, None]
+                own = d.argmin(0)
+                cost = np.maximum(d.min(0), 0)
+                mine = (own == np.arange(len(c))[:, None]).astype(float)
+                total[f] += np.column_stack([np.bincount(own, minlength=len(c)), mine @ cost, mine @ x])
+        return total
 
     return task
 
 
+def _added(a: dict[int, np.ndarray], b: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    return {f: a[f] + b[f] for f in a}
+
+
 def kmeans_fits(vectors: DataFrame, wanted: list[tuple[int, int]], max_iter: int) -> list[Centres]:
     """Lloyd's algorithm for many (k, seed) at once: one reading of the points per round serves all fits that still move. Starts are drawn from common candidates, each fit's by its seed."""
-    points = vectors.select(vector_to_array("features").alias("x"))
-    if points.isEmpty():
-        raise ValueError("no points to cluster")
-    candidates, weight = candidate_centres(points, wanted[0][1], drawn=max(DRAWN, 4 * max(k for k, _ in wanted)))
-    dim = candidates.shape[1]
-    centres = {i: _start(candidates, weight, k, seed) for i, (k, seed) in enumerate(wanted)}
-    cost, moving = {}, set(centres)
-    schema = "fit bigint, cluster bigint, n double, cost double, " + ", ".join(f"s{j} double" for j in range(dim))
-    for step in range(max_iter + 1):
-        sums = points.mapInArrow(_sums({i: centres[i] for i in moving}, dim), schema).groupBy("fit", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *[f"s{j}" for j in range(dim)])])
-        new = {i: centres[i].copy() for i in moving}
-        cost |= dict.fromkeys(moving, 0.0)
-        for r in sums.collect():  # fits times clusters rows
-            cost[r.fit] += r.cost
-            if r.n:
-                new[r.fit][r.cluster] = [r[f"s{j}"] / r.n for j in range(dim)]
-        if step == max_iter:
-            break
-        still = {i for i in moving if ((new[i] - centres[i]) ** 2).sum(1).max() > TOLERANCE**2}
-        centres |= {i: new[i] for i in still}
-        moving = still
-        if not moving:
-            break
+    blocks = _blocks(vectors.select(vector_to_array("features").alias("x")), wanted[0][1])
+    try:
+        candidates, weight = _candidates(blocks, wanted[0][1], DRAW_ROUNDS, max(DRAWN, 4 * max(k for k, _ in wanted)))
+        dim = candidates.shape[1]
+        centres = {i: _start(candidates, weight, k, seed) for i, (k, seed) in enumerate(wanted)}
+        cost, moving = {}, set(centres)
+        for step in range(max_iter + 1):
+            sums = _gathered(blocks, _sums({i: centres[i] for i in moving}, dim), _added)  # fits times clusters rows
+            cost |= {i: float(sums[i][:, 1].sum()) for i in moving}
+            if step == max_iter:
+                break
+            new = {i: np.where(sums[i][:, :1] > 0, sums[i][:, 2:] / np.maximum(sums[i][:, :1], 1), centres[i]) for i in moving}
+            still = {i for i in moving if ((new[i] - centres[i]) ** 2).sum(1).max() > TOLERANCE**2}
+            centres |= {i: new[i] for i in still}
+            moving = still
+            if not moving:
+                break
+    finally:
+        blocks.unpersist()
     return [Centres(centres[i], cost[i]) for i in range(len(wanted))]
 
 
@@ -285,7 +342,7 @@ def choose_k(sweep: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Adjusted Rand index of two labelings from their contingency counts."""
-    cells = pairs.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
+    cells = checkpointed(pairs.groupBy(a, b).agg(F.count("*").cast("double").alias("n")))  # read three times; the pairs are read once
     two = lambda c: c * (c - 1) / 2
     g = cells.agg(F.sum(two(F.col("n"))).alias("ij"), F.sum("n").alias("n"))
     ra = cells.groupBy(a).agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias("v")).scalar()
@@ -301,7 +358,7 @@ def stability(vectors: DataFrame, k: int, cfg: Config = DEFAULT, iterations: int
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ref = best_kmeans(vectors, k, cfg, restarts)
-        base = ref.transform(vectors).select("features", F.col("cluster").alias("ref"))
+        base = ref.transform(vectors).select("features", F.col("cluster").alias("ref")).persist(StorageLevel.MEMORY_AND_DISK)
 
         def refit(i: int) -> tuple[int, float]:
             boot = base.sample(True, s.stability_fraction, s.seed + i).persist(StorageLevel.MEMORY_AND_DISK)
@@ -313,6 +370,7 @@ def stability(vectors: DataFrame, k: int, cfg: Config = DEFAULT, iterations: int
 
         with ThreadPoolExecutor(PARALLEL_FITS) as pool:
             rows = list(pool.map(refit, range(s.stability_iterations if iterations is None else iterations)))
+        base.unpersist()
     finally:
         vectors.unpersist()
     return vectors.sparkSession.createDataFrame(rows, "iteration int, ari double")

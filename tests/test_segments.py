@@ -111,3 +111,26 @@ def test_kmeans_of_few_and_equal_points(spark):
     assert same.cost == 0.0 and (same.points == 1).all()
     two = clustering.best_kmeans(_vectors(spark, np.array([[0.0, 0.0]] * 5 + [[4.0, 0.0]])), 4, restarts=2)
     assert two.cost == pytest.approx(0.0)
+
+
+def test_a_round_is_one_job_and_gives_plain_sums(spark):
+    """Twelve fits of up to four rounds: one job a round, and sums as of plain loops."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(c, 1.0, (150, 3)) for c in (0, 3, 7)])
+    df = _vectors(spark, x)
+    sc = spark.sparkContext
+    sc.setJobGroup("kmeans-rounds", "")
+    try:
+        fits = clustering.kmeans_fits(df, [(k, s) for k in (2, 3, 5) for s in range(4)], 3)
+        jobs = sc.statusTracker().getJobIdsForGroup("kmeans-rounds")
+    finally:
+        sc._jsc.clearJobGroup()
+    assert len(jobs) <= clustering.DRAW_ROUNDS + 3 + 4
+    for f in fits:
+        c = f.points
+        assert f.cost >= ((x[:, None, :] - c[None]) ** 2).sum(-1).min(1).sum() * (1 - 1e-9)
+    one, = clustering.kmeans_fits(df, [(3, 0)], 100)
+    own = ((x[:, None, :] - one.points[None]) ** 2).sum(-1).argmin(1)
+    np.testing.assert_allclose(one.points, [x[own == i].mean(0) for i in range(3)], atol=1e-3)
