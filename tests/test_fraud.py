@@ -65,3 +65,33 @@ def test_exposure_buckets_are_exclusive(make_tx, spark):
     e = fraud.exposure(tx, prof).first()
     assert (e["return_exposure_high_risk"], e["discount_exposure_high_risk"], e["neg_margin_exposure_high_risk"]) == (70, 10, 7)
     assert e["total_exposure_all"] == 127 and e["total_overlap_orders"] == 3 and e["high_risk_pct"] == 50
+
+
+def test_risk_queries_join_the_lines_once(spark, sf, monkeypatch):
+    """Features, segments and exposure read one written table of the transactions."""
+    from shopgrain.registry import fraud as queries
+
+    wide = []
+    plain = queries.transactions
+
+    def counted(s, d, columns=None):
+        wide.extend([columns] if columns is None or "region" in columns else [])
+        return plain(s, d, columns)
+
+    monkeypatch.setattr(queries, "transactions", counted)
+    queries._merged(spark, sf)
+    assert len(wide) == 1
+    tx = queries._tx(spark, sf, "price")
+    assert not any("Join" in line for line in tx._jdf.queryExecution().toString().splitlines())
+
+
+def test_high_risk_transactions_of_repeated_parts(spark, sf, tmp_path):
+    """A part that is listed twice does not list its lines twice."""
+    from shopgrain.registry import fraud as queries
+
+    for name in ("lineitem", "orders", "customer", "part", "nation", "region"):
+        df = spark.read.parquet(f"{sf}/{name}.parquet")
+        (df.unionByName(df) if name == "part" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    once = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").count().agg({"count": "max"}).first()[0]
+    got = queries.QUERIES["high_risk_transactions"](spark, str(tmp_path)).groupBy("order_id").count().agg({"count": "max"}).first()[0]
+    assert got is None or got <= once
