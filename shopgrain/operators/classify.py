@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.expr import count_if, one_row, safe_divide
 from ..functions.ranks import value_ranks
+from ..session import shared_folder
 from .boosting import HistogramBoosting
 
 
@@ -50,11 +52,21 @@ def train_models(data: DataFrame, features: list[str], cfg: Config = DEFAULT, tr
     """Fit the classifiers on the rows with is_train."""
     train = with_balanced_weights(_doubles(data.where("is_train"), features)).persist()
     try:
-        return {n: pipeline(m, features).fit(train) for n, m in classifiers(cfg, trees, boosts).items() if names is None or n in names}
+        return {n: _plain(pipeline(m, features).fit(train)) for n, m in classifiers(cfg, trees, boosts).items() if names is None or n in names}
     finally:
         train.unpersist()
 
 
+def _plain(model: PipelineModel) -> PipelineModel:
+    """The model as written and read again, without its training summary: that holds the session, which cannot be sent to tasks once it has observed a metric."""
+    last = model.stages[-1]
+    if not getattr(last, "hasSummary", False):
+        return model
+    path = f"{shared_folder(SparkSession.active())}/table-{uuid.uuid4().hex}"
+    last.write().save(path)
+    return PipelineModel([*model.stages[:-1], type(last).load(path)])
+
+
 def _doubles(df: DataFrame, features: list[str]) -> DataFrame:
     def finite(c):
         v = F.col(c).cast("double")

@@ -106,3 +106,14 @@ def test_vif(spark):
     ok = {r["feature"]: r["vif"] for r in features.vif(df, ["a", "b", "k"]).collect()}
     assert set(ok) == {"a", "b"} and all(1 <= v < 1.2 for v in ok.values())
     assert all(r["vif"] > 1e6 and not r["passed"] for r in features.vif(df, ["a", "b", "s"]).collect())
+
+
+def test_models_score_after_the_session_has_observed_a_metric(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("rows")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    data = spark.createDataFrame([(f"C{i}", i % 2, i % 5 > 0, float(i % 7), float(i % 2 * 3 + i % 3)) for i in range(80)], "customer_id string, churn int, is_train boolean, a double, b double")
+    models = classify.train_models(data, ["a", "b"], trees=3, boosts=2)
+    assert classify.evaluate_all(models, data.where("not is_train"), ["a", "b"]).count() == 3
