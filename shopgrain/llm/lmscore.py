@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import text as X
-from .common import id_back, keyed, materialized, table
+from .common import give_back, id_back, keyed, materialized, table
 from .langid import fold
 
 #: Slots per context: the last 2, 3 and 4 bytes, the word so far.
@@ -45,6 +45,8 @@ GROUP_BYTES = 1 << 24
 COMMON = 100_000
 #: Slots that travel in one row.
 _PIECE = 1 << 15
+#: Text bytes counted, or taken apart into words, in one go: beside the table of counts each needs some hundred bytes.
+_COUNT_BYTES = 1 << 17
 _OFFSETS = np.append(0, np.cumsum([1 << b for b in SLOT_BITS]))
 
 
@@ -148,10 +150,11 @@ def _counts(code: Code):
     """Counts of a task's documents, in packed pieces of the table."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         counts, rows = np.zeros((_OFFSETS[-1], 2), np.uint32), 0
         for batch in batches:
             data, offsets = X.utf8(batch.column("text"))
-            for i, j in X.rounds(offsets):
+            for i, j in X.rounds(offsets, _COUNT_BYTES):
                 count(counts, code, _normal(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 rows += j - i
         pack = zstandard.ZstdCompressor(level=1)
@@ -256,6 +259,7 @@ def mixed_scores(code: Code, table_: np.ndarray, texts: list[bytes]) -> np.ndarr
 
 def _scores(model):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         code, table_ = model.value
         for batch in batches:
             data, offsets = X.utf8(batch.column("text"))

@@ -1,9 +1,12 @@
 import math
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from shopgrain.llm import lmscore as L
 
@@ -62,3 +65,24 @@ def test_held_out_beats_unigrams(spark, sf):
     check(spark, docs, rows)
     r = L.op5_context_mixing(spark, sf).where("held_out").toPandas()
     assert len(r) and r.score.sum() > r.base_score.sum()
+
+
+def test_counting_needs_little_beside_its_table():
+    """Of several megabytes of text only a small part is taken apart at a time, and the counts are those of all."""
+    texts = ["".join(chr(97 + (i * j) % 26) if j % 6 else " " for j in range(4000)) for i in range(1, 800)]
+    code = L.Code(np.bincount(np.frombuffer("".join(texts[:9]).encode(), np.uint8), minlength=256))
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    tracemalloc.start()
+    try:
+        total = np.zeros((L._OFFSETS[-1] // L._PIECE, L._PIECE, 2), np.uint32)
+        before = tracemalloc.get_traced_memory()[0]
+        pieces = [(r["part"][0].as_py(), r["counts"][0].as_py()) for r in L._counts(code)(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    for part, packed in pieces:
+        total[part] = np.frombuffer(zstandard.decompress(packed), np.uint32).reshape(-1, 2)
+    whole = np.zeros((L._OFFSETS[-1], 2), np.uint32)
+    L.count(whole, code, [" ".join(t.split()).encode() + L.END for t in texts])
+    assert (total.reshape(-1, 2) == whole).all()
+    assert peak < whole.nbytes + (100 << 20)
