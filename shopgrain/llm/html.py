@@ -1,10 +1,11 @@
 """Main text of web pages by host suffix arrays.
 
 A page is read into blocks with a standing: content (inside ``article`` or ``main``), boilerplate (inside menus, footers, adverts, forms and the like), or open.
-The token streams of a host's pages, apart from content, are concatenated; a suffix array over them finds substrings of at least ``LONG`` tokens that occur on
-distinct pages. Covered tokens of open blocks are removed as boilerplate, unique runs stay. Content is not judged by repetition: copies of an article and
-passages it quotes are text. A host with more than ``CHUNK`` pages is dealt into chunks by page, each with its own array. Substrings that lie on one page of
-their chunk are then looked up, by a hash, among those of the host's other chunks, so the text of a page does not depend on how its host is dealt.
+The token streams of a host's pages, content included, are concatenated; a suffix array over them finds substrings of at least ``LONG`` tokens that occur on
+distinct pages. Covered tokens of open blocks are removed as boilerplate, such as teasers of another page's article; unique runs stay. Content itself is not
+removed for being repeated: copies of an article and passages it quotes are text. A host with more than ``CHUNK`` pages or ``TOKENS`` tokens is dealt into chunks
+by page, each with its own array. Substrings that lie on one page of their chunk are then looked up, by a hash, among those of the host's other chunks, so the
+text of a page does not depend on how its host is dealt.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import text as X
@@ -23,6 +25,7 @@ from .common import id_back, LAST_ID, materialized, table
 
 LONG = 6
 CHUNK = 2048
+TOKENS = 1 << 21
 
 # Element names of HTML, and the words that name parts of a page.
 CONTENT = frozenset("article main".split())
@@ -164,27 +167,41 @@ def blocks(page: str) -> list[Block]:
 
 
 def _tokens(page: list[Block]) -> tuple[list[str], list[bool]]:
-    """Words of all blocks but content, each block after a border; whether each is open."""
+    """Words of all blocks, content after the others, each block after a border; whether each is open."""
     words: list[str] = []
     is_open: list[bool] = []
-    for standing, text in page:
-        if standing != TEXT:
-            words += ["\n", *text]
-            is_open += [False] + [standing == OPEN] * len(text)
+    for standing, text in sorted(page, key=lambda b: b[0] == TEXT):
+        words += ["\n", *text]
+        is_open += [False] + [standing == OPEN] * len(text)
     return words, is_open
 
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-
-
-    kind = pa.list_(pa.int64())
+    """Tokens of each page, parted by spaces and compressed, how many they are, and whether one is open."""
+    pack = zstandard.ZstdCompressor(level=6, write_checksum=False)
     for batch in batches:
-        tokens, flags = [], []
+        tokens, size, flags = [], [], []
         for page in batch.column("html"):
             words, is_open = _tokens(blocks(page.as_py() or ""))
-            tokens.append([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in words])
+            tokens.append(pack.compress(" ".join(words).encode("utf-8", "surrogatepass")))
+            size.append(len(words))
             flags.append(any(is_open))
-        yield pa.RecordBatch.from_arrays([batch.column("pid"), batch.column("hh"), batch.column("host"), pa.array(tokens, kind), pa.array(flags, pa.bool_())], ["pid", "hh", "host", "tokens", "any_open"])
+        cols = [pa.array(tokens, pa.binary()), pa.array(size, pa.int32()), pa.array(flags, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pid", "hh", "host")), *cols], ["pid", "hh", "host", "tokens", "n_tokens", "any_open"])
+
+
+def _streams(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Hashes of the tokens of each page."""
+    unpack, known, out = zstandard.ZstdDecompressor(), {}, []
+    for row in column:
+        words = unpack.decompress(row.as_py()).split(b" ")
+        if words == [b""]:
+            words = []
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        out.append(np.array([known[w] for w in words], np.uint64).view(np.int64))
+    return out
 
 
 def prefix_ranks(values: np.ndarray, length: int) -> np.ndarray:
@@ -251,10 +268,7 @@ def _window_hash(text: np.ndarray, starts: np.ndarray, length: int = LONG) -> np
 def _chunk(t: pa.Table) -> pa.Table:
     """Per page of a chunk: its covered tokens; if the host has other chunks also starts and hashes of the substrings that lie on no other page here, and
     hashes of some that lie on several, each once in a chunk."""
-    lists = t.column("tokens").combine_chunks()
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    cut = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-    text, first, size, owner = _shape([flat[a:b] for a, b in zip(cut[:-1], cut[1:])])
+    text, first, size, owner = _shape(_streams(t.column("tokens")))
     several, each, single = _judged_runs(text, first, size, owner, t.column("pid").to_numpy(), LONG)
     covered = np.flatnonzero(_covered(several, len(text), LONG))
     if t.column("chunks")[0].as_py() == 1:
@@ -344,9 +358,9 @@ def main_texts(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.coalesce(F.col("page_id").cast("bigint"), F.lit(LAST_ID)).alias("pid"), F.xxhash64(F.coalesce("html", F.lit("")), "url").alias("hh"), "url", "html",
         F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))).alias("host"),
     )
-    evidence = pages.select("pid", "hh", "host", "html").mapInArrow(_evidence, "pid bigint, hh bigint, host string, tokens array<bigint>, any_open boolean")
+    evidence = pages.select("pid", "hh", "host", "html").mapInArrow(_evidence, "pid bigint, hh bigint, host string, tokens binary, n_tokens int, any_open boolean")
     evidence = materialized(evidence)
-    sizes = evidence.groupBy("host").agg(F.ceil(F.count("*") / chunk).alias("chunks"), F.max("any_open").alias("ask")).where("ask").select("host", "chunks")
+    sizes = evidence.groupBy("host").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n_tokens") / TOKENS)).alias("chunks"), F.max("any_open").alias("ask")).where("ask").select("host", "chunks")
     streams = evidence.join(sizes, "host").withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("chunks")))
     chunks = materialized(streams.groupBy("host", "chunk").applyInArrow(_chunk, "pid bigint, hh bigint, host string, any_open boolean, covered array<int>, starts array<int>, single array<bigint>, several array<bigint>"))
     covered = chunks.where("any_open").groupBy("pid", "hh").agg(F.first("covered").alias("covered"))  # equal rows have equal tokens

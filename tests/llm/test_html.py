@@ -93,3 +93,13 @@ def test_comments_under_a_heading_go_until_their_part_ends():
     page = "<main><h2>News</h2><p>a</p><div><h3>Reader comments</h3><p>one</p><h4>Ann</h4><p>two</p></div><p>b</p><h3>3 Comments</h3><p>three</p><h2>More</h2><p>c comments</p></main>"
     assert kept(page) == ["News", "a", "b", "More", "c comments"]
     assert kept("<main><h2>Comments on the law</h2><p>stay</p></main>") == ["Comments on the law", "stay"]
+
+
+def test_articles_are_evidence_and_stay(spark):
+    """An open block that repeats another page's article goes, the article stays, in one array and in chunks."""
+    text = [f"story {i} tells how k{i} came to the town of v{i} last year" for i in range(12)]
+    rows = [(i, f"http://one.example/{i}", f"<body><div>read next: {text[(i + 1) % 12]}</div><article><p>{text[i]}</p></article><div>seen {i} by w{i}</div></body>") for i in range(12)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chunk in (2, 10**6):
+        got = {r.page_id: r.text for r in H.main_texts(docs, chunk).collect()}
+        assert got == {i: f"read next:\n\n{text[i]}\n\nseen {i} by w{i}" for i in range(12)}
