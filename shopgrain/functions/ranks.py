@@ -36,6 +36,17 @@ def _boundaries(counts: DataFrame, value: str) -> list[float]:
     return sorted(set(counts.agg(F.percentile_approx(value, F.lit(probs), F.lit(max(10_000, 10 * ranges)))).first()[0]))
 
 
+def _cut(counts: DataFrame, value: str, cuts: list[float]) -> DataFrame:
+    ranged = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=value, outputCol="_range").transform(counts)
+    return ranged.withColumn("_range", F.col("_range").cast("int"))
+
+
+def by_range(counts: DataFrame, value: str) -> DataFrame:
+    """``counts`` with _range, the number of the range of about ROWS_PER_RANGE rows that the value lies in; equal values share one, larger ones are in no lower one."""
+    cuts = _boundaries(counts, value)
+    return _cut(counts, value, cuts) if cuts else counts.withColumn("_range", F.lit(0))
+
+
 def _ranged_counts(df: DataFrame, value: str, by: list[str], weight: str | None, sums: list[str]):
     """Distinct values with counts and range number, and per range its totals and what lies before it.
 
@@ -51,9 +62,7 @@ def _ranged_counts(df: DataFrame, value: str, by: list[str], weight: str | None,
     cuts = _boundaries(counts, value)
     if not cuts:
         return counts, None
-    splits = [float("-inf"), *cuts, float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol=value, outputCol="_range").transform(counts)
-    ranged = ranged.withColumn("_range", F.col("_range").cast("int"))
+    ranged = _cut(counts, value, cuts)
     measures = ["n", *sums]
     totals = ranged.groupBy(*by, "_range").agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
     across = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,14 +7,17 @@ anything is ranked. Every function returns one small row per test; p-values are
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.dist import p_chi2, p_f, p_normal, p_t
 from ..functions.expr import count_if, ladder, one_row, safe_divide, to_rows
-from ..functions.ranks import average_ranks, quantiles, value_ranks
-from ..session import checkpointed
+from ..functions.ranks import average_ranks, by_range, quantiles, value_ranks
+from ..session import checkpointed, materialized
 
 
 def rank_sums(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
@@ -86,33 +89,87 @@ def median_contrast(df: DataFrame, value: str, flag: str) -> DataFrame:
     return out.withColumn("pct_difference", F.when(F.col("median_0") > 0, F.col("difference") / F.col("median_0") * 100).otherwise(0.0))
 
 
-def pairwise_mann_whitney(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> DataFrame:
+def _within_range(t: pa.Table) -> pa.Table:
+    """(x, y, x_over_y, y_over_x, shared): for every two labels that meet in a range of values, twice the wins of each over the other's rows, ties as halves, and
+    what their shared values add to the tie terms of both. Rows of one block give its pairs, rows of two blocks the pairs between them.
+    """
+    t = t.combine_chunks()
+    label = t.column("label").combine_chunks().dictionary_encode()
+    _, value = np.unique(t.column("value").to_numpy(), return_inverse=True)
+    code = label.indices.to_numpy()
+    order = np.lexsort((value, code))
+    code, value, m, own = code[order], value[order], t.column("m").to_numpy()[order], t.column("own").to_numpy()[order]
+    start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    rows = np.add.reduceat(m, start)
+    m = m if 2.0 * float(m.sum()) ** 2 < 2.0**62 else m.astype(object)  # exact whatever the counts
+    apart = t.column("i")[0] != t.column("j")[0]
+    cols = [[], [], [], [], []]
+    for x in range(len(start) - 1):
+        to = start[x + 1]
+        upto = np.append(m[:1] * 0, np.cumsum(m[start[x] : to]))
+        below, same = (upto[np.searchsorted(value[start[x] : to], value[to:], side)] for side in ("left", "right"))
+        same = same - below
+        cut = start[x + 1 :] - to
+        over = np.add.reduceat(m[to:] * (2 * below + same), cut)
+        mine = m[to:].astype(float)
+        shared = np.add.reduceat(3 * mine * same.astype(float) * (mine + same.astype(float)), cut)
+        for k in range(len(cut)):
+            if not apart or own[start[x]] != own[to + cut[k]]:
+                y = x + 1 + k
+                for c, v in zip(cols, (x, y, 2 * int(rows[x]) * int(rows[y]) - int(over[k]), int(over[k]), float(shared[k]))):
+                    c.append(v)
+    x, y = (label.dictionary.take(pa.array(c, pa.int64())) for c in cols[:2])
+    wins = [pa.array([Decimal(v) for v in c], pa.decimal128(38, 0)) for c in cols[2:4]]
+    return pa.table([x, y, *wins, pa.array(cols[4], pa.float64())], ["x", "y", "x_over_y", "y_over_x", "shared"])
+
+
+def pairwise_mann_whitney(df: DataFrame, value: str, group: str, alpha: float = 0.05, block: int = 1_000) -> DataFrame:
     """Rank test for every pair of labels with the Bonferroni-adjusted significance.
 
-    Rows are first counted per (label, value); only those counts are spread over the pairs.
+    The U of labels a and b counts the pairs of rows in which a's value is larger. Rows are counted per (label, value) and dealt into ranges of values once, whatever
+    the number of labels up to ``block``: pairs of different ranges follow from the ranges' totals, pairs of one range are counted in its group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("m"))
-    pairs = label_pairs(df.where(F.col(group).isNotNull()).select(F.col(group).alias("label")).distinct(), ["label"])
-    side = lambda p, v: F.struct(F.col(f"{p}.label").alias(group), F.lit(v).alias("is_a"))
-    sides = pairs.select(F.col("a.label").alias("group_a"), F.col("b.label").alias("group_b"), "pairs", F.explode(F.array(side("a", 1), side("b", 0))).alias("s"))
-    spread = checkpointed(counts.join(sides.select("group_a", "group_b", "pairs", "s.*"), group).drop(group))
+    counts = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("label"), F.col(value).cast("double").alias("value")).agg(F.count("*").alias("m"))
+    counts = materialized(counts)
+    labels = checkpointed(counts.select("label").distinct())
+    pairs = label_pairs(labels, ["label"]).select(F.col("a.label").alias("group_a"), F.col("b.label").alias("group_b"), "pairs")
+    blocks = -(-labels.count() // block) or 1
+    counts = counts.where(F.col("value").isNotNull())
+    ranged = by_range(counts, "value")
+
+    # by label: rows, and the tie term of its values alone
+    m = F.col("m").cast("double")
+    single = checkpointed(counts.groupBy("label").agg(F.sum("m").alias("n"), F.sum(F.pow(m, F.lit(3.0)) - m).alias("t")))
+    # pairs of rows in different ranges
+    totals = checkpointed(ranged.groupBy("_range", "label").agg(F.sum("m").alias("m")))
+    sides = pairs.select("group_a", "group_b", F.explode(F.array(F.struct(F.col("group_a").alias("label"), F.lit(1).alias("is_a")), F.struct(F.col("group_b").alias("label"), F.lit(0).alias("is_a")))).alias("s"))
+    lower = Window.partitionBy("group_a", "group_b").orderBy("_range").rangeBetween(Window.unboundedPreceding, -1)
+    spread = totals.join(sides.select("group_a", "group_b", "s.*"), "label").withColumn("below", F.sum(F.when(F.col("is_a") == 0, F.col("m"))).over(lower))
+    twice = 2 * F.col("m").cast("decimal(18,0)") * F.coalesce("below", F.lit(0)).cast("decimal(18,0)")
+    across = spread.where("is_a = 1").groupBy("group_a", "group_b").agg(F.sum(twice).alias("across"))
+    # pairs of rows in one range
+    own = F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int")
+    met = ranged.select("_range", "label", "value", "m", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    met = met.select("_range", "label", "value", "m", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    kind = counts.schema["label"].dataType.simpleString()
+    within = met.groupBy("_range", "i", "j").applyInArrow(_within_range, f"x {kind}, y {kind}, x_over_y decimal(38,0), y_over_x decimal(38,0), shared double")
+    within = within.select(
+        F.least("x", "y").alias("group_a"), F.greatest("x", "y").alias("group_b"), F.when(F.col("x") < F.col("y"), F.col("x_over_y")).otherwise(F.col("y_over_x")).alias("w"), "shared"
+    ).groupBy("group_a", "group_b").agg(F.sum("w").alias("within"), F.sum("shared").alias("shared"))
+
     by = ["group_a", "group_b"]
-    ranks = value_ranks(spread, value, by, weight="m")
-    ties = ranks.groupBy(*by).agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("_t"))
-    twice = (2 * F.col("before") + F.col("n") + 1).cast("decimal(19,0)") * F.col("m").cast("decimal(18,0)")
-    a = F.col("is_a") == 1
-    spread = spread.withColumn(value, F.col(value).cast("double"))
-    out = spread.join(ranks.select(*by, value, "n", "before"), [*by, value]).groupBy(*by).agg(
-        F.sum(F.when(a, F.col("m"))).alias("n_a"), F.sum(F.when(~a, F.col("m"))).alias("n_b"),
-        (F.sum(F.when(a, twice)).cast("double") / 2).alias("_r"), F.max("pairs").alias("_pairs"),
-    ).join(ties, by)
+    side = lambda p: single.select(F.col("label").alias(f"group_{p}"), F.col("n").alias(f"n_{p}"), F.col("t").alias(f"t_{p}"))
+    out = pairs.join(side("a"), "group_a", "left").join(side("b"), "group_b", "left").where("n_a IS NOT NULL OR n_b IS NOT NULL")
+    out = out.join(across, by, "left").join(within, by, "left")
+    wins = (F.coalesce("across", F.lit(0)) + F.coalesce("within", F.lit(0))).cast("double") / 2
     n1, n0 = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = n1 + n0
-    out = out.withColumn("u_statistic", F.col("_r") - n1 * (n1 + 1) / 2)
-    sd = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.col("_t") / (n * (n - 1))))
+    out = out.withColumn("u_statistic", F.when(F.col("n_a").isNotNull(), wins))
+    sd = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - (F.col("t_a") + F.col("t_b") + F.coalesce("shared", F.lit(0.0))) / (n * (n - 1))))
     z = (F.abs(F.col("u_statistic") - n1 * n0 / 2) - 0.5) / sd
     out = out.withColumn("p_value", p_normal(F.greatest(z, F.lit(0.0))))
-    return out.withColumn("significant", F.col("p_value") < alpha / F.greatest(F.col("_pairs"), F.lit(1))).drop("_r", "_t", "_pairs")
+    out = out.withColumn("significant", F.col("p_value") < alpha / F.greatest(F.col("pairs"), F.lit(1)))
+    return out.select("group_a", "group_b", "n_a", "n_b", "u_statistic", "p_value", "significant")
 
 
 def spearman(df: DataFrame, x: str, y: str, p_value: bool = True) -> DataFrame:

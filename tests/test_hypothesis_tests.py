@@ -56,6 +56,36 @@ def test_pairwise_equals_separate_tests(spark, tied):
         assert r["u_statistic"] == one["u_statistic"] and r["p_value"] == pytest.approx(one["p_value"])
 
 
+@pytest.mark.parametrize("block", [1, 1_000])
+def test_pairwise_over_ranges(spark, monkeypatch, tmp_path, block):
+    """Many ranges, ties, labels without a value, null labels; rows are not copied once per pair."""
+    monkeypatch.setattr("shopgrain.functions.ranks.ROWS_PER_RANGE", 6)
+    rng = random.Random(3)
+    rows = [(g, float(rng.randrange(20)) if rng.random() < 0.5 else rng.random() * 20) for g in "abcd" for _ in range(25)]
+    df = spark.createDataFrame([*rows, ("e", None), (None, 1.0), ("a", None)], "g string, v double")
+    got = {(r["group_a"], r["group_b"]): r for r in h.pairwise_mann_whitney(df, "v", "g", block=block).collect()}
+    assert set(got) == {(a, b) for a in "abcd" for b in "abcde" if a < b}
+    for (a, b), r in got.items():
+        x, y = ([v for g, v in rows if g == s] for s in (a, b))
+        assert r["n_a"] == len(x) and r["n_b"] == (len(y) or None)
+        assert r["u_statistic"] == sum((p > q) + 0.5 * (p == q) for p in x for q in y)
+        if y:
+            one = h.mann_whitney(spark.createDataFrame([(1, v) for v in x] + [(0, v) for v in y], "f int, v double"), "v", "f").first()
+            assert r["p_value"] == pytest.approx(one["p_value"]) and r["significant"] == (one["p_value"] < 0.05 / 10)
+
+
+def test_pairwise_does_not_spread_rows_over_pairs(spark):
+    df = spark.range(30_000).select((F.col("id") % 10).cast("string").alias("g"), (F.col("id") * 0.7).alias("v"))
+    made = []
+    real = h.checkpointed
+    try:
+        h.checkpointed = lambda d: made.append(d.count()) or real(d)
+        assert h.pairwise_mann_whitney(df, "v", "g").count() == 45
+    finally:
+        h.checkpointed = real
+    assert max(made) <= 30_000
+
+
 def test_spearman_perfect_and_ties(spark):
     df = spark.createDataFrame([(i, i * i) for i in range(1, 30)], "x int, y int")
     assert h.spearman(df, "x", "y").first()["rho"] == pytest.approx(1)
