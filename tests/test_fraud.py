@@ -37,6 +37,31 @@ def test_hot_customer_equals_small_one(make_tx):
     assert got["C2"]["max_orders_7d"] == 5
 
 
+def test_features_shuffle_and_sort_narrow_rows(make_tx, tmp_path):
+    """Amounts travel in one aggregate by customer; windows and counts by day and label carry no amount."""
+    make_tx([{"customer_id": f"C{i % 3}", "day": i} for i in range(9)]).write.parquet(f"{tmp_path}/tx")
+    tx = make_tx([]).sparkSession.read.parquet(f"{tmp_path}/tx")
+    plans, real = [], fraud.materialized
+    try:
+        fraud.materialized = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df)
+        assert fraud.fraud_features(tx, customer_features(tx)).count() == 3
+    finally:
+        fraud.materialized = real
+    assert "total_amount" in plans[0]
+    assert not any(" Sort [customer_id" in line and ("category" in line or "payment" in line) for line in plans[0].splitlines())
+
+
+def test_null_customer_and_dates_keep_their_row(make_tx, spark):
+    from pyspark.sql import functions as F
+
+    tx = make_tx([{"customer_id": "C1", "day": d, "category": k} for d, k in ((0, "a"), (0, "b"), (9, "a"), (9, "a"), (30, "a"))])
+    tx = tx.withColumns({"customer_id": F.when(F.col("order_date") > "2024-01-20", None).otherwise(F.col("customer_id")), "order_date": F.when(F.col("order_date") > "2024-01-05", F.col("order_date"))})
+    got = {r["customer_id"]: r for r in fraud.fraud_features(tx, customer_features(tx)).collect()}
+    assert set(got) == {"C1", None} and got[None]["category_hhi"] == 1 and got[None]["max_orders_7d"] == 1
+    r = got["C1"]
+    assert (r["order_count"], r["max_orders_7d"], r["n_payment_methods"], r["category_hhi"], r["min_order_gap_days"]) == (4, 2, 1, (9 + 1) / 16, 0)
+
+
 def test_rules_and_tiers(spark):
     cols = ["return_rate", "max_discount_rate", "high_discount_return_rate", "max_orders_7d", "negative_margin_rate", "high_value_rate_p99", "category_hhi"]
     rows = [("a", 0.2, 0.8, 0.2, 3.0, 0.5, 0.2, 0.9), ("b", 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), ("c", 0.1, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0)]
