@@ -136,8 +136,10 @@ def _collapsed(df: DataFrame, value: str, probs: Sequence[float], by: list[str])
         floats = lambda v: F.array(*[F.lit(float(x)) for x in v or []]).cast("array<double>")
         d = d.withColumns({"_lo": floats(row["_lo"]), "_hi": floats(row["_hi"]), "_rows": F.lit(row["_rows"])})
     v = F.col(value)
-    inside = (F.col("_rows") <= ACCURACY) | F.exists(F.arrays_zip("_lo", "_hi"), lambda b: (v >= b["_lo"]) & (v <= b["_hi"]))
-    below = F.size(F.filter("_hi", lambda h: v > h))
+    # one comparison per position: lambdas over the arrays are not compiled
+    ends = [(F.get("_lo", F.lit(i)), F.get("_hi", F.lit(i))) for i in range(len(ps))]
+    inside = reduce(lambda x, y: x | y, [(v >= lo) & (v <= hi) for lo, hi in ends], F.col("_rows") <= ACCURACY)
+    below = sum(((v > hi).cast("int") for _, hi in ends), F.lit(0))
     return d.groupBy(*by, below.alias("_below"), F.when(inside, v).alias("_inside")).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias(value)).select(*by, value, "n")
 
 

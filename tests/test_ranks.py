@@ -87,3 +87,12 @@ def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([], "g string, v double")
     assert ranks.quantiles(empty, "v", {"m": 0.5}, by=["g"]).count() == 0
     assert ranks.quantiles(empty, "v", {"m": 0.5}).first()["m"] is None
+
+
+def test_brackets_are_compiled(spark):
+    """Rows are compared with the brackets by plain expressions; the ranks do not change."""
+    df = spark.range(25_000).selectExpr("cast((id * 7919) % 25000 AS double) AS v", "id % 2 AS g")
+    for by in ([], ["g"]):
+        d = ranks._collapsed(df, "v", [0.25, 0.5, 0.99], by)
+        assert "lambda" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert ranks.quantiles(df, "v", {"m": 0.5, "t": 0.99}).first().asDict() == {"m": 12_499.5, "t": 24_749.01}
