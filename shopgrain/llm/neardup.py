@@ -7,9 +7,12 @@ so a pair of similarity s is met with probability 1 - (1 - s) ** TREES at the ro
 
 Inside a node the sets are first compared with the node's smallest set; what these links join needs no further comparison. Large nodes
 that still hold several components are then compared with their medoid, the set nearest to the most frequent value of each coordinate, which for near copies of one
-text is that text. Only nodes that even so hold several components are compared further: small ones exhaustively, large ones after branching. A set y and a star of the pivot, sets that agree with it on
+text is that text. Only nodes that even so hold several components are compared further: those of up to ``LEAF`` sets exhaustively, larger ones after branching. A set y and a star of the pivot, sets that agree with it on
 e coordinates, are kept apart where y agrees with the pivot on fewer than e + m - COORDINATES, m being the coordinates a pair must agree on: no such pair can. Nodes that
 branching does not split are compared exhaustively too, in blocks: the sets outside the node's main component against all, so no pair of different components is left out.
+
+Pairs never become rows here: a node hands on bundles, the sets that its pairs of enough equal coordinates join, and a task that holds a bundle's texts counts all its intersections and
+keeps one row per set, which names what the links join it with. So a group of n sets just below the threshold costs n rows, and n * n only inside a task.
 """
 
 from __future__ import annotations
@@ -36,8 +39,15 @@ LEVELS = 3
 MISSED = 1e-5
 #: Equal coordinates with the pivot from which a set of its component counts as one of its star.
 STAR = 48
-#: Sets in a node that are compared exhaustively in one go.
-LEAF = 32
+#: Sets in a node whose minwise values are compared exhaustively in one go.
+LEAF = 4096
+#: Sets of a large node, about, that its medoid is found by; nodes of no more have none.
+DRAWN = 32
+#: Hashes, and sets, about, in a part of a bundle; full sets are compared two parts at a time.
+PART = 1 << 20
+PART_SETS = 1024
+#: Hashes in many sets of a block that are compared in one go.
+COLUMNS = 1024
 #: Standard deviations below the expected number of equal coordinates at the threshold down to which a pair is confirmed on its full sets.
 SLACK = 5.0
 
@@ -177,45 +187,125 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array((a == b).sum(1).astype(np.int32)), *[batch.column(c) for c in ("sid", "sig", "comp")]], ["node", "equal", "sid", "sig", "comp"])
 
 
-def _medoids(rows: DataFrame, leaf: int) -> DataFrame:
-    """(node, pivot, pivot_sig, pivot_comp): the set of each large node that agrees most with the modes of about ``leaf`` of its sets."""
-    drawn = rows.where(F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / leaf)) == 0)
+def _medoids(rows: DataFrame, some: int) -> DataFrame:
+    """(node, pivot, pivot_sig, pivot_comp): the set of each large node that agrees most with the modes of about ``some`` of its sets."""
+    drawn = rows.where(F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / some)) == 0)
     modes = drawn.select("node", "sig").groupBy("node").applyInArrow(_modes, "node bigint, mode binary")
     votes = rows.select("node", "sid", "sig", "comp").join(modes, "node").select("node", "sid", "sig", "comp", "mode").mapInArrow(_agreement, "node bigint, equal int, sid bigint, sig binary, comp bigint")
     best = votes.groupBy("node").agg(F.max(F.struct("equal", "sid", "sig", "comp")).alias("best"))
     return best.select("node", F.col("best.sid").alias("pivot"), F.col("best.sig").alias("pivot_sig"), F.col("best.comp").alias("pivot_comp"))
 
 
-def _crossing(least: int):
-    """Pairs of different components with enough equal coordinates, within runs of rows of one node; the rows come sorted by node."""
+def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of rows with one key, and the borders of the runs; the rows come sorted by it."""
+    carry: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
+        value = t.column(key).to_numpy()
+        cut = np.append(0, np.flatnonzero(value[1:] != value[:-1]) + 1)
+        if len(cut) > 1:
+            yield t.slice(0, cut[-1]).combine_chunks(), cut
+        carry = t.slice(cut[-1])
+    if carry is not None:
+        yield carry.combine_chunks(), np.array([0, len(carry)])
+
+
+def _joined(linked: np.ndarray) -> np.ndarray:
+    """The first row that each row of a symmetric matrix of links reaches."""
+    label = np.arange(len(linked), dtype=np.int32)
+    while True:
+        low = np.minimum(label, np.where(linked, label, np.int32(len(label))).min(1))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _bundled(least: int):
+    """Bundles of the sets of a node that pairs of different components with enough equal coordinates join; the rows come sorted by node.
+
+    A bundle is named by its sets, so the same one met in several trees is one. Rows grow with the sets, not with the pairs.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: pa.Table | None = None
-
-        def pairs(t: pa.Table) -> pa.RecordBatch:
-            node, sid, comp = (t.column(c).to_numpy() for c in ("node", "sid", "comp"))
+        for t, cut in _whole(batches, "node"):
+            sid, comp = (t.column(c).to_numpy() for c in ("sid", "comp"))
             sig = _matrix(t.column("sig").combine_chunks(), np.uint8, COORDINATES)
-            cut = np.append(np.flatnonzero(np.append(True, node[1:] != node[:-1])), len(node))
-            left, right = [], []
+            name = X.mix(sid.view(np.uint64) + np.uint64(1))
+            two = cut[:-1][np.diff(cut) == 2]
+            two = two[((sig[two] == sig[two + 1]).sum(1) >= least) & (comp[two] != comp[two + 1])]
+            bundles, sids = [name[two] + name[two + 1]] * 2, [sid[two], sid[two + 1]]
             for x, y in zip(cut[:-1], cut[1:]):
+                if y - x < 3:
+                    continue
+                near = np.zeros((y - x, y - x), bool)
                 for i in range(x, y - 1):
-                    ok = np.flatnonzero(((sig[i + 1 : y] == sig[i]).sum(1) >= least) & (comp[i + 1 : y] != comp[i])) + i + 1
-                    left.append(np.full(len(ok), sid[i]))
-                    right.append(sid[ok])
-            l, r = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(l, r)), pa.array(np.maximum(l, r))], ["a", "b"])
+                    near[i - x, i - x + 1 :] = ((sig[i + 1 : y] == sig[i]).sum(1) >= least) & (comp[i + 1 : y] != comp[i])
+                near |= near.T
+                some = np.flatnonzero(near.any(1))
+                if len(some):
+                    label = _joined(near[np.ix_(some, some)])
+                    total = np.zeros(len(some), np.uint64)
+                    np.add.at(total, label, name[x + some])
+                    bundles.append(total[label])
+                    sids.append(sid[x + some])
+            yield pa.RecordBatch.from_arrays([pa.array(X.mix(np.concatenate(bundles)).view(np.int64)), pa.array(np.concatenate(sids))], ["bundle", "sid"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
-            node = t.column("node").to_numpy()
-            last = int(np.flatnonzero(node != node[-1])[-1]) + 1 if (node != node[-1]).any() else 0
-            if last:
-                yield pairs(t.slice(0, last).combine_chunks())
-            carry = t.slice(last)
-        if carry is not None:
-            yield pairs(carry.combine_chunks())
+    return task
+
+
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, right above the diagonal: hashes in many sets by matrix products, those in few one pair of places after the other."""
+    n = len(sets)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    new = np.append(True, flat[1:] != flat[:-1])
+    first, number = np.flatnonzero(new), np.cumsum(new) - 1
+    times = np.diff(np.append(first, len(flat)))
+    out = np.zeros((n, n), np.float32)
+    many = np.flatnonzero((times > 1) & (times >= n / 16))
+    for part in np.split(many, range(COLUMNS, len(many), COLUMNS)):
+        column = np.full(len(times), -1)
+        column[part] = np.arange(len(part))
+        at = np.flatnonzero(column[number] >= 0)
+        m = np.zeros((n, len(part)), np.float32)
+        m[row[at], column[number[at]]] = 1
+        out += m @ m.T
+    few = np.flatnonzero(((times > 1) & (times < n / 16))[number])
+    number, row = number[few], row[few]
+    at, lag = np.arange(len(few)), 1
+    while len(at := at[at + lag < len(few)]) and len(at := at[number[at + lag] == number[at]]):
+        np.add.at(out, (row[at], row[at + lag]), np.float32(1))  # the sort is stable, so the first row is the smaller one
+        lag += 1
+    return out
+
+
+def _linked(percent: int):
+    """One pair for each set of a block that its links join with a smaller one: links of full shingle sets, of which only who reaches whom is kept."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cut in _whole(batches, "block"):
+            sid = t.column("sid").to_numpy()
+            data, offsets = X.utf8(t.column("text"))
+            left, right = [], []
+            for g, h in X.rounds(offsets[cut]):
+                x, y = cut[g], cut[h]
+                sets = [s for i, j in X.rounds(offsets[x : y + 1]) for s in shingle_sets(data[offsets[x + i] : offsets[x + j]], offsets[x + i : x + j + 1] - offsets[x + i])]
+                for a, b in zip(cut[g:h] - x, cut[g + 1 : h + 1] - x):
+                    size, both = np.array([len(s) for s in sets[a:b]]), shared(sets[a:b])
+                    good = np.zeros(both.shape, bool)
+                    for i, common in enumerate(both):
+                        common = common[i + 1 :].astype(np.int64)
+                        good[i, i + 1 :] = 100 * common >= percent * (size[i] + size[i + 1 :] - common)
+                    label = _joined(good | good.T)
+                    left.append(sid[x + a + label])
+                    right.append(sid[x + a : x + b])
+            l, r = np.concatenate(left), np.concatenate(right)
+            l, r = l[l != r], r[l != r]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(l, r)), pa.array(np.maximum(l, r))], ["a", "b"])
 
     return task
 
@@ -235,18 +325,32 @@ def _confirmed(percent: int):
     return task
 
 
-def _confirm(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. ``pairs`` hold each pair once."""
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = sets.select("sid", "did", "th").join(wanted, "sid")
+def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, text) of the sets ``wanted``."""
+    wanted = sets.select("sid", "did", "th").join(wanted.select("sid").distinct(), "sid")
     # Equal rows have equal keys; one of them is enough. The grouping uses the join's partitioning and order.
     texts = docs.join(wanted, ["did", "th"]).groupBy("did", "th").agg(F.first("sid").alias("sid"), F.first("text").alias("text"))
-    texts = materialized(texts.select("sid", "text"))
+    return materialized(texts.select("sid", "text"))
+
+
+def _confirm(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough. ``pairs`` hold each pair once."""
+    texts = _texts(docs, sets, pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))))
     with_b = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
     full = with_b.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(percent), "a bigint, b bigint")
 
 
+def _connected(docs: DataFrame, sets: DataFrame, bundles: DataFrame, percent: int) -> DataFrame:
+    """Pairs that join what links join within each bundle. One with many hashes or sets is cut in parts, every two of which meet in a block of their own."""
+    rows = bundles.join(sets.select("sid", "n"), "sid")
+    rows = rows.join(rows.groupBy("bundle").agg(F.ceil(F.greatest(F.sum("n") / PART, F.count("*") / PART_SETS / 2)).alias("parts")), "bundle")
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("sid"), "parts")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    rows = rows.where("p <> q OR parts = 1").select(F.xxhash64("bundle", F.least("p", "q"), F.greatest("p", "q")).alias("block"), "sid")
+    rows = rows.join(_texts(docs, sets, bundles), "sid").select("block", "sid", "text")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_linked(percent), "a bigint, b bigint")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows with comp, the component so far: that of ``labels``, or the set itself."""
     return rows.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
@@ -292,13 +396,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
 
     row = "node bigint, sid bigint, sig binary, comp bigint"
     open_rows = materialized(_open(_labelled(rows.select("node", "sid", "sig"), labels)))
-    large = open_rows.where(F.col("size") > leaf).select("node", "sid", "sig", "comp", "size")
+    large = open_rows.where(F.col("size") > min(leaf, DRAWN)).select("node", "sid", "sig", "comp", "size")
     if not large.isEmpty():
-        around = large.join(_medoids(large, leaf), "node").where("comp <> pivot_comp").select("pivot", "sid", "pivot_sig", "sig")
+        around = large.join(_medoids(large, DRAWN), "node").where("comp <> pivot_comp").select("pivot", "sid", "pivot_sig", "sig")
         around = around.mapInArrow(_with_pivot(least), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         around = materialized(around.join(stars, ["a", "b"], "left_anti"))
         links = materialized(links.unionByName(_confirm(docs, sets, around, percent)))
-        stars = stars.unionByName(around)
         labels = components(links)
         open_rows = materialized(_open(_labelled(rows.select("node", "sid", "sig"), labels)))
     leaves = []
@@ -314,14 +417,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
         open_rows = materialized(_open(children))
     leaves.append(open_rows.where(F.col("size") <= leaf))
     large = open_rows.where(F.col("size") > leaf)
-    parts = [r.select("node", "sid", "sig", "comp") for r in leaves] + [_blocks(large, leaf)]
+    parts = [r.select("node", "sid", "sig", "comp") for r in leaves] + [_blocks(large, max(1, leaf // 2))]
     met = parts[0]
     for p in parts[1:]:
         met = met.unionByName(p)
-    crossing = met.repartition("node").sortWithinPartitions("node").mapInArrow(_crossing(least), "a bigint, b bigint").distinct()
-    crossing = materialized(crossing.join(stars, ["a", "b"], "left_anti"))  # those have been judged
-    if not crossing.isEmpty():
-        links = links.unionByName(_confirm(docs, sets, crossing, percent))
+    bundles = materialized(met.repartition("node").sortWithinPartitions("node").mapInArrow(_bundled(least), "bundle bigint, sid bigint").distinct())
+    if not bundles.isEmpty():
+        links = links.unionByName(_connected(docs, sets, bundles, percent))
         labels = components(links)
 
     own = _labelled(sets.select("sid", "s1", "s2", "n", "did"), labels)

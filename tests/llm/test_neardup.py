@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from shopgrain.llm import neardup as N
@@ -83,3 +84,47 @@ def test_least_equal_is_below_the_threshold(percent):
 def test_branches_keep_pairs_at_the_threshold(percent):
     s, b = percent / 100, N.branches(percent)
     assert (1 - s * (1 - (1 - s**N.PATH) ** b) ** N.LEVELS) ** N.TREES <= N.MISSED
+
+
+@pytest.mark.parametrize("n, leaf", [(120, N.LEAF), (60, 16)])
+def test_rows_do_not_grow_with_the_pairs_of_a_group(spark, monkeypatch, n, leaf):
+    """Near copies just below the threshold of one another, and a few above it: no table that is written holds their pairs."""
+    rng = random.Random(9)
+    base, written = [f"w{i}" for i in range(200)], []
+    rows = [(i, edited(base, rng, 4)) for i in range(n)]
+    rows += [(n + i, rows[i][1] + " end") for i in range(3)]
+    whole = N.materialized
+
+    def counting(df):
+        out = whole(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "materialized", counting)
+    compare(spark, rows, leaf=leaf)
+    if leaf == N.LEAF:
+        assert max(written) < n * n / 4 and max(written) <= len(rows) * N.TREES
+
+
+def test_shared():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 50, 90):
+        sets = [np.unique(rng.integers(0, 400, rng.integers(1, 60)).astype(np.uint64)) for _ in range(n)]
+        got = N.shared(sets)
+        assert all(got[i, j] == len(set(sets[i]) & set(sets[j])) for i, j in combinations(range(n), 2))
+
+
+def test_joined():
+    links = np.zeros((40, 40), bool)
+    for i in (*range(0, 20, 2), *range(21, 38)):
+        links[i, i + 2] = links[i + 2, i] = True
+    found = [set(np.flatnonzero(N._joined(links) == r)) for r in range(40)]
+    assert [f for f in found if f] == [set(range(0, 21, 2)), *({i} for i in range(1, 21, 2)), set(range(21, 40, 2)), set(range(22, 40, 2))]
+
+
+def test_long_bundles_are_cut(spark, monkeypatch):
+    """Parts of a few hashes: every two of them still meet."""
+    monkeypatch.setattr(N, "PART", 150)
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(120)]
+    compare(spark, [(i, edited(base, rng, rng.randrange(0, 6))) for i in range(40)])
