@@ -12,7 +12,8 @@ e coordinates, are kept apart where y agrees with the pivot on fewer than e + m
 branching does not split are compared exhaustively too, in blocks: the sets outside the node's main component against all, so no pair of different components is left out.
 
 Pairs never become rows here: a node hands on bundles, the sets that its pairs of enough equal coordinates join, and a task that holds a bundle's texts counts all its intersections and
-keeps one row per set, which names what the links join it with. So a group of n sets just below the threshold costs n rows, and n * n only inside a task.
+keeps one row per set, which names what the links join it with. So a group of up to ``LEAF`` sets costs a row per set and tree, and its square only inside a task. Beyond that a set also has a row
+per branch, and per block of a node or bundle that has to be cut; the blocks' number grows with the square of what is left together.
 """
 
 from __future__ import annotations
