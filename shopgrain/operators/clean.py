@@ -155,14 +155,15 @@ def require_rows(df: DataFrame) -> DataFrame:
     return df
 
 
-def clean_transactions(df: DataFrame, cfg: Config = DEFAULT, order: list[str] | None = None) -> DataFrame:
+def clean_transactions(df: DataFrame, cfg: Config = DEFAULT, order: list[str] | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """Dedup, dates, categories, return flag, imputation, negative money, in that order.
 
-    ``order`` decides which copy of an order id is the first one; default: all columns in order.
+    ``order`` decides which copy of an order id is the first one; default: all columns in order. ``within`` names further columns that an order id determines and by which a join may
+    have dealt out the rows: copies are looked for there, without a shuffle of whole rows by order id. They are not in the result.
     The deduplicated rows are written once to the shared folder, because the fill statistics and the
     result both read them; the reads then see only the columns they need.
     """
-    df = dedup_keep_first(df, "order_id", order or list(df.columns))
+    df = dedup_keep_first(df, [*within, "order_id"], order or list(df.columns)).drop(*within)
     df = parse_dates(df)
     df = normalize_categories(df, cfg=cfg)
     df = materialized(decode_flag(df))

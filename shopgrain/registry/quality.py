@@ -10,13 +10,15 @@ from ..operators.customers import customer_features
 from ..sources.tables import TRANSACTION_SCHEMA, read_table, transactions
 from .base import CFG, CUST, TX, rounded
 
+#: An order id starts with it, and the join of lines and orders deals them out by it.
+_ORDER_KEY = ("l_orderkey",)
 _ORDER = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
 
-def _raw(s, d):
+def _raw(s, d, keep=()):
     """Transactions with the defects that cleaning repairs, derived from the rows themselves."""
     c = F.col
-    tx = transactions(s, d)
+    tx = transactions(s, d, keep=keep)
     n = c("product_id").cast("bigint")
     return tx.withColumns({
         "order_date": F.when(n % 97 == 0, "not-a-date").otherwise(c("order_date").cast("string")),
@@ -57,7 +59,7 @@ def _buyers(s, d):
 QUERIES = {
     "dedup_keep_first": lambda s, d: clean.dedup_keep_first(read_table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], _ORDER).select(
         "l_orderkey", "l_linenumber", *_ORDER[:3], "l_quantity"),
-    "clean_transactions": lambda s, d: rounded(clean.clean_transactions(_raw(s, d), CFG), 4, exact=("price",)).drop("delivery_time_days"),
+    "clean_transactions": lambda s, d: rounded(clean.clean_transactions(_raw(s, d, _ORDER_KEY), CFG, within=_ORDER_KEY), 4, exact=("price",)).drop("delivery_time_days"),
     "impute_stats": lambda s, d: clean.impute_stats(clean.parse_dates(_raw(s, d)), ["quantity", "discount"], ["payment_method", "region"]),
     "negative_money": lambda s, d: clean.negative_money_counts(_raw(s, d)),
     "schema_violations": lambda s, d: quality.schema_violations(_raw(s, d), TRANSACTION_SCHEMA).where("column_name <> 'delivery_time_days'"),

@@ -45,8 +45,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def transactions(spark: SparkSession, folder: str, columns: Iterable[str] | None = None) -> DataFrame:
-    """One row per order line, in the transaction layout.
+def transactions(spark: SparkSession, folder: str, columns: Iterable[str] | None = None, keep: Iterable[str] = ()) -> DataFrame:
+    """One row per order line, in the transaction layout, and after it the columns of the line table in ``keep`` as they are.
 
     Only the dimensions that the asked-for columns need are joined. The dimension joins are left
     joins on unique keys, so the set of rows does not depend on ``columns``. No join carries a
@@ -71,12 +71,13 @@ def transactions(spark: SparkSession, folder: str, columns: Iterable[str] | None
             region = read_table(spark, folder, "region").select("r_regionkey", "r_name")
             people = people.join(nation, "n_nationkey", "left").join(region, "r_regionkey", "left")
         heads = heads.join(people, "o_custkey", "left")
-    lines = read_table(spark, folder, "lineitem").join(heads, "l_orderkey")
-    if want & _FROM_PART:
+    lines = read_table(spark, folder, "lineitem")
+    if want & _FROM_PART:  # before the orders, so that this shuffle of all lines does not carry what an order has
         part = read_table(spark, folder, "part").select(
             F.col("p_partkey").alias("l_partkey"), "p_type", "p_retailprice"
         )
         lines = lines.join(part, "l_partkey", "left")
+    lines = lines.join(heads, "l_orderkey")
 
     amount = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     exprs = {
@@ -98,4 +99,4 @@ def transactions(spark: SparkSession, folder: str, columns: Iterable[str] | None
         "delivery_time_days": lambda: F.lit(None).cast("int"),
         "returned": lambda: (F.col("l_returnflag") == "R").cast("int"),
     }
-    return lines.select(*[exprs[c]().alias(c) for c in TRANSACTION_COLUMNS if c in want])
+    return lines.select(*[exprs[c]().alias(c) for c in TRANSACTION_COLUMNS if c in want], *keep)

@@ -96,3 +96,10 @@ def test_incomplete_month(make_tx):
     cfg = replace(DEFAULT, sales=replace(DEFAULT.sales, incomplete_month_cutoff=None))
     assert complete_months(make_tx([dict(day=0), dict(day=35)]), cfg).count() == 1
     assert complete_months(make_tx([dict(day=0), dict(day=59)]), cfg).count() == 2
+
+
+def test_copies_are_found_within_what_an_order_id_determines(spark):
+    rows = [("1-1", 1, "b"), ("1-1", 1, "a"), ("1-2", 1, "c"), ("2-1", 2, "e"), ("2-1", 2, "d"), (None, None, "z"), (None, None, "y")]
+    df = spark.createDataFrame([(i, k, "2024-01-01", c, 5.0, "yes") for i, k, c in rows], "order_id string, k long, order_date string, category string, total_amount double, returned string")
+    by = lambda out: sorted(map(str, out.collect()))
+    assert by(clean.clean_transactions(df, within=("k",))) == by(clean.clean_transactions(df.drop("k"))) and clean.clean_transactions(df, within=("k",)).count() == 4
