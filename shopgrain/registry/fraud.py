@@ -16,44 +16,52 @@ from .base import CFG, CUST, TX, rounded
 from .segments import SEG, TIER_CTE
 
 
+#: Lines of a part of the written transactions, about.
+_PART_LINES = 100_000
 _TX_COLUMNS = ("order_id", "customer_id", "order_date", "category", "region", "customer_gender", "payment_method", "discount", "quantity", "total_amount", "profit_margin", "customer_age", "returned")
 
 
 def _tx(s, d, *more):
-    """The transactions written once, as the risk features and what is joined to them read them several times: their joins shuffle all lines."""
-    return materialized(transactions(s, d, [*_TX_COLUMNS, *more]))
+    """The transactions written once, as the risk features and what is joined to them read them several times: their joins shuffle all lines.
 
+    A customer's lines lie together, so that each later aggregate by customer hands on one partial state for a customer and not one for nearly every line. Parts are small enough for Spark to
+    leave them whole; it splits those with a customer of very many lines.
+    """
+    parts = max(int(s.conf.get("spark.sql.shuffle.partitions")), read_table(s, d, "lineitem").count() // _PART_LINES)
+    return materialized(transactions(s, d, [*_TX_COLUMNS, *more]).hint("rebalance", parts, F.col("customer_id")))
 
-def _features(s, d, tx=None):
+
+def _features(s, d, tx=None, cust=None):
     tx = _tx(s, d) if tx is None else tx
-    return materialized(op.fraud_features(tx, customer_features(tx, CFG), CFG))
+    return materialized(op.fraud_features(tx, customer_features(tx, CFG) if cust is None else cust, CFG))
 
 
-def _scored(s, d, tx=None):
+def _scored(s, d, tx=None, cust=None):
     """Rule scores with tiers on the normalised rule score, and typologies."""
-    r = op.rule_scores(_features(s, d, tx), CFG).withColumn("composite_fraud_score", F.col("rule_fraud_score_norm"))
+    r = op.rule_scores(_features(s, d, tx, cust), CFG).withColumn("composite_fraud_score", F.col("rule_fraud_score_norm"))
     return op.typology(op.assign_risk_tiers(r, CFG), CFG)
 
 
-def _segments(s, d, tx=None):
-    seg = sg.rfm_segments(sg.rfm_scores(customer_features(transactions(s, d) if tx is None else tx, CFG)))
+def _segments(s, d, cust=None):
+    seg = sg.rfm_segments(sg.rfm_scores(customer_features(transactions(s, d), CFG) if cust is None else cust))
     return seg.select("customer_id", F.col("rfm_segment").alias("segment_name"))
 
 
-def _pred(s, d):
+def _pred(s, d, tx=None):
     """A deterministic score in place of a model's: the return rate at the cutoff."""
-    f = _cutoff(s, d)
+    f = _cutoff(s, d, tx)
     return f.select("customer_id", "churn", "monetary", F.col("return_rate").alias("churn_probability"))
 
 
-def _cutoff(s, d):
-    tx = transactions(s, d, ["customer_id", "order_id", "order_date", "total_amount", "returned", "discount", "category"])
+def _cutoff(s, d, tx=None):
+    tx = transactions(s, d, ["customer_id", "order_id", "order_date", "total_amount", "returned", "discount", "category"]) if tx is None else tx
     return ch.cutoff_features(tx, ch.resolve_cutoff(tx, CFG), CFG)
 
 
 def _merged(s, d):
     tx = _tx(s, d)
-    return op.join_risk_labels(_scored(s, d, tx), _segments(s, d, tx), ch.risk_levels(_pred(s, d), CFG))
+    cust = customer_features(tx, CFG)
+    return op.join_risk_labels(_scored(s, d, tx, cust), _segments(s, d, cust), ch.risk_levels(_pred(s, d, tx), CFG))
 
 
 def _exposure(s, d):
