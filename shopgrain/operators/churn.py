@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import DEFAULT, Config
 from ..functions.expr import MONEY_SCALE, count_if, money_sum, money_units, one_row, safe_divide
 from ..functions.ranks import quantiles, value_ranks
+from ..session import materialized
 
 # Feature sets by strategy (recency_days always comes first).
 FEATURE_SETS = {
@@ -129,9 +130,12 @@ def stratified_split(df: DataFrame, label: str = "churn", cfg: Config = DEFAULT)
 
 
 def churn_dataset(tx: DataFrame, cfg: Config = DEFAULT, strategy: str = "base") -> DataFrame:
-    """customer_id, churn, is_train, the strategy's features and monetary as context."""
+    """customer_id, churn, is_train, the strategy's features and monetary as context.
+
+    The features are written once: the split, the scaling and the result all read them.
+    """
     cutoff = resolve_cutoff(tx, cfg)
-    data = stratified_split(cutoff_features(tx, cutoff, cfg), cfg=cfg)
+    data = stratified_split(materialized(cutoff_features(tx, cutoff, cfg)), cfg=cfg)
     data = min_max_loyalty(data, data.where("is_train"))
     cols = feature_columns(strategy)
     context = [c for c in ("monetary",) if c not in cols]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -14,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..config import DEFAULT, Config
 from ..functions.expr import count_if, one_row, safe_divide
 from ..functions.ranks import value_ranks
-from ..session import shared_folder
 from .boosting import HistogramBoosting
 
+#: Training rows of a part, at least, where there are cores for more parts.
+TRAIN_ROWS = 25_000
+
 
 def with_balanced_weights(train: DataFrame, label: str = "churn") -> DataFrame:
     """Row weight n / (2 * rows of the label), as 'balanced' class weights."""
@@ -50,21 +51,25 @@ def pipeline(stage, features: list[str]) -> Pipeline:
 
 def train_models(data: DataFrame, features: list[str], cfg: Config = DEFAULT, trees: int = 200, boosts: int = 200, names: list[str] | None = None) -> dict[str, PipelineModel]:
     """Fit the classifiers on the rows with is_train."""
-    train = with_balanced_weights(_doubles(data.where("is_train"), features)).persist()
+    train = _dealt(with_balanced_weights(_doubles(data.where("is_train"), features))).persist()
     try:
         return {n: _plain(pipeline(m, features).fit(train)) for n, m in classifiers(cfg, trees, boosts).items() if names is None or n in names}
     finally:
         train.unpersist()
 
 
+def _dealt(train: DataFrame) -> DataFrame:
+    """``train`` in a part for each TRAIN_ROWS rows, but in no more parts than there are cores, as each part sums up every open node of a forest; Spark alone goes by bytes, and the rows are few but take long."""
+    parts = min(-(-train.count() // TRAIN_ROWS), train.sparkSession.sparkContext.defaultParallelism)
+    return train.repartition(parts) if parts > train.rdd.getNumPartitions() else train
+
+
 def _plain(model: PipelineModel) -> PipelineModel:
-    """The model as written and read again, without its training summary: that holds the session, which cannot be sent to tasks once it has observed a metric."""
+    """The model without its training summary: that holds the session, which cannot be sent to tasks once it has observed a metric."""
     last = model.stages[-1]
-    if not getattr(last, "hasSummary", False):
-        return model
-    path = f"{shared_folder(SparkSession.active())}/table-{uuid.uuid4().hex}"
-    last.write().save(path)
-    return PipelineModel([*model.stages[:-1], type(last).load(path)])
+    if getattr(last, "hasSummary", False):
+        last._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
 
 
 def _doubles(df: DataFrame, features: list[str]) -> DataFrame:

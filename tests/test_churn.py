@@ -117,3 +117,24 @@ def test_models_score_after_the_session_has_observed_a_metric(spark):
     data = spark.createDataFrame([(f"C{i}", i % 2, i % 5 > 0, float(i % 7), float(i % 2 * 3 + i % 3)) for i in range(80)], "customer_id string, churn int, is_train boolean, a double, b double")
     models = classify.train_models(data, ["a", "b"], trees=3, boosts=2)
     assert classify.evaluate_all(models, data.where("not is_train"), ["a", "b"]).count() == 3
+
+
+def test_features_at_the_cutoff_are_built_once(tx, monkeypatch):
+    """The split, the scaling and the result read one written table."""
+    written, real = [], churn.materialized
+    monkeypatch.setattr(churn, "materialized", lambda df: written.append(df.columns) or real(df))
+    plan = churn.churn_dataset(tx)._jdf.queryExecution().executedPlan().toString()
+    assert len(written) == 1 and "last_order_was_return" in written[0] and "max_by" not in plan
+
+
+def test_models_are_not_written_to_lose_their_summary(separable, spark):
+    """A forest of many nodes takes long to write; training rows lie in a part for each so many rows where cores allow."""
+    from unittest import mock
+
+    from pyspark.ml.util import JavaMLWriter
+
+    with mock.patch.object(JavaMLWriter, "save", side_effect=AssertionError("written")), mock.patch.object(classify, "TRAIN_ROWS", 100):
+        models = classify.train_models(separable, ["signal", "noise"], trees=3, names=["Random Forest", "Logistic Regression"])
+        assert classify._dealt(separable.coalesce(1)).rdd.getNumPartitions() == 3
+    assert not any(m.stages[-1].hasSummary for m in models.values())
+    assert classify._dealt(separable.coalesce(1)).rdd.getNumPartitions() == 1
