@@ -64,8 +64,8 @@ def test_lines_meet_their_parts_before_they_carry_an_order(spark, sf):
     assert lines.index(join["l_orderkey"]) < lines.index(join["l_partkey"])  # what stands deeper runs first
 
 
-def test_a_customer_lies_in_one_file_of_the_written_transactions(spark, sf, monkeypatch):
-    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+def test_a_customer_lies_in_one_file_of_the_written_transactions(spark, sf):
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
@@ -73,7 +73,8 @@ def test_a_customer_lies_in_one_file_of_the_written_transactions(spark, sf, monk
         assert tx.distinct().count() == tx.select("customer_id").distinct().count() and tx.select("f").distinct().count() > 8
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for k in list(conf)[1:]:
+            spark.conf.unset(k)
 
 
 def test_merged_risk_measures_customers_once(spark, sf, monkeypatch):
